@@ -1,0 +1 @@
+"""Empty on purpose: every input of this engine is a finished file, so there is no streaming job."""
