@@ -60,8 +60,11 @@ def weighted_latent(parts: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [scaled(*part) for part in parts])
 
 
-def quantile_curve(p10: Column, p50: Column, p90: Column) -> Column:
-    """Values at ranks 1..99: log-linear between the three knots, flat outside them."""
+def interpolated(ranks: Column, p10: Column, p50: Column, p90: Column) -> Column:
+    """Values at the given ranks 1..99: log-linear between the three knots, flat outside them.
+
+    The knots are plain columns, because whatever a lambda refers to is evaluated once per element.
+    """
     eps = 1e-9
     low = F.greatest(p10, F.lit(0.0))
     mid = F.greatest(p50, F.lit(0.0), low)
@@ -83,11 +86,7 @@ def quantile_curve(p10: Column, p50: Column, p90: Column) -> Column:
             .otherwise(between(mid, high, (p - 0.50) / 0.40))
         )
 
-    return F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), at)
-
-
-def pick(curve: Column, ranks: Column) -> Column:
-    return F.transform(ranks, lambda r: F.element_at(curve, r))
+    return F.transform(ranks, at)
 
 
 def grid_quantile(draws: Column, percent: int) -> Column:

@@ -1,9 +1,11 @@
 """Per-campaign history as seen from many origins at once.
 
-Facts, the same facts moved one calendar year ahead, and probe days go through one shuffle and one
-sort on the campaign; every trailing, forward or prior-year window is then a frame. No fact is
-repeated per origin. After the quality gate a campaign has at most one fact a day, so that a window
-partition is bounded by the number of days in history.
+Facts, the same facts moved one calendar year ahead, and the edges of every window a probe day needs
+go through one shuffle and one sort on the campaign. Running totals are read off at the edges and a
+window is the difference of two of them, so the work per fact does not depend on window lengths and
+no fact is repeated per origin. Counts of non-zero days decide whether a window is empty, therefore
+"no spend" stays an exact zero. After the quality gate a campaign has at most one fact a day, so that
+a window partition is bounded by the number of days in history.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mediacast.contracts import CAMPAIGN, HIERARCHY, HORIZONS
 
-FACT, PRIOR, PROBE = 0, 1, 2
+FACT, PRIOR, EDGE = 0, 1, 2
 OWN_CADENCE, SHARED_CADENCE = "own", "shared"
 
 
@@ -81,82 +83,114 @@ def campaign_history(
     ``labels`` the day from which those sums are final (training).
     """
     payload = [f for f in probes.schema.fields if f.name not in {*CAMPAIGN, "date"}]
+    carried = ["date", *[f.name for f in payload]]
+    edges = probes.withColumn("edge", F.explode(F.array(*[F.lit(k) for k in (-56, -28, 0, *horizons)])))
 
-    def event(source: DataFrame, kind: int, spend: Column, revenue: Column) -> DataFrame:
-        carried = [F.col(f.name) if kind == PROBE else F.lit(None).cast(f.dataType).alias(f.name) for f in payload]
+    def event(source: DataFrame, kind: int, day: Column, spend: Column, revenue: Column) -> DataFrame:
+        own = kind == EDGE
         return source.select(
-            *CAMPAIGN, "date", F.lit(kind).alias("kind"), spend.alias("spend"), revenue.alias("revenue"), *carried
+            *CAMPAIGN,
+            F.lit(kind).alias("kind"),
+            day.cast("int").alias("day"),
+            spend.alias("spend"),
+            revenue.alias("revenue"),
+            (F.col("edge") if own else F.lit(None).cast("int")).alias("edge"),
+            (F.col("date") if own else F.lit(None).cast("date")).alias("date"),
+            *[F.col(f.name) if own else F.lit(None).cast(f.dataType).alias(f.name) for f in payload],
         )
 
     nothing = F.lit(None).cast("double")
+    day = F.unix_date("date")
     events = reduce(
         DataFrame.unionByName,
         [
-            event(facts, FACT, F.col("spend"), F.col("revenue")),
-            event(next_year_spend(facts), PRIOR, F.col("spend"), nothing),
-            event(probes, PROBE, nothing, nothing),
+            event(facts, FACT, day, F.col("spend"), F.col("revenue")),
+            event(next_year_spend(facts), PRIOR, day, F.col("spend"), nothing),
+            event(edges, EDGE, day + F.col("edge"), nothing, nothing),
         ],
-    ).withColumn("day", F.unix_date("date"))
-    # placed by campaign once; every window specification below keeps that placement
+    )
+    # placed by campaign once; every window and the regrouping below keep that placement
     events = events.repartition(*CAMPAIGN)
     fact, prior = F.col("kind") == FACT, F.col("kind") == PRIOR
-    zero = F.lit(0.0)
-    framed = {}
+    at_edge: dict[str, Column] = {}
+    if labels:
+        backwards = Window.partitionBy(*CAMPAIGN).orderBy((-F.col("day")).alias("back"))
+        events = events.withColumn(
+            "next_fact",
+            F.min(F.when(fact, F.col("day"))).over(backwards.rangeBetween(Window.unboundedPreceding, 0)),
+        )
+        at_edge["next_fact"] = F.col("next_fact")
+    so_far = Window.partitionBy(*CAMPAIGN).orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
     if spend_totals:
         rows = Window.partitionBy(*CAMPAIGN, "kind").orderBy("day")
-        events = events.withColumns(
+        running = F.sum("spend").over(rows.rowsBetween(Window.unboundedPreceding, 0))
+        events = events.withColumns({"running": running, "nth": F.row_number().over(rows)}).withColumns(
             {
                 f"total_{h}": F.when(
-                    fact & (F.row_number().over(rows) >= h), F.sum("spend").over(rows.rowsBetween(-(h - 1), 0))
+                    fact & (F.col("nth") >= h), F.col("running") - F.coalesce(F.lag("running", h).over(rows), F.lit(0.0))
                 )
                 for h in horizons
             }
         )
-    if labels:
-        backwards = Window.partitionBy(*CAMPAIGN).orderBy((-F.col("day")).alias("back"))
         for h in horizons:
-            # first observed day on or after the end of the target: from then on the label is known
-            events = events.withColumn(
-                f"known_on_{h}",
-                F.min(F.when(fact, F.col("date"))).over(backwards.rangeBetween(Window.unboundedPreceding, -h)),
-            )
-            framed[f"known_on_{h}"] = F.col(f"known_on_{h}")
-    order = Window.partitionBy(*CAMPAIGN).orderBy("day")
-    spend, revenue = F.when(fact, F.col("spend")), F.when(fact, F.col("revenue"))
-    recent, previous = order.rangeBetween(-27, 0), order.rangeBetween(-55, -28)
-    so_far = order.rangeBetween(Window.unboundedPreceding, 0)
-    framed |= {
-        "recent_spend": F.coalesce(F.sum(spend).over(recent), zero),
-        "recent_revenue": F.coalesce(F.sum(revenue).over(recent), zero),
-        "recent_days": F.count(F.when(fact, 1)).over(recent),
-        "previous_spend": F.coalesce(F.sum(spend).over(previous), zero),
-        "history_spend": F.coalesce(F.sum(spend).over(so_far), zero),
-        "history_revenue": F.coalesce(F.sum(revenue).over(so_far), zero),
-        "history_days": F.count(F.when(fact, 1)).over(so_far),
+            at_edge |= {
+                f"total_n_{h}": F.count(f"total_{h}").over(so_far),
+                f"total_mean_{h}": F.avg(f"total_{h}").over(so_far),
+                f"total_std_{h}": F.stddev_pop(f"total_{h}").over(so_far),
+            }
+    at_edge |= {
+        "spend_sum": F.sum(F.when(fact, F.col("spend"))).over(so_far),
+        "spend_days": F.count(F.when(fact & (F.col("spend") > 0), 1)).over(so_far),
+        "revenue_sum": F.sum("revenue").over(so_far),
+        "revenue_days": F.count(F.when(F.col("revenue") > 0, 1)).over(so_far),
+        "days": F.count(F.when(fact, 1)).over(so_far),
+        "prior_sum": F.sum(F.when(prior, F.col("spend"))).over(so_far),
+        "prior_positive": F.count(F.when(prior & (F.col("spend") > 0), 1)).over(so_far),
+        "prior_seen": F.count(F.when(prior, 1)).over(so_far),
+    }
+    found = events.withColumns(at_edge).where(F.col("kind") == EDGE)
+    wide = found.groupBy(*CAMPAIGN, *carried).agg(
+        *[
+            F.max(F.when(F.col("edge") == k, F.struct(*at_edge))).alias(f"edge_{k}".replace("-", "m"))
+            for k in (-56, -28, 0, *horizons)
+        ]
+    )
+
+    def between(low: str, high: str, total: str, positive: str) -> Column:
+        change = F.col(f"{high}.{total}") - F.coalesce(F.col(f"{low}.{total}"), F.lit(0.0))
+        return F.when(F.col(f"{high}.{positive}") == F.col(f"{low}.{positive}"), 0.0).otherwise(change)
+
+    def count(low: str, high: str, name: str) -> Column:
+        return F.col(f"{high}.{name}") - F.col(f"{low}.{name}")
+
+    now, month, two_months = "edge_0", "edge_m28", "edge_m56"
+    columns = {
+        "recent_spend": between(month, now, "spend_sum", "spend_days"),
+        "recent_revenue": between(month, now, "revenue_sum", "revenue_days"),
+        "recent_days": count(month, now, "days"),
+        "previous_spend": between(two_months, month, "spend_sum", "spend_days"),
+        "history_spend": F.coalesce(F.col(f"{now}.spend_sum"), F.lit(0.0)),
+        "history_revenue": F.coalesce(F.col(f"{now}.revenue_sum"), F.lit(0.0)),
+        "history_days": F.col(f"{now}.days"),
     }
     for h in horizons:
-        ahead = order.rangeBetween(1, h)
-        framed |= {
-            f"prior_spend_{h}": F.coalesce(F.sum(F.when(prior, F.col("spend"))).over(ahead), zero),
-            f"prior_days_{h}": F.count(F.when(prior, 1)).over(ahead),
+        end = f"edge_{h}"
+        columns |= {
+            f"prior_spend_{h}": between(now, end, "prior_sum", "prior_positive"),
+            f"prior_days_{h}": count(now, end, "prior_seen"),
         }
         if targets:
-            framed |= {
-                f"target_days_{h}": F.count(F.when(fact, 1)).over(ahead),
-                f"target_spend_{h}": F.coalesce(F.sum(spend).over(ahead), zero),
-                f"target_revenue_{h}": F.coalesce(F.sum(revenue).over(ahead), zero),
+            columns |= {
+                f"target_days_{h}": count(now, end, "days"),
+                f"target_spend_{h}": between(now, end, "spend_sum", "spend_days"),
+                f"target_revenue_{h}": between(now, end, "revenue_sum", "revenue_days"),
             }
+        if labels:
+            # first observed day on or after the end of the target: from then on the label is known
+            columns[f"known_on_{h}"] = F.date_from_unix_date(F.col(f"{end}.next_fact"))
         if spend_totals:
-            framed |= {
-                f"total_n_{h}": F.count(f"total_{h}").over(so_far),
-                f"total_mean_{h}": F.avg(f"total_{h}").over(so_far),
-                f"total_std_{h}": F.stddev_pop(f"total_{h}").over(so_far),
-            }
-    return (
-        events.withColumns(framed)
-        .where(F.col("kind") == PROBE)
-        .select(*CAMPAIGN, "date", *[f.name for f in payload], *framed)
-    )
+            columns |= {f"total_{n}_{h}": F.col(f"{now}.total_{n}_{h}") for n in ("n", "mean", "std")}
+    return wide.select(*CAMPAIGN, *carried, *[c.alias(name) for name, c in columns.items()])
 
 
 def by_horizon(history: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:

@@ -97,6 +97,16 @@ def _unsupported(expert: Column) -> Column:
     )
 
 
+def _with_season(models: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Mean monthly ROAS factor over the horizon, once per model row."""
+    season = F.lit(None).cast("double")
+    for h in horizons:
+        season = F.when(
+            F.col("horizon_days") == h, mean_over_future(F.col("month_factors"), F.lit(1.0), F.col("as_of"), h)
+        ).otherwise(season)
+    return models.withColumn("seasonal_roas", season)
+
+
 def serving_rows(
     facts: DataFrame,
     calendar: DataFrame,
@@ -121,7 +131,7 @@ def serving_rows(
     return (
         by_horizon(with_ratios, horizons)
         .join(F.broadcast(at), "date")
-        .join(F.broadcast(models.withColumnRenamed("as_of", "date")), ["horizon_days", "date"])
+        .join(F.broadcast(_with_season(models, horizons).withColumnRenamed("as_of", "date")), ["horizon_days", "date"])
         .where((F.col("recent_spend") > 0) | (F.col("portfolio_active") == 0))
         .withColumn("campaign_key", campaign_key())
     )
@@ -216,11 +226,6 @@ def leaf_forecasts(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns(baseline_columns()).withColumns(
         {
             "planned_budget": F.coalesce("override", "baseline_budget"),
-            "seasonal_roas": F.when(
-                h == HORIZONS[0], mean_over_future(F.col("month_factors"), F.lit(1.0), F.col("date"), HORIZONS[0])
-            )
-            .when(h == HORIZONS[1], mean_over_future(F.col("month_factors"), F.lit(1.0), F.col("date"), HORIZONS[1]))
-            .otherwise(mean_over_future(F.col("month_factors"), F.lit(1.0), F.col("date"), HORIZONS[2])),
             "reliability": F.least(F.lit(1.0), F.col("recent_days") / F.col("min_history_days")),
         }
     )

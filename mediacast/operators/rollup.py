@@ -19,8 +19,7 @@ from mediacast.functions.draws import (
     factor_path,
     grid_quantile,
     hash_ranks,
-    pick,
-    quantile_curve,
+    interpolated,
     share_at_least,
     value_ranks,
     weighted_latent,
@@ -47,20 +46,16 @@ def percentile_ranks() -> Column:
 
 def leaf_draws(leaves: DataFrame) -> DataFrame:
     """Adds 99 revenue and spend draws that share one percentile path."""
-    return leaves.withColumn("ranks", percentile_ranks()).withColumns(
-        {
-            "revenue_draws": pick(
-                quantile_curve(
-                    F.col("predicted_revenue_p10"), F.col("predicted_revenue_p50"), F.col("predicted_revenue_p90")
-                ),
-                F.col("ranks"),
-            ),
-            "spend_draws": pick(
-                quantile_curve(F.col("predicted_spend_p10"), F.col("predicted_spend_p50"), F.col("predicted_spend_p90")),
-                F.col("ranks"),
-            ),
-        }
-    ).drop("ranks")
+    return (
+        leaves.withColumn("ranks", percentile_ranks())
+        .withColumns(
+            {
+                f"{name}_draws": interpolated(F.col("ranks"), *[F.col(f"predicted_{name}_{q}") for q in ("p10", "p50", "p90")])
+                for name in ("revenue", "spend")
+            }
+        )
+        .drop("ranks")
+    )
 
 
 def draw_totals(draws: DataFrame) -> DataFrame:
