@@ -39,6 +39,7 @@ def model_defaults() -> dict[str, object]:
     """Columns beyond ``horizon_days``, ``origin`` and ``as_of``, with the values of a bare statistical model."""
     none = F.lit(None)
     return {
+        "model_set": F.lit("selected"),
         "model_version": F.lit(MODEL_VERSION_STATISTICAL),
         "global_roas": none.cast("double"),
         "global_log_sigma": none.cast("double"),

@@ -114,30 +114,26 @@ COEFFICIENT_SCHEMA = (
 )
 
 
-def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    """Assemble the penalised normal equations of one fit and solve them."""
+def _normal_equations(sums: np.ndarray, channels: np.ndarray, types: np.ndarray) -> dict[str, object]:
+    """Assemble and solve one penalised fit from one row of sums per (channel, campaign type)."""
     k = len(FEATURES)
-    n = group["n"].to_numpy()
-    y = group["y"].to_numpy()
-    s = group[[f"s_{f}" for f in FEATURES]].to_numpy()
-    sy = group[[f"y_{f}" for f in FEATURES]].to_numpy()
+    n, y = sums[:, 0], sums[:, 1]
+    s, sy, q_flat = sums[:, 2 : 2 + k], sums[:, 2 + k : 2 + 2 * k], sums[:, 2 + 2 * k :].sum(axis=0)
     q = np.zeros((k, k))
-    for a, b in PAIRS:
-        i, j = FEATURES.index(a), FEATURES.index(b)
-        q[i, j] = q[j, i] = group[f"q_{a}_{b}"].sum()
+    upper = np.triu_indices(k)
+    q[upper] = q_flat
+    q = q + np.triu(q, 1).T
     total = n.sum()
     mean = s.sum(axis=0) / total
     variance = np.diag(q) / total - mean**2
     variance[variance < 1e-13 * np.maximum(np.diag(q) / total, 1e-3)] = 0.0
     scale = np.sqrt(variance)
     scale[scale < 1e-8] = 1.0
-    # per (channel, type) group: sums of the standardised features
     u = (s - n[:, None] * mean) / scale
     uu = (q - total * np.outer(mean, mean)) / np.outer(scale, scale)
     uy = (sy - y[:, None] * mean) / scale
-    labels = [np.sort(group[c].unique()) for c in ("channel", "campaign_type")]
-    member = [(group[c].to_numpy()[:, None] == names[None, :]).astype(float) for c, names in zip(("channel", "campaign_type"), labels)]
-    hot = np.hstack(member)
+    names = [np.unique(channels), np.unique(types)]
+    hot = np.hstack([(x[:, None] == v[None, :]).astype(float) for x, v in zip((channels, types), names)])
     size = 1 + k + hot.shape[1]
     left = np.zeros((size, size))
     left[0, 0] = total
@@ -148,31 +144,61 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     left[1 + k :, 1 : 1 + k] = left[1 : 1 + k, 1 + k :].T
     left[1 + k :, 1 + k :] = hot.T @ (n[:, None] * hot)
     left[np.arange(1, size), np.arange(1, size)] += RIDGE_ALPHA
-    right = np.concatenate([[y.sum()], uy.sum(axis=0), y @ hot])
-    solution = np.linalg.solve(left, right)
-    hot_values = solution[1 + k :]
+    solution = np.linalg.solve(left, np.concatenate([[y.sum()], uy.sum(axis=0), y @ hot]))
+    labelled, first = solution[1 + k :], len(names[0])
+    return {
+        "sample_count": int(round(total)),
+        "intercept": solution[0],
+        "means": list(mean + np.array([CENTRES[f] for f in FEATURES])),
+        "scales": list(scale),
+        "coefficients": list(solution[1 : 1 + k]),
+        "channel_names": list(names[0]),
+        "channel_values": list(labelled[:first]),
+        "type_names": list(names[1]),
+        "type_values": list(labelled[first:]),
+    }
+
+
+def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
     first = group.iloc[0]
-    return pd.DataFrame(
-        [
-            {
-                **{c: first[c] for c in FIT},
-                "sample_count": int(round(total)),
-                "intercept": solution[0],
-                "means": list(mean + np.array([CENTRES[f] for f in FEATURES])),
-                "scales": list(scale),
-                "coefficients": list(solution[1 : 1 + k]),
-                "channel_names": list(labels[0]),
-                "channel_values": list(hot_values[: len(labels[0])]),
-                "type_names": list(labels[1]),
-                "type_values": list(hot_values[len(labels[0]) :]),
-            }
-        ]
+    solved = _normal_equations(
+        group[_sum_names()].to_numpy(), group["channel"].to_numpy(), group["campaign_type"].to_numpy()
     )
+    return pd.DataFrame([{**{c: first[c] for c in FIT}, **solved}])
 
 
-def solve_fits(statistics: DataFrame) -> DataFrame:
-    """One row of coefficients per fit; a group is one row per (channel, campaign type) seen."""
-    solved = statistics.groupBy(*FIT).applyInPandas(_solve, COEFFICIENT_SCHEMA)
+def _solve_path(group: pd.DataFrame) -> pd.DataFrame:
+    """Every expanding fit of a slice: running sums over target ends, read off at each bound."""
+    first = group.iloc[0]
+    labels = group[["channel", "campaign_type"]].drop_duplicates().reset_index(drop=True)
+    ends = np.sort(group["target_end"].unique())
+    code = group[["channel", "campaign_type"]].merge(labels.reset_index(), on=["channel", "campaign_type"], how="left")["index"].to_numpy()
+    running = np.zeros((len(ends), len(labels), len(_sum_names())))
+    np.add.at(running, (np.searchsorted(ends, group["target_end"].to_numpy()), code), group[_sum_names()].to_numpy())
+    running = running.cumsum(axis=0)
+    solved = []
+    for bound in sorted(first["bounds"]):
+        position = np.searchsorted(ends, bound)  # target_end < bound
+        if position == 0:
+            continue
+        sums = running[position - 1]
+        seen = sums[:, 0] > 0
+        fit = _normal_equations(
+            sums[seen], labels["channel"].to_numpy()[seen], labels["campaign_type"].to_numpy()[seen]
+        )
+        solved.append(
+            {**{c: first[c] for c in ("horizon_days", "mode", "origin")}, "role": OUT_OF_FOLD, "bound": bound, **fit}
+        )
+    return pd.DataFrame(solved, columns=[*FIT, *_SOLVED])
+
+
+_SOLVED = [
+    "sample_count", "intercept", "means", "scales", "coefficients",
+    "channel_names", "channel_values", "type_names", "type_values",
+]
+
+
+def _packed(solved: DataFrame) -> DataFrame:
     return solved.select(
         *FIT,
         "sample_count",
@@ -187,6 +213,24 @@ def solve_fits(statistics: DataFrame) -> DataFrame:
     )
 
 
+def solve_fits(statistics: DataFrame) -> DataFrame:
+    """One row of coefficients per fit; a group is one row per (channel, campaign type) seen."""
+    return _packed(statistics.groupBy(*FIT).applyInPandas(_solve_one, COEFFICIENT_SCHEMA))
+
+
+def solve_out_of_fold(cells: DataFrame, fits: DataFrame) -> DataFrame:
+    """All expanding fits of the shared cut-offs; a group is calendar cut-offs times labels of one slice."""
+    keys = ["horizon_days", "mode", "origin"]
+    bounds = fits.groupBy(*keys).agg(F.collect_list("bound").alias("bounds"))
+    inside = (
+        cells.join(F.broadcast(bounds), ["horizon_days", "mode"])
+        .where(F.col("known_on") <= F.col("origin"))
+        .groupBy(*keys, "bounds", "target_end", "channel", "campaign_type")
+        .agg(*[F.sum(c).alias(c) for c in _sum_names()])
+    )
+    return _packed(inside.groupBy(*keys).applyInPandas(_solve_path, COEFFICIENT_SCHEMA))
+
+
 def _score(rows: DataFrame) -> DataFrame:
     predicted = predicted_log(F.col("fit"), [F.col(f) for f in FEATURES], F.col("channel"), F.col("campaign_type"))
     return rows.withColumn("predicted_log_revenue", predicted).withColumn(
