@@ -50,18 +50,21 @@ def predicted_log(expert: Column, features: list[Column], channel: Column, campa
     return score
 
 
-def _expert_quantiles(expert: Column, features: list[Column], support: Column) -> Column:
-    log_mean = predicted_log(expert, features, F.col("channel"), F.col("campaign_type"))
+def _expert_width(expert: Column, support: Column) -> Column:
+    """Interval multiplier of a row with thin recent history or a plan beyond its support."""
 
     def widen(multiplier: Column, applies: Column) -> Column:
         return F.when(applies & (multiplier > 1.0), F.least(multiplier, F.lit(3.0))).otherwise(1.0)
 
-    width = clip(
+    return clip(
         widen(expert["sparse_multiplier"], F.col("recent_days") < 28)
         * widen(expert["extrapolation_multiplier"], support > 1.5),
         1.0,
         4.0,
     )
+
+
+def _expert_quantiles(expert: Column, log_mean: Column, width: Column) -> Column:
     middle = expert["residual_p50"]
 
     def level(residual: Column) -> Column:
@@ -233,10 +236,13 @@ def leaf_forecasts(rows: DataFrame) -> DataFrame:
     recent = F.when(F.col("recent_spend") > 0, F.col("recent_revenue") / F.greatest("recent_spend", F.lit(1e-9))).otherwise(historic)
     reliability = F.col("reliability")
     support = planned_support(planned)
-    features = feature_columns(planned)
     direct = F.col("family") == DIRECT
-    scenario, aligned = F.col("scenario_expert"), F.col("aligned_expert")
+    members = {"scenario": F.col("scenario_expert"), "aligned": F.col("aligned_expert")}
+    scenario, aligned = members.values()
     fitted = direct & (scenario.isNotNull() | aligned.isNotNull())
+    # one feature array, one score per expert: each is read several times further down
+    rows = rows.withColumn("features", F.when(fitted, F.array(*feature_columns(planned))))
+    features = [F.get("features", F.lit(i)) for i in range(9)]
     rows = rows.withColumns(
         {
             "roas": (0.70 * (reliability * recent + (1.0 - reliability) * historic) + 0.30 * F.col("global_roas"))
@@ -245,26 +251,35 @@ def leaf_forecasts(rows: DataFrame) -> DataFrame:
                 F.col("history_spend") / F.greatest(F.col("history_days"), F.lit(1)) * h, F.lit(1.0)
             ),
             "oov": fitted & (_unsupported(scenario) | _unsupported(aligned)) & (planned > 0),
+            **{
+                f"{name}_log": predicted_log(expert, features, F.col("channel"), F.col("campaign_type"))
+                for name, expert in members.items()
+            },
+            **{f"{name}_width": _expert_width(expert, support) for name, expert in members.items()},
         }
     ).withColumns(
         {
             "sigma": F.col("global_log_sigma")
             * (1.0 + (1.0 - reliability) + F.when(F.col("extrapolation"), 0.55).otherwise(0.0)),
             "curve_p50": response_revenue(F.col("baseline_budget"), F.col("roas"), planned),
-            "direct": F.when(
-                fitted & ~F.col("oov"),
-                F.when(
-                    scenario.isNotNull() & aligned.isNotNull(),
-                    _blend(
-                        clip(F.col("scenario_weight"), 0.0, 1.0),
-                        _expert_quantiles(scenario, features, support),
-                        _expert_quantiles(aligned, features, support),
-                    ),
+            **{
+                f"{name}_quantiles": F.when(
+                    fitted & ~F.col("oov") & expert.isNotNull(),
+                    _expert_quantiles(expert, F.col(f"{name}_log"), F.col(f"{name}_width")),
                 )
-                .when(scenario.isNotNull(), _expert_quantiles(scenario, features, support))
-                .otherwise(_expert_quantiles(aligned, features, support)),
-            ),
+                for name, expert in members.items()
+            },
         }
+    ).withColumn(
+        "direct",
+        F.coalesce(
+            F.when(
+                F.col("scenario_quantiles").isNotNull() & F.col("aligned_quantiles").isNotNull(),
+                _blend(clip(F.col("scenario_weight"), 0.0, 1.0), F.col("scenario_quantiles"), F.col("aligned_quantiles")),
+            ),
+            "scenario_quantiles",
+            "aligned_quantiles",
+        ),
     )
     cap = F.greatest(F.col("curve_p50") * 2.0, planned * F.col("global_roas") * 2.0, F.lit(1.0))
     d50 = F.col("direct.p50")
