@@ -20,7 +20,7 @@ def cell_text(df: DataFrame, name: str) -> Column:
         text = F.to_json(c)
     else:
         text = c.cast("string")
-    return F.when(c.isNull(), "\u0000").otherwise(text)
+    return F.when(c.isNull(), "\u0001").otherwise(text)
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
