@@ -41,7 +41,8 @@ def campaign_key() -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Bounded value; null stays null, although greatest and least alone would skip it."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def is_finite(c: Column) -> Column:

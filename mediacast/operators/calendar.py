@@ -98,9 +98,8 @@ def portfolio_calendar(facts: DataFrame, horizons: tuple[int, ...] = HORIZONS) -
             "month_means": F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.get("month_spend", i) / F.get("month_days", i)),
             "month_factors": F.transform(
                 F.sequence(F.lit(0), F.lit(11)),
-                lambda i: clip(
-                    F.get("month_valid_revenue", i) / F.greatest(F.get("month_valid_spend", i), F.lit(1e-9)) / roas, 0.55, 1.45
-                ),
+                # null for a month without rows: greatest and least skip nulls, so clip has to see one
+                lambda i: clip(F.get("month_valid_revenue", i) / F.get("month_valid_spend", i) / roas, 0.55, 1.45),
             ),
         }
     ).withColumns(

@@ -151,7 +151,9 @@ def target_reliability(results: DataFrame) -> DataFrame:
     """Brier score and calibration error of the target draw share per forecast set and horizon."""
     keys = ["scenario_id", "horizon_days"]
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "modeled_target_probability"))
-    events = results.where(F.col("actual_target_hit").isNotNull() & ~F.isnan("modeled_target_probability")).select(
+    events = results.where(F.col("actual_target_hit").isNotNull()
+        & F.col("modeled_target_probability").isNotNull()
+        & ~F.isnan("modeled_target_probability")).select(
         *keys,
         p.alias("p"),
         F.col("actual_target_hit").cast("double").alias("hit"),

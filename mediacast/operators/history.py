@@ -207,7 +207,7 @@ def delivery_ratios(facts: DataFrame) -> DataFrame:
     """Per campaign, the dated spend-to-configured-budget ratios (at most one a day)."""
     ratio = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("spend") / F.col("configured_budget")))
     return (
-        facts.where(F.col("configured_budget") > 0)
+        facts.where((F.col("configured_budget") > 0) & F.col("spend").isNotNull())
         .groupBy(*CAMPAIGN)
         .agg(F.collect_list(F.struct("date", ratio.alias("ratio"))).alias("ratios"))
     )

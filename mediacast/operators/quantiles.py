@@ -53,7 +53,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[st
     a = F.min(F.when(F.col("until") > first, F.col("v")))
     b = F.min(F.when(F.col("until") > second, F.col("v")))
     fraction = F.max("rank") - F.floor(F.max("rank"))
-    per_name = seen.groupBy(*keys, "name").agg((a + (b - a) * fraction).alias("value"), F.max("n").alias("n"))
+    under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("until"))), F.lit(0))
+    inside = (under <= F.floor(F.max("rank"))) & b.isNotNull()
+    per_name = seen.groupBy(*keys, "name").agg(
+        F.when(inside, a + (b - a) * fraction).otherwise(F.raise_error(F.lit("order statistic outside its bracket"))).alias("value"),
+        F.max("n").alias("n"),
+    )
     return per_name.groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted]
     )
