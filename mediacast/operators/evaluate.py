@@ -25,9 +25,11 @@ def target_actuals(facts: DataFrame, folds: DataFrame) -> DataFrame:
         "origin",
         F.explode(F.sequence(F.date_add("origin", 1), F.date_add("origin", F.col("horizon_days")))).alias("date"),
     )
+    # two literal days, so that the scan of the facts skips everything outside all target windows
+    first, last = folds.agg(F.min("origin"), F.max(F.date_add("origin", F.col("horizon_days")))).first()
     slices = ["horizon_days", "origin"]
     leaves = (
-        facts.join(F.broadcast(days), "date")
+        facts.where((F.col("date") > F.lit(first)) & (F.col("date") <= F.lit(last))).join(F.broadcast(days), "date")
         .groupBy(*slices, campaign_key().alias("campaign_key"), "channel", "campaign_type")
         .agg(F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
     )

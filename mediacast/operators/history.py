@@ -10,8 +10,6 @@ a window partition is bounded by the number of days in history.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +34,13 @@ def _landing_days(day: Column) -> Column:
     return F.filter(F.array(ahead, F.date_add(ahead, 1)), lambda d: F.add_months(d, -12) == day)
 
 
-def next_year_spend(facts: DataFrame) -> DataFrame:
-    return facts.select(*CAMPAIGN, F.explode(_landing_days(F.col("date"))).alias("date"), "spend")
+def _fact_and_prior(day: Column) -> Column:
+    """Where a fact counts: on its own day, and as prior-year evidence on the days it stands for."""
+
+    def at(kind: int, d: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.unix_date(d).alias("day"))
+
+    return F.concat(F.array(at(FACT, day)), F.transform(_landing_days(day), lambda d: at(PRIOR, d)))
 
 
 def origin_probes(dimension: DataFrame, origins: list) -> DataFrame:
@@ -85,29 +88,27 @@ def campaign_history(
     payload = [f for f in probes.schema.fields if f.name not in {*CAMPAIGN, "date"}]
     carried = ["date", *[f.name for f in payload]]
     edges = probes.withColumn("edge", F.explode(F.array(*[F.lit(k) for k in (-56, -28, 0, *horizons)])))
-
-    def event(source: DataFrame, kind: int, day: Column, spend: Column, revenue: Column) -> DataFrame:
-        own = kind == EDGE
-        return source.select(
+    own = [F.lit(None).cast("date").alias("date"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in payload]]
+    # one scan gives a fact and its copy a year ahead
+    placed = facts.select(*CAMPAIGN, "spend", "revenue", F.inline(_fact_and_prior(F.col("date"))))
+    events = placed.select(
+        *CAMPAIGN,
+        "kind",
+        "day",
+        "spend",
+        F.when(F.col("kind") == FACT, F.col("revenue")).alias("revenue"),
+        F.lit(None).cast("int").alias("edge"),
+        *own,
+    ).unionByName(
+        edges.select(
             *CAMPAIGN,
-            F.lit(kind).alias("kind"),
-            day.cast("int").alias("day"),
-            spend.alias("spend"),
-            revenue.alias("revenue"),
-            (F.col("edge") if own else F.lit(None).cast("int")).alias("edge"),
-            (F.col("date") if own else F.lit(None).cast("date")).alias("date"),
-            *[F.col(f.name) if own else F.lit(None).cast(f.dataType).alias(f.name) for f in payload],
+            F.lit(EDGE).alias("kind"),
+            (F.unix_date("date") + F.col("edge")).cast("int").alias("day"),
+            F.lit(None).cast("double").alias("spend"),
+            F.lit(None).cast("double").alias("revenue"),
+            "edge",
+            *carried,
         )
-
-    nothing = F.lit(None).cast("double")
-    day = F.unix_date("date")
-    events = reduce(
-        DataFrame.unionByName,
-        [
-            event(facts, FACT, day, F.col("spend"), F.col("revenue")),
-            event(next_year_spend(facts), PRIOR, day, F.col("spend"), nothing),
-            event(edges, EDGE, day + F.col("edge"), nothing, nothing),
-        ],
     )
     # placed by campaign once; every window and the regrouping below keep that placement
     events = events.repartition(*CAMPAIGN)

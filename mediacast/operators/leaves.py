@@ -110,18 +110,13 @@ def _with_season(models: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return models.withColumn("seasonal_roas", season)
 
 
-def serving_rows(
-    facts: DataFrame,
-    calendar: DataFrame,
-    models: DataFrame,
-    as_of_days: list,
-    horizons: tuple[int, ...] = HORIZONS,
-    targets: bool = False,
+def serving_history(
+    facts: DataFrame, as_of_days: list, horizons: tuple[int, ...] = HORIZONS, targets: bool = False
 ) -> DataFrame:
-    """History of every campaign at the given days, with its calendar and model row.
+    """Per campaign, as-of day and horizon everything a leaf forecast needs from the facts.
 
-    ``as_of_days`` is the short list of days the models are served at; calendar and model table are
-    bounded by history length and by that list, so both are broadcast.
+    ``as_of_days`` is the short list of days models are served at. One pass covers all of them, so a
+    job with many origins asks once and stages the result.
     """
     history = campaign_history(
         facts, origin_probes(campaigns(facts), as_of_days), horizons, spend_totals=True, targets=targets
@@ -129,11 +124,20 @@ def serving_rows(
     # both sides are placed by campaign already
     with_ratios = history.join(delivery_ratios(facts), CAMPAIGN, "left").withColumn(
         "delivery", median_until(F.col("ratios"), F.col("date"), 7)
-    ).drop("ratios")
+    )
+    return by_horizon(with_ratios.drop("ratios"), horizons)
+
+
+def serving_rows(
+    history: DataFrame, calendar: DataFrame, models: DataFrame, horizons: tuple[int, ...] = HORIZONS
+) -> DataFrame:
+    """History rows with their calendar day and every model served at that day.
+
+    Calendar and model table are bounded by history length and by the list of origins.
+    """
     at = calendar.select("date", "portfolio_active", "budget_multiplier_90")
     return (
-        by_horizon(with_ratios, horizons)
-        .join(F.broadcast(at), "date")
+        history.join(F.broadcast(at), "date")
         .join(F.broadcast(_with_season(models, horizons).withColumnRenamed("as_of", "date")), ["horizon_days", "date"])
         .where((F.col("recent_spend") > 0) | (F.col("portfolio_active") == 0))
         .withColumn("campaign_key", campaign_key())

@@ -62,7 +62,7 @@ def backtest(
     fold_table = stage(fold_origins(calendar, horizons, folds, step_days), "folds")
     slices = fold_table.select("horizon_days", "origin", "as_of")
     fitted = fit(facts, slices, calendar=calendar, horizons=horizons, train_direct=train_direct, with_baseline=True)
-    leaves = stage(plain_leaves(facts, calendar, fitted.models, horizons, targets=False), "fold_leaves")
+    leaves = stage(plain_leaves(fitted.history, calendar, fitted.models, horizons), "fold_leaves")
     forecast = stage(hierarchy_forecast(leaves), "fold_forecast")
     actuals = stage(target_actuals(facts, fold_table), "fold_actuals")
     records = coverage_records(forecast, actuals)

@@ -29,12 +29,11 @@ from mediacast.operators.evaluate import (
 )
 from mediacast.operators.fingerprint import canonical_fingerprint, provenance
 from mediacast.operators.history import campaigns
-from mediacast.operators.leaves import BASELINE, plan_problems, resolve_plan
+from mediacast.operators.leaves import BASELINE, plan_problems, predicted_log, resolve_plan, serving_history
 from mediacast.operators.quantiles import conformal_rank, deciles, order_statistics
 from mediacast.operators.ridge import FINAL, expert_fits, fit_statistics, gram_cells, solve_fits
 from mediacast.operators.rollup import hierarchy_forecast
 from mediacast.operators.training import FEATURES, SHARED, cutoff_counts, purged_splits, training_rows
-from mediacast.operators.leaves import predicted_log
 from mediacast.plans.backtest import backtest
 from mediacast.plans.fit import fit, plain_leaves
 from mediacast.plans.forecast import channel_plan, forecast, latest_slices, scenario_leaves, statistical_models
@@ -211,7 +210,8 @@ def baseline_budgets(spark: SparkSession, folder: str) -> DataFrame:
 def _bare_leaves(facts: DataFrame, calendar: DataFrame, slices: DataFrame, targets: bool = False) -> DataFrame:
     """Uncalibrated statistical leaf forecasts of every slice."""
     models = stage(statistical_models(calendar, slices), "models")
-    return plain_leaves(facts, calendar, models, HORIZONS, targets)
+    days = [r[0] for r in models.select("as_of").distinct().collect()]
+    return plain_leaves(serving_history(facts, days, targets=targets), calendar, models)
 
 
 def spend_intervals(spark: SparkSession, folder: str) -> DataFrame:

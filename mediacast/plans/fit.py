@@ -28,7 +28,7 @@ from mediacast.operators.calibrate import (
     width_profiles,
 )
 from mediacast.operators.dependence import block_portfolio_profile, factor_weights, normalised
-from mediacast.operators.leaves import leaf_forecasts, serving_rows
+from mediacast.operators.leaves import leaf_forecasts, serving_history, serving_rows
 from mediacast.operators.model_table import FACTOR_COPULA, INDEPENDENT, complete
 from mediacast.operators.ridge import (
     blend_weights,
@@ -55,6 +55,7 @@ class Fit:
     """Model tables of both families and the evidence behind them."""
 
     calendar: DataFrame
+    history: DataFrame
     models: DataFrame
     selection: DataFrame
     width_profiles: DataFrame
@@ -65,26 +66,25 @@ class Fit:
 
 def _days(slices: DataFrame, column: str) -> list:
     """Distinct days of a slice table: origins the caller asked for, never data-sized."""
-    return [r[0] for r in slices.select(column).distinct().collect()]
+    return [r[0] for r in slices.select(column).distinct().where(F.col(column).isNotNull()).collect()]
 
 
-def plain_leaves(facts: DataFrame, calendar: DataFrame, models: DataFrame, horizons: tuple[int, ...], targets: bool) -> DataFrame:
+def plain_leaves(history: DataFrame, calendar: DataFrame, models: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Leaf forecasts of every model row at its own as-of day, without scenarios."""
-    rows = serving_rows(facts, calendar, models, _days(models, "as_of"), horizons, targets=targets)
+    rows = serving_rows(history, calendar, models, horizons)
     return leaf_forecasts(
         rows.withColumns({"scenario_id": F.col("model_set"), "override": F.lit(None).cast("double")})
     )
 
 
 def calibration_tables(
-    facts: DataFrame, calendar: DataFrame, slices: DataFrame, horizons: tuple[int, ...]
+    history: DataFrame, calendar: DataFrame, pairs: DataFrame, horizons: tuple[int, ...]
 ) -> tuple[DataFrame, DataFrame]:
     """Width and portfolio profiles of the statistical model for each slice."""
-    pairs = stage(calibration_origins(calendar, slices, horizons), "calibration_pairs")
     # origins sit on one grid, so slices share most of them and each is forecast once
     origins = pairs.select("horizon_days", F.col("calibration_origin").alias("origin")).distinct()
     models = stage(complete(statistical_parameters(calendar, origins)), "calibration_models")
-    leaves = stage(plain_leaves(facts, calendar, models, horizons, targets=True), "calibration_leaves")
+    leaves = stage(plain_leaves(history, calendar, models, horizons), "calibration_leaves")
     overall = hierarchy_forecast(leaves).where(F.col("level") == "overall")
     samples = stage(interval_samples(leaves, pairs), "interval_samples")
     return stage(width_profiles(samples), "width_profiles"), stage(portfolio_profiles(overall, pairs), "portfolio_profiles")
@@ -107,10 +107,9 @@ def tournament_slices(calendar: DataFrame, slices: DataFrame, horizons: tuple[in
 
 
 def run_tournament(
-    facts: DataFrame, calendar: DataFrame, slices: DataFrame, fitted: DataFrame, horizons: tuple[int, ...]
+    history: DataFrame, calendar: DataFrame, bouts: DataFrame, fitted: DataFrame, horizons: tuple[int, ...]
 ) -> DataFrame:
     """Direct against statistical on the terminal holdout; direct has to be strictly better."""
-    bouts = stage(tournament_slices(calendar, slices, horizons), "tournament_slices")
     origins = (
         bouts.where("eligible")
         .select("horizon_days", F.col("tournament_origin").alias("origin"))
@@ -122,7 +121,7 @@ def run_tournament(
             bare.withColumns({"model_set": F.lit(DIRECT), "family": F.lit(DIRECT)}).join(fitted, KEYS)
         )
     )
-    leaves = plain_leaves(facts, calendar, stage(contenders, "contenders"), horizons, targets=False)
+    leaves = plain_leaves(history, calendar, stage(contenders, "contenders"), horizons)
     totals = leaves.groupBy("horizon_days", F.col("origin").alias("tournament_origin")).agg(
         F.sum(F.when(F.col("scenario_id") == STATISTICAL, F.col("predicted_revenue_p50"))).alias("statistical_p50"),
         F.sum(F.when(F.col("scenario_id") == DIRECT, F.col("predicted_revenue_p50"))).alias("direct_p50"),
@@ -170,7 +169,12 @@ def fit(
     calendar = calendar if calendar is not None else staged_calendar(facts, horizons)
     slices = stage(slices if slices is not None else latest_slices(calendar, horizons), "slices")
     bare = stage(statistical_parameters(calendar, slices.drop("as_of")), "statistical_parameters")
-    widths, portfolios = calibration_tables(facts, calendar, slices, horizons)
+    pairs = stage(calibration_origins(calendar, slices, horizons), "calibration_pairs")
+    bouts = stage(tournament_slices(calendar, slices, horizons), "tournament_slices")
+    # the one pass over the facts for calibration, tournament and serving origins
+    days = {*_days(slices, "as_of"), *_days(pairs, "calibration_as_of"), *(_days(bouts, "tournament_as_of") if train_direct else [])}
+    history = stage(serving_history(facts, sorted(days), horizons, targets=True), "history")
+    widths, portfolios = calibration_tables(history, calendar, pairs, horizons)
     calibrated = (
         bare.join(valid_widths(widths), KEYS, "left")
         .join(valid_portfolio(portfolios), KEYS, "left")
@@ -183,10 +187,9 @@ def fit(
         )
         models = complete(calibrated.withColumn("model_set", F.lit("candidate")))
         models = models.unionByName(baseline) if with_baseline else models
-        return Fit(calendar, stage(models, "models"), selection, widths, portfolios)
+        return Fit(calendar, history, stage(models, "models"), selection, widths, portfolios)
 
     first_day = calendar.agg(F.min("date")).first()[0]
-    bouts = tournament_slices(calendar, slices, horizons)
     trained = stage(
         slices.select(*KEYS)
         .unionByName(bouts.where("eligible").select("horizon_days", F.col("tournament_origin").alias("origin")))
@@ -200,7 +203,7 @@ def fit(
     coefficients = stage(solve_fits(fit_statistics(cells, expert_fits(splits))), "coefficients")
     profiles = residual_profiles(held_out_residuals(rows, splits, coefficients))
     fitted = stage(experts(coefficients, profiles, blend_weights(rows, splits, coefficients)), "experts")
-    selection = stage(run_tournament(facts, calendar, slices, fitted, horizons), "selection")
+    selection = stage(run_tournament(history, calendar, bouts, fitted, horizons), "selection")
 
     # without any direct model in a fit every slice is served statistically
     chosen = calibrated.join(selection.select(*KEYS, F.col("selected_family").alias("family")), KEYS).join(
@@ -240,4 +243,4 @@ def fit(
         )
     models = complete(chosen.withColumn("model_set", F.lit("candidate")))
     models = models.unionByName(baseline) if with_baseline else models
-    return Fit(calendar, stage(models, "models"), selection, widths, portfolios, dependence, fitted)
+    return Fit(calendar, history, stage(models, "models"), selection, widths, portfolios, dependence, fitted)

@@ -15,6 +15,7 @@ from mediacast.operators.leaves import (
     plan_problems,
     raise_on_plan_problems,
     resolve_plan,
+    serving_history,
     serving_rows,
     with_scenarios,
 )
@@ -61,7 +62,7 @@ def scenario_leaves(
     check_plan: bool = True,
 ) -> DataFrame:
     """Staged leaf forecasts at the last day; stops when a plan row reaches no active campaign."""
-    rows = serving_rows(facts, calendar, models, [last_day(calendar)], horizons)
+    rows = serving_rows(serving_history(facts, [last_day(calendar)], horizons), calendar, models, horizons)
     resolved = resolve_plan(plan, campaigns(facts)) if plan is not None else None
     leaves = stage(leaf_forecasts(with_scenarios(rows, scenarios, resolved)), "leaves")
     if resolved is not None and check_plan:
@@ -109,7 +110,7 @@ def channel_plan(leaves: DataFrame, requests: DataFrame) -> DataFrame:
     base = leaves.where(F.col("scenario_id") == BASELINE).select("horizon_days", "channel", "campaign_key", "planned_budget")
     totals = base.groupBy("horizon_days", "channel").agg(F.sum("planned_budget").alias("channel_total"))
     wanted = requests.join(totals, ["horizon_days", "channel"])
-    return base.join(F.broadcast(wanted), ["horizon_days", "channel"]).select(
+    return base.join(wanted, ["horizon_days", "channel"]).select(
         "scenario_id",
         "horizon_days",
         F.col("campaign_key").alias("override_key"),

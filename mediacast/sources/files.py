@@ -34,15 +34,22 @@ def publish(spark: SparkSession, staged: str, target: str) -> None:
         raise OSError(f"could not publish {target}")
 
 
-def write_single_csv(df: DataFrame, target: str) -> None:
-    """One CSV file with header and LF line ends, published in one step.
+def _write_csv(df: DataFrame, folder: str) -> None:
+    df.write.csv(folder, header=True, escape='"', lineSep="\n", emptyValue="", nullValue="")
+
 
-    For reports handed to people and scorers: a summary of at most a few rows per campaign. Larger
-    results belong in parquet.
-    """
+def replace_csv_folder(df: DataFrame, target: str) -> None:
+    """CSV part files next to ``target``, then swapped in as a folder."""
+    staged = f"{target}.new-{uuid.uuid4().hex}"
+    _write_csv(df, staged)
+    publish(df.sparkSession, staged, target)
+
+
+def write_single_csv(df: DataFrame, target: str) -> None:
+    """One CSV file with header and LF line ends, published in one step; for small results."""
     spark = df.sparkSession
     staged = f"{target}.new-{uuid.uuid4().hex}"
-    df.coalesce(1).write.csv(staged, header=True, escape='"', lineSep="\n", emptyValue="", nullValue="")
+    _write_csv(df.coalesce(1), staged)
     fs, folder = _fs(spark, staged)
     parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
     publish(spark, parts[0].toString(), target)

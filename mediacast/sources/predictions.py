@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from mediacast.contracts import ALL, ContractError
 from mediacast.functions.columns import is_finite, number, strip
 from mediacast.sources.exports import header
-from mediacast.sources.files import replace_folder, write_single_csv
+from mediacast.sources.files import replace_csv_folder, replace_folder, write_single_csv
 
 STRING, INTEGER, NUMBER = "string", "integer", "number"
+SINGLE_FILE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -164,10 +165,18 @@ def as_text(df: DataFrame, schema: Schema) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, target: str, version: str | None = None, registry: dict[str, Schema] = REGISTRY) -> DataFrame:
-    """Adapt, check and publish one sorted CSV file; a failure leaves an older file as it was."""
+    """Adapt, check and publish a sorted CSV; a failure leaves an older one as it was.
+
+    Up to ``SINGLE_FILE_ROWS`` rows become one file. More become a folder of sorted part files, each
+    with the header, so that no single task has to write them all.
+    """
     schema = get_schema(version, registry)
     rows = validated(df, version, registry)
-    write_single_csv(as_text(ordered(rows, schema), schema), target)
+    text = as_text(ordered(rows, schema), schema)
+    if rows.count() <= SINGLE_FILE_ROWS:
+        write_single_csv(text, target)
+    else:
+        replace_csv_folder(text, target)
     return rows
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediacast.contracts import ContractError, HORIZONS
 from mediacast.operators import calendar as cal
-from mediacast.operators.history import next_year_spend
+from mediacast.operators.history import PRIOR, _fact_and_prior
 from mediacast.operators.rollup import hierarchy_forecast
 from mediacast.plans.forecast import latest_slices, scenario_leaves, statistical_models
 from mediacast.session import stage
@@ -45,7 +45,8 @@ def test_prior_year_plan_is_capped_and_needs_coverage(make_facts, prior_days, bu
 
 def test_leap_days_map_like_a_calendar(make_facts):
     rows = [("google_ads", "1", dt.date(2023, 2, 28), 7, 1), ("google_ads", "1", dt.date(2024, 2, 29), 5, 1), ("google_ads", "1", dt.date(2024, 3, 1), 3, 1)]
-    found = {(r.date, r.spend) for r in next_year_spend(make_facts(rows)).collect()}
+    placed = make_facts(rows).select("spend", F.inline(_fact_and_prior(F.col("date")))).where(F.col("kind") == PRIOR)
+    found = {(r.date, r.spend) for r in placed.select(F.date_from_unix_date("day").alias("date"), "spend").collect()}
     assert found == {(dt.date(2024, 2, 28), 7.0), (dt.date(2024, 2, 29), 7.0), (dt.date(2025, 3, 1), 3.0)}
 
 
