@@ -149,30 +149,42 @@ def campaign_history(
         "prior_positive": F.count(F.when(prior & (F.col("spend") > 0), 1)).over(so_far),
         "prior_seen": F.count(F.when(prior, 1)).over(so_far),
     }
+    # only what some window below reads, as plain columns, so that the regrouping is a hash aggregation
+    sums = ["spend_sum", "spend_days", "revenue_sum", "revenue_days"]
+    now, month, two_months = "edge_0", "edge_m28", "edge_m56"
+    read = {
+        -56: ["spend_sum", "spend_days"],
+        -28: [*sums, "days"],
+        0: [c for c in at_edge if c != "next_fact"],
+    }
+    for h in horizons:
+        read[h] = ["prior_sum", "prior_positive", "prior_seen"]
+        read[h] += [*sums, "days"] if targets else []
+        read[h] += ["next_fact"] if labels else []
+
+    def at(edge: int | str, name: str) -> str:
+        return f"{edge}_{name}" if isinstance(edge, str) else f"edge_{edge}_{name}".replace("-", "m")
+
     found = events.withColumns(at_edge).where(F.col("kind") == EDGE)
     wide = found.groupBy(*CAMPAIGN, *carried).agg(
-        *[
-            F.max(F.when(F.col("edge") == k, F.struct(*at_edge))).alias(f"edge_{k}".replace("-", "m"))
-            for k in (-56, -28, 0, *horizons)
-        ]
+        *[F.max(F.when(F.col("edge") == k, F.col(name))).alias(at(k, name)) for k, names in read.items() for name in names]
     )
 
     def between(low: str, high: str, total: str, positive: str) -> Column:
-        change = F.col(f"{high}.{total}") - F.coalesce(F.col(f"{low}.{total}"), F.lit(0.0))
-        return F.when(F.col(f"{high}.{positive}") == F.col(f"{low}.{positive}"), 0.0).otherwise(change)
+        change = F.col(at(high, total)) - F.coalesce(F.col(at(low, total)), F.lit(0.0))
+        return F.when(F.col(at(high, positive)) == F.col(at(low, positive)), 0.0).otherwise(change)
 
     def count(low: str, high: str, name: str) -> Column:
-        return F.col(f"{high}.{name}") - F.col(f"{low}.{name}")
+        return F.col(at(high, name)) - F.col(at(low, name))
 
-    now, month, two_months = "edge_0", "edge_m28", "edge_m56"
     columns = {
         "recent_spend": between(month, now, "spend_sum", "spend_days"),
         "recent_revenue": between(month, now, "revenue_sum", "revenue_days"),
         "recent_days": count(month, now, "days"),
         "previous_spend": between(two_months, month, "spend_sum", "spend_days"),
-        "history_spend": F.coalesce(F.col(f"{now}.spend_sum"), F.lit(0.0)),
-        "history_revenue": F.coalesce(F.col(f"{now}.revenue_sum"), F.lit(0.0)),
-        "history_days": F.col(f"{now}.days"),
+        "history_spend": F.coalesce(F.col(at(now, "spend_sum")), F.lit(0.0)),
+        "history_revenue": F.coalesce(F.col(at(now, "revenue_sum")), F.lit(0.0)),
+        "history_days": F.col(at(now, "days")),
     }
     for h in horizons:
         end = f"edge_{h}"
@@ -188,9 +200,9 @@ def campaign_history(
             }
         if labels:
             # first observed day on or after the end of the target: from then on the label is known
-            columns[f"known_on_{h}"] = F.date_from_unix_date(F.col(f"{end}.next_fact"))
+            columns[f"known_on_{h}"] = F.date_from_unix_date(F.col(at(end, "next_fact")))
         if spend_totals:
-            columns |= {f"total_{n}_{h}": F.col(f"{now}.total_{n}_{h}") for n in ("n", "mean", "std")}
+            columns |= {f"total_{n}_{h}": F.col(at(now, f"total_{n}_{h}")) for n in ("n", "mean", "std")}
     return wide.select(*CAMPAIGN, *carried, *[c.alias(name) for name, c in columns.items()])
 
 
@@ -205,18 +217,29 @@ def by_horizon(history: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Data
 
 
 def delivery_ratios(facts: DataFrame) -> DataFrame:
-    """Per campaign, the dated spend-to-configured-budget ratios (at most one a day)."""
+    """Per campaign, the dated spend-to-configured-budget ratios (at most one a day), smallest first."""
     ratio = F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.col("spend") / F.col("configured_budget")))
     return (
         facts.where((F.col("configured_budget") > 0) & F.col("spend").isNotNull())
         .groupBy(*CAMPAIGN)
-        .agg(F.collect_list(F.struct("date", ratio.alias("ratio"))).alias("ratios"))
+        .agg(F.sort_array(F.collect_list(F.struct(ratio.alias("ratio"), "date"))).alias("ratios"))
     )
 
 
-def median_until(ratios: Column, day: Column, least: int) -> Column:
-    """Median of the ratios dated up to ``day``, null with fewer than ``least`` of them."""
-    known = F.array_sort(F.transform(F.filter(ratios, lambda x: x["date"] <= day), lambda x: x["ratio"]))
-    n = F.size(known)
-    middle = (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2.0
-    return F.when(n >= least, middle)
+def with_delivery(history: DataFrame, ratios: DataFrame, least: int = 7) -> DataFrame:
+    """Adds ``delivery``: the median ratio dated up to the row's day, null with too few of them.
+
+    Ratios come sorted, so the known ones stay sorted and nothing is sorted per origin.
+    """
+    n = F.size("known")
+
+    def at(position: Column) -> Column:
+        return F.get("known", position.cast("int"))["ratio"]
+
+    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0
+    return (
+        history.join(ratios, CAMPAIGN, "left")
+        .withColumn("known", F.filter("ratios", lambda x: x["date"] <= F.col("date")))
+        .withColumn("delivery", F.when(n >= least, middle))
+        .drop("ratios", "known")
+    )

@@ -11,7 +11,7 @@ from mediacast.contracts import CAMPAIGN, DIRECT, HIERARCHY, HORIZONS, STATISTIC
 from mediacast.functions.columns import campaign_key, clip, joined_flags, response_revenue
 from mediacast.operators.budget import PRIOR_YEAR, RUN_RATE, baseline_columns
 from mediacast.operators.calendar import budget_multiplier, mean_over_future
-from mediacast.operators.history import by_horizon, campaign_history, campaigns, delivery_ratios, median_until, origin_probes
+from mediacast.operators.history import by_horizon, campaign_history, campaigns, delivery_ratios, origin_probes, with_delivery
 
 BASELINE = "baseline"
 SLICE = ["scenario_id", "horizon_days", "origin"]
@@ -122,10 +122,7 @@ def serving_history(
         facts, origin_probes(campaigns(facts), as_of_days), horizons, spend_totals=True, targets=targets
     )
     # both sides are placed by campaign already
-    with_ratios = history.join(delivery_ratios(facts), CAMPAIGN, "left").withColumn(
-        "delivery", median_until(F.col("ratios"), F.col("date"), 7)
-    )
-    return by_horizon(with_ratios.drop("ratios"), horizons)
+    return by_horizon(with_delivery(history, delivery_ratios(facts)), horizons)
 
 
 def serving_rows(

@@ -2,13 +2,11 @@
 
 Draws stay arrays inside a leaf row. They are exploded once, straight into a partial aggregation on
 (channel, type, draw), so what is shuffled does not grow with the number of campaigns. Everything
-above works on that small table.
+above works on that small table. Campaign rows are summarised inside their own row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,35 +24,46 @@ from mediacast.functions.draws import (
 )
 from mediacast.operators.leaves import SLICE
 from mediacast.operators.model_table import FACTOR_COPULA
+from mediacast.session import stage
 
 _MODEL = ["model_version", "target_roas", "family", "dependence_method", "portfolio_p10", "portfolio_p50", "portfolio_p90"]
 MEDIAN_RANK = 50
 
 
-def percentile_ranks() -> Column:
-    """Rank of each draw within the leaf: by factor copula where weights exist, else by its own hash order."""
-    own = F.concat(F.lit("campaign:"), F.col("campaign_key"))
+def shared_shocks(leaves: DataFrame) -> DataFrame:
+    """Weighted global, channel and type factors, once per slice and campaign type that uses a copula."""
+    keys = [*SLICE, "channel", "campaign_type"]
+    weights = ["weight_global", "weight_channel", "weight_campaign_type"]
     labels = [
-        ("weight_global", F.lit("global")),
-        ("weight_channel", F.concat(F.lit("channel:"), F.col("channel"))),
-        ("weight_campaign_type", F.concat(F.lit("campaign_type:"), F.col("channel"), F.lit(":"), F.col("campaign_type"))),
-        ("weight_idiosyncratic", own),
+        F.lit("global"),
+        F.concat(F.lit("channel:"), F.col("channel")),
+        F.concat(F.lit("campaign_type:"), F.col("channel"), F.lit(":"), F.col("campaign_type")),
     ]
-    latent = weighted_latent([(F.col(weight), factor_path(label)) for weight, label in labels])
-    return F.when(F.col("dependence_method") == FACTOR_COPULA, value_ranks(latent)).otherwise(hash_ranks(own))
+    groups = leaves.where(F.col("dependence_method") == FACTOR_COPULA).select(*keys, *weights).distinct()
+    latent = weighted_latent([(F.col(w), factor_path(label)) for w, label in zip(weights, labels)])
+    return groups.select(*keys, latent.alias("shared"))
 
 
 def leaf_draws(leaves: DataFrame) -> DataFrame:
-    """Adds 99 revenue and spend draws that share one percentile path."""
+    """Adds 99 revenue and spend draws that share one percentile path.
+
+    Ranks follow the factor copula where weights exist, else the leaf's own hash order.
+    """
+    own = F.concat(F.lit("campaign:"), F.col("campaign_key"))
+    # staged, so that its true size decides how it is joined
+    shocks = stage(shared_shocks(leaves), "shared_shocks")
+    joint = F.zip_with("shared", weighted_latent([(F.col("weight_idiosyncratic"), factor_path(own))]), lambda a, b: a + b)
+    ranks = F.when(F.col("dependence_method") == FACTOR_COPULA, value_ranks(joint)).otherwise(hash_ranks(own))
     return (
-        leaves.withColumn("ranks", percentile_ranks())
+        leaves.join(shocks, [*SLICE, "channel", "campaign_type"], "left")
+        .withColumn("ranks", ranks)
         .withColumns(
             {
                 f"{name}_draws": interpolated(F.col("ranks"), *[F.col(f"predicted_{name}_{q}") for q in ("p10", "p50", "p90")])
                 for name in ("revenue", "spend")
             }
         )
-        .drop("ranks")
+        .drop("ranks", "shared")
     )
 
 
@@ -147,13 +156,8 @@ def _reconciled() -> Column:
     ).otherwise(F.col("revenue_draws"))
 
 
-def hierarchy_forecast(leaves: DataFrame) -> DataFrame:
-    """Summary rows for campaigns, campaign types, channels and the portfolio."""
-    draws = leaf_draws(leaves)
-    levels = level_draws(draws)
-    # one row per scenario, horizon and origin that was asked for
-    calibration = F.broadcast(portfolio_calibration(levels))
-    upper = levels.withColumns(
+def _as_rows(levels: DataFrame) -> DataFrame:
+    return levels.withColumns(
         {
             "campaign_id": F.lit(ALL),
             "campaign_name": F.lit(ALL),
@@ -161,11 +165,28 @@ def hierarchy_forecast(leaves: DataFrame) -> DataFrame:
             "quality_flags": F.lit(None).cast("string"),
         }
     )
-    columns = upper.columns
+
+
+def upper_forecast(leaves: DataFrame) -> DataFrame:
+    """Summary rows for campaign types, channels and the portfolio only."""
+    levels = stage(level_draws(leaf_draws(leaves)), "levels")
+    return summarise(_as_rows(levels).join(F.broadcast(portfolio_calibration(levels)), SLICE))
+
+
+def hierarchy_forecast(leaves: DataFrame) -> DataFrame:
+    """Summary rows for campaigns, campaign types, channels and the portfolio.
+
+    Draws are read twice, for the roll-up and, once the portfolio is calibrated, for the campaigns
+    themselves. Building them costs far more than storing them, so they are staged.
+    """
+    draws = stage(leaf_draws(leaves), "draws")
+    levels = stage(level_draws(draws), "levels")
+    upper = _as_rows(levels)
     leaf_rows = draws.withColumns(
         {"level": F.lit("campaign"), "leaves": F.lit(1).cast("bigint"), "campaign_id": F.col("source_campaign_id")}
-    ).select(*columns)
-    return summarise(reduce(DataFrame.unionByName, [leaf_rows, upper]).join(calibration, SLICE))
+    ).select(*upper.columns)
+    # one calibration row per scenario, horizon and origin that was asked for
+    return summarise(leaf_rows.unionByName(upper).join(F.broadcast(portfolio_calibration(levels)), SLICE))
 
 
 def summarise(rows: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from mediacast.operators.history import campaigns
 from mediacast.operators.leaves import BASELINE, plan_problems, predicted_log, resolve_plan, serving_history
 from mediacast.operators.quantiles import conformal_rank, deciles, order_statistics
 from mediacast.operators.ridge import FINAL, expert_fits, fit_statistics, gram_cells, solve_fits
-from mediacast.operators.rollup import hierarchy_forecast
+from mediacast.operators.rollup import hierarchy_forecast, upper_forecast
 from mediacast.operators.training import FEATURES, SHARED, cutoff_counts, purged_splits, training_rows
 from mediacast.plans.backtest import backtest
 from mediacast.plans.fit import fit, plain_leaves
@@ -462,7 +462,7 @@ def conformal_order_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def portfolio_residual_profile(spark: SparkSession, folder: str) -> DataFrame:
     _, pairs, leaves = _calibration(spark, folder)
-    overall = hierarchy_forecast(leaves).where(F.col("level") == "overall")
+    overall = upper_forecast(leaves).where(F.col("level") == "overall")
     found = portfolio_profiles(overall, pairs)
     columns = [f"residual_{q}" for q in ("p10", "p50", "p90")]
     return rounded(found.select("horizon_days", "origin_count", *columns), {c: 6 for c in columns})

@@ -43,7 +43,7 @@ from mediacast.operators.ridge import (
     solve_fits,
     solve_out_of_fold,
 )
-from mediacast.operators.rollup import hierarchy_forecast
+from mediacast.operators.rollup import upper_forecast
 from mediacast.operators.training import cutoff_counts, purged_splits, training_rows
 from mediacast.session import stage
 
@@ -85,7 +85,7 @@ def calibration_tables(
     origins = pairs.select("horizon_days", F.col("calibration_origin").alias("origin")).distinct()
     models = stage(complete(statistical_parameters(calendar, origins)), "calibration_models")
     leaves = stage(plain_leaves(history, calendar, models, horizons), "calibration_leaves")
-    overall = hierarchy_forecast(leaves).where(F.col("level") == "overall")
+    overall = upper_forecast(leaves).where(F.col("level") == "overall")
     samples = stage(interval_samples(leaves, pairs), "interval_samples")
     return stage(width_profiles(samples), "width_profiles"), stage(portfolio_profiles(overall, pairs), "portfolio_profiles")
 
@@ -201,7 +201,10 @@ def fit(
     splits = stage(purged_splits(counts, trained), "splits")
     cells = stage(gram_cells(rows), "gram_cells")
     coefficients = stage(solve_fits(fit_statistics(cells, expert_fits(splits))), "coefficients")
-    profiles = residual_profiles(held_out_residuals(rows, splits, coefficients))
+    residuals = held_out_residuals(rows, splits, coefficients).select(
+        "horizon_days", "mode", "origin", "recent_active_days", "support_ratio", "residual_log_revenue"
+    )
+    profiles = residual_profiles(stage(residuals, "held_out_residuals"))
     fitted = stage(experts(coefficients, profiles, blend_weights(rows, splits, coefficients)), "experts")
     selection = stage(run_tournament(history, calendar, bouts, fitted, horizons), "selection")
 
