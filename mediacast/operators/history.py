@@ -20,11 +20,13 @@ OWN_CADENCE, SHARED_CADENCE = "own", "shared"
 
 
 def campaigns(facts: DataFrame) -> DataFrame:
-    """Campaign dimension with first and last observed day."""
-    return facts.groupBy(*CAMPAIGN).agg(
-        *[F.min(c).alias(c) for c in HIERARCHY],
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
+    """Campaign dimension with first and last observed day.
+
+    Labels are grouping keys: they are unique per campaign once the gate has passed, and only dates
+    are aggregated, which keeps this a hash aggregation.
+    """
+    return facts.groupBy(*CAMPAIGN, *HIERARCHY).agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
 
 

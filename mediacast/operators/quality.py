@@ -107,15 +107,12 @@ def duplicate_days(facts: DataFrame) -> DataFrame:
 
 def inconsistent_campaigns(facts: DataFrame) -> DataFrame:
     """Campaigns with more than one channel, type or name; null counts as a value of its own."""
-
-    def varies(c: str) -> Column:
-        nulls = F.count_if(F.col(c).isNull())
-        return (F.min(c) != F.max(c)) | ((nulls > 0) & (nulls < F.count("*")))
-
     return (
-        facts.groupBy(*CAMPAIGN)
-        .agg(*[F.coalesce(varies(c), F.lit(False)).alias(c) for c in HIERARCHY])
-        .agg(F.count_if(F.col(HIERARCHY[0]) | F.col(HIERARCHY[1]) | F.col(HIERARCHY[2])).alias("violations"))
+        facts.select(*CAMPAIGN, *HIERARCHY)
+        .distinct()
+        .groupBy(*CAMPAIGN)
+        .count()
+        .agg(F.count_if(F.col("count") > 1).alias("violations"))
         .select(
             F.lit("inconsistent_hierarchy").alias("rule"),
             F.lit(BLOCKER).alias("severity"),

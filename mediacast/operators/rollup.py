@@ -70,12 +70,11 @@ def leaf_draws(leaves: DataFrame) -> DataFrame:
 def draw_totals(draws: DataFrame) -> DataFrame:
     """Sums per draw at campaign-type, channel and overall level."""
     exploded = draws.select(
-        *SLICE, *_MODEL, "channel", "campaign_type", "planned_budget", "predicted_revenue_p50",
+        *SLICE, "channel", "campaign_type", "planned_budget", "predicted_revenue_p50",
         F.posexplode(F.arrays_zip("revenue_draws", "spend_draws")).alias("draw", "pair"),
     )
     first = F.col("draw") == 0
     by_type = exploded.groupBy(*SLICE, "channel", "campaign_type", "draw").agg(
-        *[F.first(c).alias(c) for c in _MODEL],
         F.sum("pair.revenue_draws").alias("revenue"),
         F.sum("pair.spend_draws").alias("spend"),
         F.sum(F.when(first, F.col("planned_budget")).otherwise(0.0)).alias("planned_budget"),
@@ -86,7 +85,6 @@ def draw_totals(draws: DataFrame) -> DataFrame:
     sets = [[*SLICE, "channel", "campaign_type", "draw"], [*SLICE, "channel", "draw"], [*SLICE, "draw"]]
     return by_type.groupingSets(sets, *keys).agg(
         (F.grouping("channel") * 2 + F.grouping("campaign_type")).alias("rolled"),
-        *[F.first(c).alias(c) for c in _MODEL],
         *[F.sum(c).alias(c) for c in ("revenue", "spend", "planned_budget", "p50", "leaves")],
     )
 
@@ -94,16 +92,18 @@ def draw_totals(draws: DataFrame) -> DataFrame:
 def level_draws(draws: DataFrame) -> DataFrame:
     """Upper-level rows with their draw sums back in array form."""
     cells = F.sort_array(F.collect_list(F.struct("draw", "revenue", "spend")))
+    # one row per scenario, horizon and origin; kept out of the roll-up, whose buffers are numbers only
+    models = draws.select(*SLICE, *_MODEL).distinct()
     return (
         draw_totals(draws)
         .groupBy(*SLICE, "rolled", "channel", "campaign_type")
         .agg(
-            *[F.first(c).alias(c) for c in _MODEL],
             cells.alias("cells"),
             F.sum("planned_budget").alias("planned_budget"),
             F.sum("p50").alias("predicted_revenue_p50"),
             F.sum("leaves").alias("leaves"),
         )
+        .join(F.broadcast(models), SLICE)
         .select(
             *SLICE,
             F.when(F.col("rolled") == 3, "overall").when(F.col("rolled") == 1, "channel").otherwise("campaign_type").alias("level"),

@@ -463,6 +463,24 @@ SELECT o_orderkey, o_custkey, CAST(d AS VARCHAR) AS order_day, o_totalprice FROM
         "n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY p DESC, channel) AS position FROM c)",
         select="SELECT h AS horizon_days, position, channel, round(p + 3e-6, 2) AS expected_revenue FROM n WHERE position <= 3",
     )
+    sql["top_campaigns"] = _with(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        SPEND,
+        LEAF,
+        "n AS (SELECT h, k, r50, row_number() OVER (PARTITION BY h ORDER BY r50 DESC, channel, campaign_type, k) AS position FROM leaf)",
+        select="SELECT h AS horizon_days, position, k AS campaign_key, round(r50 + 3e-6, 2) AS expected_revenue FROM n WHERE position <= 10",
+    )
+    sql["budget_plan_problems"] = _with(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        "active AS (SELECT DISTINCT id FROM budgets WHERE rs > 0 AND h = 30)",
+        "named AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS override_key FROM supplier)",
+        select="""SELECT 'baseline' AS scenario_id, 30 AS horizon_days, override_key, 'no_active_campaign' AS problem FROM named
+  WHERE override_key NOT IN (SELECT id FROM active)""",
+    )
     sql["decision_rows"] = _with(
         LATEST,
         ORIGINS,
