@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediacast.llm.embedding_forest import near_vectors
+from mediacast.llm.language import languages
 from mediacast.llm.mixing import mixed
 from mediacast.llm.ngram_join import near_duplicates
 from mediacast.llm.token_counts import token_counts
+from mediacast.llm.url_filter import judged
 from mediacast.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,10 +39,22 @@ def op4_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archived(_table(spark, folder, "pages"), f"warc-{uuid.uuid4().hex}")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(_table(spark, folder, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_token_counts, op2_ngram_jaccard, op3_source_mix, op4_warc_archive)
+        for f in (op1_token_counts, op2_ngram_jaccard, op3_source_mix, op4_warc_archive, op5_language_id, op6_url_filter, op7_embedding_forest)
     }
 
 
@@ -101,5 +116,41 @@ FROM f
 """
 
 
+_URL_FILTER = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), rules AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+  AS t(h, pre, verdict)
+), f AS (
+  SELECT p.*, (SELECT arg_max({'rule': h || pre, 'verdict': verdict}, length(h || pre)) FROM rules
+               WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, pre)) AS r FROM p
+), t AS (
+  SELECT *, regexp_replace(path, '[0-9]+', '*', 'g') AS template FROM f
+), c AS (
+  SELECT host, template, count(r) AS labelled, count(CASE WHEN r.verdict = 'block' THEN 1 END) AS blocked FROM t GROUP BY ALL
+)
+SELECT page_id, host, path, r.rule AS rule,
+       coalesce(r.verdict, CASE WHEN (blocked + 1.0) / (labelled + 2.0) >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict
+FROM t JOIN c USING (host, template)
+"""
+
+_EMBEDDING_FOREST = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (SELECT node AS vec_id, min(reached) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _NGRAM_JACCARD, "op3_source_mix": _SOURCE_MIX, "op4_warc_archive": _WARC}
+    return {"op2_ngram_jaccard": _NGRAM_JACCARD, "op3_source_mix": _SOURCE_MIX, "op4_warc_archive": _WARC, "op6_url_filter": _URL_FILTER, "op7_embedding_forest": _EMBEDDING_FOREST}
