@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediacast.llm.decontaminate import contaminated
 from mediacast.llm.embedding_forest import near_vectors
 from mediacast.llm.language import languages
 from mediacast.llm.mixing import mixed
 from mediacast.llm.ngram_join import near_duplicates
+from mediacast.llm.quality_rules import quality
+from mediacast.llm.secrets import secrets
 from mediacast.llm.token_counts import token_counts
 from mediacast.llm.url_filter import judged
 from mediacast.llm.warc import archived
@@ -51,10 +54,33 @@ def op7_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_token_counts, op2_ngram_jaccard, op3_source_mix, op4_warc_archive, op5_language_id, op6_url_filter, op7_embedding_forest)
+        for f in (
+            op1_token_counts,
+            op2_ngram_jaccard,
+            op3_source_mix,
+            op4_warc_archive,
+            op5_language_id,
+            op6_url_filter,
+            op7_embedding_forest,
+            op8_quality_rules,
+            op9_benchmark_decontamination,
+            op10_secret_scan,
+        )
     }
 
 

@@ -88,7 +88,8 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarra
         multipliers = [np.uint64(pow(_BASE, 3 * j + 5, 2**64)) for j in range(size)]
         total = np.zeros(len(hashes), np.uint64)
         for j, m in enumerate(multipliers):
-            total[: len(hashes) - j] += hashes[j:] * m
+            if j < len(hashes):
+                total[: len(hashes) - j] += hashes[j:] * m
         short = np.flatnonzero((counts > 0) & (counts < size))
         for row in short:
             own = hashes[rows[row] : rows[row + 1]]
