@@ -138,15 +138,6 @@ STATISTICAL = "statistical_fallback"
 MODEL_VERSION_DIRECT = "temporal-tournament-calendar-plan-oof-intervals"
 MODEL_VERSION_STATISTICAL = "statistical-calendar-plan-oof-intervals"
 
-MEDIA_PLAN_SCHEMA = T.StructType(
-    [
-        T.StructField("scenario_id", T.StringType()),
-        T.StructField("horizon_days", T.IntegerType()),
-        T.StructField("override_key", T.StringType()),
-        T.StructField("planned_budget", T.DoubleType()),
-    ]
-)
-
 
 class ContractError(ValueError):
     """Input, output or request breaks its declared contract."""

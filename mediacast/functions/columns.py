@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +10,10 @@ from pyspark.sql import functions as F
 from mediacast.contracts import MISSING_TEXT
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?inf(inity)?$"
-_DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy"]
+_TIME = r"(?:[T ]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?Z?)?$"
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME
+_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME
+_NAMED_MONTH = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy"]
 
 
 def strip(c: Column) -> Column:
@@ -31,9 +33,21 @@ def number(c: Column) -> Column:
 
 
 def day(c: Column) -> Column:
-    """Text to date; anything that is not a date becomes null."""
+    """Text to date; anything that is not a date becomes null.
+
+    Year-month-day with dashes or slashes and month/day/year, both with or without a time, and English month names.
+    Patterns are only matched where the text is not a plain date already.
+    """
     text = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in _DATE_FORMATS])
+    year_first = F.regexp_replace(text, _YEAR_FIRST, "$1-$3-$4").try_cast("date")
+    month_first = F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2").try_cast("date")
+    named = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in _NAMED_MONTH])
+    return (
+        F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), text.try_cast("date"))
+        .when(text.rlike(_YEAR_FIRST), year_first)
+        .when(text.rlike(_MONTH_FIRST), month_first)
+        .when(text.rlike("[A-Za-z]"), named)
+    )
 
 
 def campaign_key() -> Column:
@@ -87,7 +101,3 @@ def marginal_revenue(budget: Column, roas: Column, allocated: Column) -> Column:
     """Slope of :func:`response_revenue` at the allocated amount."""
     scale, norm = curve_scale(budget)
     return F.greatest(F.lit(0.0), roas * norm / (1.0 + F.greatest(allocated, F.lit(0.0)) / scale))
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

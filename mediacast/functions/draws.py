@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DRAWS = 99
-# Fixed value: prefix of the hashed label, it decides the order of draws.
-PATH_PREFIX = "horizon-factor-copula-v1|"
+#: Prefix of the hashed label; it decides the order of draws and can be given by the caller.
+PATH_PREFIX = "draw-order-1|"
 
 
 def _normal_grid() -> Column:
@@ -27,23 +27,23 @@ def _ranks(sortable: Column) -> Column:
     return F.transform(F.sort_array(placed), lambda x: x["rank"])
 
 
-def hash_ranks(label: Column) -> Column:
+def hash_ranks(label: Column, prefix: str = PATH_PREFIX) -> Column:
     """Rank of each draw by the SHA-256 of its label text."""
     positions = F.sequence(F.lit(0), F.lit(DRAWS - 1))
     return _ranks(
         F.transform(
             positions,
             lambda i: F.struct(
-                F.sha2(F.concat(F.lit(PATH_PREFIX), label, F.lit("|"), i.cast("string")), 256).alias("key"), i.alias("i")
+                F.sha2(F.concat(F.lit(prefix), label, F.lit("|"), i.cast("string")), 256).alias("key"), i.alias("i")
             ),
         )
     )
 
 
-def factor_path(label: Column) -> Column:
+def factor_path(label: Column, prefix: str = PATH_PREFIX) -> Column:
     """Standard-normal strata in hash order."""
     grid = _normal_grid()
-    return F.transform(hash_ranks(label), lambda r: F.element_at(grid, r))
+    return F.transform(hash_ranks(label, prefix), lambda r: F.element_at(grid, r))
 
 
 def value_ranks(values: Column) -> Column:

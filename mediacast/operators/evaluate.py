@@ -150,7 +150,10 @@ def fold_results(forecast: DataFrame, folds: DataFrame, actuals: DataFrame) -> D
 
 
 def target_reliability(results: DataFrame) -> DataFrame:
-    """Brier score and calibration error of the target draw share per forecast set and horizon."""
+    """Brier score and calibration error of the target draw share per forecast set and horizon.
+
+    Rounded half up; the nudge keeps sums in another order on the same side of a tie.
+    """
     keys = ["scenario_id", "horizon_days"]
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "modeled_target_probability"))
     events = results.where(F.col("actual_target_hit").isNotNull()
@@ -165,8 +168,8 @@ def target_reliability(results: DataFrame) -> DataFrame:
     return bins.groupBy(*keys).agg(
         F.when(F.sum("observations") >= MIN_RELIABILITY, "evaluated").otherwise("insufficient_evidence").alias("status"),
         F.sum("observations").alias("observations"),
-        F.round(F.sum("squared_error") / F.sum("observations"), 4).alias("brier_score"),
-        F.round(error, 4).alias("expected_calibration_error"),
+        F.round(F.sum("squared_error") / F.sum("observations") + 1e-9, 4).alias("brier_score"),
+        F.round(error + 1e-9, 4).alias("expected_calibration_error"),
     )
 
 

@@ -147,9 +147,9 @@ def resolve_plan(plan: DataFrame, dimension: DataFrame) -> DataFrame:
     ``campaign_key`` stays null for a row that names no campaign, ``ambiguous`` marks a bare id shared
     by several sources.
     """
-    keys = dimension.select(campaign_key().alias("campaign_key"), "source_campaign_id")
+    keys = dimension.select(campaign_key().alias("campaign_key"), "source_system", "source_campaign_id").distinct()
     bare = keys.groupBy(F.col("source_campaign_id").alias("override_key")).agg(
-        F.min("campaign_key").alias("bare_key"), F.count("*").alias("sources")
+        F.min("campaign_key").alias("bare_key"), F.count_distinct("source_system").alias("sources")
     )
     exact = keys.select(F.col("campaign_key").alias("override_key"), F.col("campaign_key").alias("exact_key"))
     return (

@@ -1,9 +1,8 @@
 """Exact order statistics of large groups.
 
-A group may hold most of the rows, so it is never collected. A mergeable sketch brackets each wanted
-rank, values below the bracket are only counted, equal values inside it are collapsed before the
-shuffle, and the exact rank is read off the few that are left. Groups up to ``SMALL`` rows are their
-own bracket.
+A group may hold most of the rows, so it is never collected. A mergeable sketch proposes cuts that close in on each wanted rank;
+the values between cuts are counted, which tells exactly between which cuts the rank lies, however good the sketch was.
+Only those values are sorted, equal ones collapsed before the shuffle. All sizes take this one path.
 """
 
 from __future__ import annotations
@@ -11,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 100_000
 ACCURACY = 10_000
+#: Distances of the cuts from the wanted share, in units of the sketch's error; the widest reach past every group.
+REACH = [4 * 4**k for k in range(7)]
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, object]]) -> DataFrame:
@@ -21,44 +21,40 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[st
     ``wanted`` maps an output name to ``(p, rank)``: the share near which the rank lies and a function
     from the group size (Column) to the zero-based, possibly fractional rank.
     """
-    slack = 4.0 / ACCURACY
-    edges = [e for p, _ in wanted.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    shares = {
+        name: sorted({min(1.0, max(0.0, p + side * reach / ACCURACY)) for reach in REACH for side in (-1, 1)}) for name, (p, _) in wanted.items()
+    }
+    every = sorted({s for own in shares.values() for s in own})
     data = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("v"))
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("edges")
-    )
+    sketch = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", every, ACCURACY).alias("edges"))
     targets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 rank(F.col("n")).cast("double").alias("rank"),
-                F.when(F.col("n") > SMALL, F.get("edges", F.lit(2 * i))).alias("low"),
-                F.when(F.col("n") > SMALL, F.get("edges", F.lit(2 * i + 1))).alias("high"),
+                F.array(*[F.get("edges", F.lit(every.index(s))) for s in shares[name]]).alias("cuts"),
             )
-            for i, (name, (_, rank)) in enumerate(wanted.items())
+            for name, (_, rank) in wanted.items()
         ]
     )
-    brackets = sketch.select(*keys, "n", F.inline(targets))
-    # groups are slices and conditions, a short list the caller chose
-    paired = data.join(F.broadcast(brackets), keys)
-    low, high = F.col("low"), F.col("high")
-    below = low.isNotNull() & (F.col("v") < low)
-    kept = paired.where(below | high.isNull() | (F.col("v") <= high))
-    # every value under the bracket becomes one counter, equal values inside it one row
-    counted = kept.groupBy(*keys, "name", "rank", "n", F.when(~below, F.col("v")).alias("v")).agg(F.count("*").alias("rows"))
-    order = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
-    seen = counted.withColumn("until", F.sum("rows").over(order))
-    first = F.floor("rank")
-    second = F.least(first + 1, F.col("n") - 1)
+    # one row per group and name; groups are slices and conditions, a short list the caller chose
+    ranks = sketch.select(*keys, "n", F.inline(targets))
+    placed = data.join(ranks, keys).withColumn("cell", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))))
+    names = [*keys, "name"]
+    cells = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    first, second = F.floor("rank"), F.least(F.floor("rank") + 1, F.col("n") - 1)
+    counts = placed.groupBy(*names, "rank", "n", "cell").agg(F.count("*").alias("held")).withColumn("until", F.sum("held").over(cells))
+    before = F.col("until") - F.col("held")
+    needed = counts.where(((before <= first) & (first < F.col("until"))) | ((before <= second) & (second < F.col("until")))).select(
+        *names, "cell", before.alias("before")
+    )
+    kept = placed.join(needed, [*names, "cell"]).groupBy(*names, "rank", "n", "cell", "before", "v").agg(F.count("*").alias("rows"))
+    inside = Window.partitionBy(*names, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = kept.withColumn("until", F.col("before") + F.sum("rows").over(inside))
     a = F.min(F.when(F.col("until") > first, F.col("v")))
     b = F.min(F.when(F.col("until") > second, F.col("v")))
     fraction = F.max("rank") - F.floor(F.max("rank"))
-    under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("until"))), F.lit(0))
-    inside = (under <= F.floor(F.max("rank"))) & b.isNotNull()
-    per_name = seen.groupBy(*keys, "name").agg(
-        F.when(inside, a + (b - a) * fraction).otherwise(F.raise_error(F.lit("order statistic outside its bracket"))).alias("value"),
-        F.max("n").alias("n"),
-    )
+    per_name = seen.groupBy(*names).agg((a + (b - a) * fraction).alias("value"), F.max("n").alias("n"))
     return per_name.groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted]
     )

@@ -122,9 +122,3 @@ def unknown_channels(leaves: DataFrame, requests: DataFrame) -> DataFrame:
     """Requested channels without an active campaign."""
     known = leaves.select("horizon_days", "channel").distinct()
     return requests.join(known, ["horizon_days", "channel"], "left_anti")
-
-
-def require_known_channels(leaves: DataFrame, requests: DataFrame) -> None:
-    first = unknown_channels(leaves, requests).orderBy("channel").limit(3).collect()
-    if first:
-        raise ContractError(f"unknown or inactive channel: {', '.join(r.channel for r in first)}")

@@ -55,13 +55,17 @@ def csv_files(spark: SparkSession, folder: str) -> dict[str, str]:
 
 
 def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with every column as text, under the names of its header."""
+    """A CSV file or a folder of part files with every column as text, under the names of its header.
+
+    Quoted cells may hold line breaks, so a file is read by one task; large exports come as part files. A part whose
+    header names other columns or another order is refused.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, schema=schema, header=True, escape='"', enforceSchema=True)
+    return spark.read.csv(path, schema=schema, header=True, escape='"', enforceSchema=False, multiLine=True)
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.csv(path, header=True, escape='"').columns
+    return spark.read.csv(path, header=True, escape='"', multiLine=True).columns
 
 
 def match_source(name: str, columns: list[str]) -> str | None:

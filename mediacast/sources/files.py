@@ -18,11 +18,23 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(spark: SparkSession, staged: str, target: str) -> None:
-    """Put ``staged`` in the place of ``target``; the old content goes only after the new is there."""
+    """Put ``staged`` in the place of ``target``.
+
+    A file replaces a file in one step. A folder moves the old one aside first, because file systems do not overwrite
+    folders: between the two renames the target is missing, and a crash there leaves both under their own names.
+    """
     fs, new = _fs(spark, staged)
     _, final = _fs(spark, target)
     if final.getParent() is not None:
         fs.mkdirs(final.getParent())
+    if fs.isFile(new) and not fs.isDirectory(final):
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        option = getattr(hadoop, "Options$Rename")
+        overwrite = spark.sparkContext._gateway.new_array(option, 1)
+        overwrite[0] = option.OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(new), fs.makeQualified(final), overwrite)
+        return
     if fs.exists(final):
         _, old = _fs(spark, f"{target}.old-{uuid.uuid4().hex}")
         fs.rename(final, old)

@@ -11,33 +11,32 @@ from pyspark.sql import functions as F
 
 from mediacast.contracts import CANONICAL_COLUMNS
 
-DELIVERY_END = "2001-08-01"
+# One bucket has no delivery after the first day, one none before the second; their rows count for larger buckets then.
+DORMANT, DORMANT_FROM = 13, "2001-04-05"
+NEW, NEW_FROM = 12, "2001-10-09"
 
 
-def _bucket() -> Column:
+def _bucket(day: Column) -> Column:
     k = F.col("l_suppkey") % 20
+    plain = F.when(k < 4, 0).when(k < 7, 1).when(k < 9, 2).otherwise(k.cast("int") - 6)
     return (
-        F.when(k < 4, 0).when(k < 7, 1).when(k < 9, 2).otherwise(k.cast("int") - 6)
+        F.when((plain == DORMANT) & (day >= F.lit(DORMANT_FROM).cast("date")), 0)
+        .when((plain == NEW) & (day < F.lit(NEW_FROM).cast("date")), 1)
+        .otherwise(plain)
     )
 
 
 def campaign_days(spark: SparkSession, folder: str, by_supplier: bool = False) -> DataFrame:
-    """Canonical campaign-day table; ``by_supplier`` makes every supplier a campaign of its own."""
+    """Canonical campaign-day table of all lines; ``by_supplier`` makes every supplier a campaign of its own."""
     ship = F.col("l_shipdate").cast("date")
     lines = (
         spark.read.parquet(f"{folder}/lineitem.parquet")
-        .where(F.col("l_shipdate") < F.lit(DELIVERY_END).cast("timestamp_ntz"))
         .select(
-            (F.col("l_suppkey").cast("int") if by_supplier else _bucket()).alias("b"),
+            (F.col("l_suppkey").cast("int") if by_supplier else _bucket(ship)).alias("b"),
             ship.alias("date"),
             "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         )
     )
-    if not by_supplier:
-        lines = lines.where(
-            ~((F.col("b") == 13) & (F.col("date") >= F.lit("2001-01-01").cast("date")))
-            & ~((F.col("b") == 12) & (F.col("date") < F.lit("2001-07-05").cast("date")))
-        )
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
     days = lines.groupBy("b", "date").agg(
         F.sum(price * discount).alias("spend"),

@@ -13,7 +13,6 @@ from mediacast.sources.exports import header
 from mediacast.sources.files import replace_csv_folder, replace_folder, write_single_csv
 
 STRING, INTEGER, NUMBER = "string", "integer", "number"
-SINGLE_FILE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -164,19 +163,21 @@ def as_text(df: DataFrame, schema: Schema) -> DataFrame:
     )
 
 
-def write_predictions(df: DataFrame, target: str, version: str | None = None, registry: dict[str, Schema] = REGISTRY) -> DataFrame:
+def write_predictions(
+    df: DataFrame, target: str, version: str | None = None, registry: dict[str, Schema] = REGISTRY, as_folder: bool = False
+) -> DataFrame:
     """Adapt, check and publish a sorted CSV; a failure leaves an older one as it was.
 
-    Up to ``SINGLE_FILE_ROWS`` rows become one file. More become a folder of sorted part files, each
-    with the header, so that no single task has to write them all.
+    One file, written by one task and put in place in one step. ``as_folder`` writes sorted part files instead, each with
+    the header, for results that no single task should write; the caller decides, the size does not.
     """
     schema = get_schema(version, registry)
     rows = validated(df, version, registry)
     text = as_text(ordered(rows, schema), schema)
-    if rows.count() <= SINGLE_FILE_ROWS:
-        write_single_csv(text, target)
-    else:
+    if as_folder:
         replace_csv_folder(text, target)
+    else:
+        write_single_csv(text, target)
     return rows
 
 

@@ -89,15 +89,6 @@ def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, s
     return models, declared
 
 
-def write_report(report: DataFrame, folder: str, card: dict[str, str] | None = None) -> None:
-    """A report table as parquet and as JSON lines, with the model's provenance on every row."""
-    rows = report
-    for name, value in (card or {}).items():
-        rows = rows.withColumn(name, F.lit(value))
-    replace_folder(rows, f"{folder}/table")
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{folder}/json")
-
-
 def record_decisions(decisions: DataFrame, folder: str) -> None:
     """Append decisions: ``action, forecast_id, scenario, summary`` with the last two as structs."""
     wrong = decisions.where(~F.col("action").isin("draft", "approved", "revised")).select("action").limit(1).collect()

@@ -11,11 +11,11 @@ CANON = """
 lines AS (
   SELECT *, CASE WHEN l_suppkey % 20 < 4 THEN 0 WHEN l_suppkey % 20 < 7 THEN 1 WHEN l_suppkey % 20 < 9 THEN 2
                  ELSE CAST(l_suppkey % 20 AS INTEGER) - 6 END AS b
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-08-01'
+  FROM lineitem
 ), kept AS (
-  SELECT * FROM lines
-  WHERE NOT (b = 13 AND l_shipdate >= TIMESTAMP '2001-01-01')
-    AND NOT (b = 12 AND l_shipdate <  TIMESTAMP '2001-07-05')
+  SELECT * EXCLUDE (b), CASE WHEN b = 13 AND l_shipdate >= TIMESTAMP '2001-04-05' THEN 0
+                             WHEN b = 12 AND l_shipdate <  TIMESTAMP '2001-10-09' THEN 1 ELSE b END AS b
+  FROM lines
 ), canon AS (
   SELECT CASE b % 3 WHEN 0 THEN 'google_ads' WHEN 1 THEN 'microsoft_ads' ELSE 'meta_ads' END AS source_system,
          lpad(CAST(b AS VARCHAR), 6, '0') AS source_campaign_id,
@@ -190,7 +190,7 @@ def _interp(p10: str, p50: str, p90: str) -> str:
 
 RANKS = """
 ranks AS (
-  SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY sha256('horizon-factor-copula-v1|campaign:' || k || '|' || CAST(i AS VARCHAR))) AS rk
+  SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY sha256('draw-order-1|campaign:' || k || '|' || CAST(i AS VARCHAR))) AS rk
   FROM (SELECT DISTINCT k FROM facts), range(0, 99) r(i)
 )"""
 
@@ -677,7 +677,7 @@ res AS (SELECT f.h, f.o, f.fold, a.ar, a.asp, a.ar / a.asp AS aq, p.r10, p.r50,
         """ev AS (SELECT h, prob AS p, CASE WHEN hit THEN 1.0 ELSE 0.0 END AS y, CASE WHEN prob < 0.25 THEN 0 WHEN prob < 0.5 THEN 1 WHEN prob < 0.75 THEN 2 ELSE 3 END AS bin FROM res WHERE hit IS NOT NULL)""",
         "bins AS (SELECT h, bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum((p - y) * (p - y)) AS se FROM ev GROUP BY h, bin)",
         select="""SELECT h AS horizon_days, CASE WHEN sum(n) >= 20 THEN 'evaluated' ELSE 'insufficient_evidence' END AS status, CAST(sum(n) AS BIGINT) AS observations,
-  round(sum(se) / sum(n), 4) AS brier_score, round(sum(n * abs(mp - my)) / sum(n), 4) AS expected_calibration_error FROM bins GROUP BY h""",
+  round(sum(se) / sum(n) + 1e-9, 4) AS brier_score, round(sum(n * abs(mp - my)) / sum(n) + 1e-9, 4) AS expected_calibration_error FROM bins GROUP BY h""",
     )
     # sorted fill of equal steps, the part of the allocation that SQL can say
     sql["allocation_steps"] = _with(

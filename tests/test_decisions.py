@@ -183,12 +183,16 @@ def test_posture(spark):
 
 
 def test_trust_needs_every_fingerprint(spark):
-    columns = ["data_fingerprint", *evidence.PROVENANCE]
-    models = spark.createDataFrame([("d", "a", "v", "t", "f")], columns)
-    reports = spark.createDataFrame([("1", "d", "a", "v", "t", "f"), ("2", "x", "a", "v", "t", "f"), ("3", "d", "b", "v", "t", "g")], ["report_id", *columns])
+    columns = ["model_id", "data_fingerprint", *evidence.PROVENANCE]
+    models = spark.createDataFrame([("m", "d", "a", "v", "t", "f"), ("n", "e", "a", "v", "t", "f")], columns)
+    reports = spark.createDataFrame(
+        [("1", "m", "d", "a", "v", "t", "f"), ("2", "m", "x", "a", "v", "t", "f"), ("3", "m", "d", "b", "v", "t", "g"), ("4", "o", "d", "a", "v", "t", "f")],
+        ["report_id", *columns],
+    )
     found = {r.report_id: (r.status, r.reason) for r in evidence.trust(reports, models).collect()}
-    assert found["1"] == ("available", None) and found["2"][0] == "not_applicable"
-    assert found["3"] == ("not_applicable", "provenance differs: artifact_sha256, feature_schema_fingerprint")
+    assert len(found) == 4 and found["1"] == ("available", None)
+    assert found["2"] == ("not_applicable", "differs:data_fingerprint") and found["4"] == ("not_applicable", "model_not_in_use")
+    assert found["3"] == ("not_applicable", "differs:artifact_sha256,feature_schema_fingerprint")
 
 
 def test_briefs_are_checked(spark):
@@ -236,6 +240,6 @@ def test_requests(spark):
 def test_evidence_statements(spark):
     df = spark.createDataFrame([("SPARSE x",), ("coverage",), ("zz",)], "t string")
     got = [r[0] for r in df.select(evidence.risk_statement(F.col("t"))).collect()]
-    assert got[0].startswith("Sparse") and got[1].startswith("Persisted") and got[2].startswith("A documented")
+    assert got == ["sparse_history", "weak_calibration", "other_limit"]
     assert spark.range(1).select(evidence.safe_identifier(F.lit("  My Channel!! "), "x"), evidence.safe_identifier(F.lit("!!"), "x")).first()[:] == ("my-channel", "x")
     assert days("2025-01-01", 2)[1] == dt.date(2025, 1, 2)

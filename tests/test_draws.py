@@ -17,7 +17,7 @@ WEIGHTS = {"global": 0.2, "channel": 0.3, "campaign_type": 0.1, "idiosyncratic":
 
 
 def path(label):
-    order = sorted(range(99), key=lambda i: hashlib.sha256(f"horizon-factor-copula-v1|{label}|{i}".encode()).hexdigest())
+    order = sorted(range(99), key=lambda i: hashlib.sha256(f"draw-order-1|{label}|{i}".encode()).hexdigest())
     rank = {i: r + 1 for r, i in enumerate(order)}
     return np.array([NormalDist().inv_cdf(rank[i] / 100) for i in range(99)]), np.array([rank[i] for i in range(99)])
 

@@ -10,6 +10,7 @@ from conftest import days
 from pyspark.sql import functions as F
 
 from mediacast.contracts import ContractError
+from mediacast.functions import columns
 from mediacast.operators import canonical, quality
 from mediacast.operators.fingerprint import canonical_fingerprint
 from mediacast.plans.predict import predict_folder
@@ -191,3 +192,23 @@ def test_recent_window(spark):
     df = spark.createDataFrame([(str(d), i) for i, d in enumerate(days("2025-01-01", 120))], "day string, i int")
     kept = [r.i for r in exports.recent_window(df, "day").collect()]
     assert kept == list(range(30, 120))
+
+
+def test_date_spellings(spark):
+    same = ["2024-01-05", "2024/01/05", "1/5/2024", "01/05/2024 10:11", "2024-01-05T10:11:12.345", "2024-01-05 10:11:12Z", "Jan 5, 2024", " January 5, 2024 ", "2024-1-5"]
+    none = ["", "2024-13-05", "2024-01-05 25:00", "5.1.2024 x", "2024/01-05", None, "yesterday"]
+    df = spark.createDataFrame([(x,) for x in same + none], "t string")
+    found = [str(r.d) for r in df.select(columns.day(F.col("t")).alias("d")).collect()]
+    assert found == ["2024-01-05"] * len(same) + ["None"] * len(none)
+
+
+def test_parts_and_quoted_breaks(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('a,b\n1,"two\nlines"\n')
+    (folder / "b.csv").write_text("a,b\n3,4\n")
+    rows = {tuple(r) for r in exports.read_text(spark, str(folder), ["a", "b"]).collect()}
+    assert rows == {("1", "two\nlines"), ("3", "4")}
+    (folder / "b.csv").write_text("b,a\n4,3\n")
+    with pytest.raises(Exception, match="header"):
+        exports.read_text(spark, str(folder), ["a", "b"]).collect()
