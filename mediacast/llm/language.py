@@ -125,22 +125,15 @@ def train(texts: dict[str, list[bytes]]) -> ContextTrees:
     return ContextTrees(languages, symbols, grams, seen, escapes, shorter)
 
 
-_places: dict[int, np.ndarray] = {}
+def gram_places(trees: ContextTrees) -> np.ndarray:
+    """Row of every possible gram in ``seen``, -1 if none: 64 MB, built in milliseconds and held by a task while it scores."""
+    place = np.full(_SYMBOLS**4, -1, np.int32)
+    place[trees.grams] = np.arange(len(trees.grams), dtype=np.int32)
+    return place
 
 
-def _place_of(trees: ContextTrees, token: int) -> np.ndarray:
-    """Row of every possible gram in ``seen``, -1 if none: built once in a worker process."""
-    if token not in _places:
-        _places.clear()
-        place = np.full(_SYMBOLS**4, -1, np.int32)
-        place[trees.grams] = np.arange(len(trees.grams), dtype=np.int32)
-        _places[token] = place
-    return _places[token]
-
-
-def code_lengths(trees: ContextTrees, texts: pa.Array, token: int = 0) -> np.ndarray:
+def code_lengths(trees: ContextTrees, texts: pa.Array, place: np.ndarray) -> np.ndarray:
     """``[row, language]`` bits of the whole texts."""
-    place = _place_of(trees, token)
     out = np.zeros((len(texts), len(trees.languages)))
     for first, data, offsets in text_chunks(texts):
         if not len(data):
@@ -163,14 +156,14 @@ def predicted(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: s
     Null texts, texts without a letter and, if nothing was learned, all texts are ``und`` with score 0. Ties go to the first
     language by name.
     """
-    spark = docs.sparkSession
-    shared, token = spark.sparkContext.broadcast(trees), id(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
+        place = gram_places(trees)
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False)
-            bits = code_lengths(trees, batch.column(1), token)
+            bits = code_lengths(trees, batch.column(1), place)
             best = bits.argmin(axis=1)
             share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             names = np.array(trees.languages, dtype=object)[best]

