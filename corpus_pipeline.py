@@ -1,4 +1,8 @@
-"""A training corpus from ``documents`` in five stages; every stage works on all that its predecessor kept."""
+"""A training corpus from ``documents`` in five stages; every stage works on all that its predecessor kept.
+
+Rows that repeat a doc_id are one document: the stages that drop documents drop all its rows, and the second one keeps the
+row of the least text. Rows without a doc_id cannot be named by an operator: they stay, unless their text is null.
+"""
 
 from __future__ import annotations
 
@@ -24,9 +28,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest key of each group of near duplicates."""
+    """Keep the document of the smallest key of each group of near duplicates, and rows without a key."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    least = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("least"))
+    return least.select("doc_id", "least.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ LEAST_FREQUENT = 8
 MOST_FREQUENT_SHINGLES = 1 << 20
 FLUSH = 2_000_000
 SEGMENTS = 8
+#: Shingles of at least 2^HOT_LEVEL documents find their leader by aggregation.
+HOT_LEVEL = 12
 BROADCAST_IDS = 500_000
 
 
@@ -139,46 +141,49 @@ def _set_keys(own: np.ndarray) -> tuple[int, int]:
 
 
 def text_sets(docs: DataFrame, key: str, text: str, order: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
-    """``(id, n, rare, k1, k2, prefix)`` per row.
+    """``(id, n, rare, k1, k2, hot, prefix)`` per row.
 
-    Size of the shingle set, the share of it in per mille that is not frequent, two hashes of it, and its prefix.
+    Size of the shingle set, the share of it in per mille that is not frequent, two hashes of it, and its prefix, whose
+    shingles are hot from place ``hot`` on.
     """
     bits = fragment_bits(docs)
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
-    def prefix(own: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    def prefix(own: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int, int]:
         count = len(own) - (PERCENT * len(own) + 99) // 100 + 1
         if not len(keys):
-            return own[:count], 1000
+            return own[:count], 1000, count
         short = own >> np.uint64(32 - bits)
         at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
         level = np.where(keys[at] == short, ranks[at], 0)
-        return own[np.argsort(level, kind="stable")[:count]], int(1000 * np.count_nonzero(level == 0) // len(own))
+        front = np.argsort(level, kind="stable")[:count]
+        return own[front], int(1000 * np.count_nonzero(level == 0) // len(own)), int(np.searchsorted(level[front], HOT_LEVEL))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
         for batch in batches:
-            sizes, rare, one, two, prefixes = [], [], [], [], []
+            sizes, rare, one, two, hot, prefixes = [], [], [], [], [], []
             for _, own in shingle_sets(batch.column(1), words):
                 a, b = _set_keys(own)
                 sizes.append(len(own))
                 one.append(a)
                 two.append(b)
-                front, share = prefix(own, keys, ranks) if len(own) else (None, 1000)
+                front, share, cool = prefix(own, keys, ranks) if len(own) else (None, 1000, 0)
                 rare.append(share)
+                hot.append(cool)
                 prefixes.append(front if front is None else front.view(np.int64))
             ends = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)])
             flat = np.concatenate([np.zeros(0, np.int64), *(p for p in prefixes if p is not None)])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(rare, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    pa.array(hot, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                names=["id", "n", "rare", "k1", "k2", "prefix"],
+                names=["id", "n", "rare", "k1", "k2", "hot", "prefix"],
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        sets, "id long, n long, rare int, k1 long, k2 long, prefix array<long>"
+        sets, "id long, n long, rare int, k1 long, k2 long, hot int, prefix array<long>"
     )
 
 
@@ -228,12 +233,18 @@ def _meets(an: Column, a_place: Column, bn: Column, b_place: Column) -> Column:
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
     """``(shingle, leader, leader_n, leader_place, node, n, place)``: the nodes of every prefix shingle behind its leader.
 
-    The window streams a group in order and keeps only its first row.
+    The leader is the node of the smallest ``rare``, then id. Groups below the hot level are windows, read in order. Of a hot
+    shingle, which may stand in a third of all nodes, every task sends its own least node, and a join that may be split
+    deals the leader out.
     """
-    postings = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("place", "shingle"))
+    postings = nodes.select("node", "n", "rare", "hot", F.posexplode("prefix").alias("place", "shingle"))
     running = Window.partitionBy("shingle").orderBy("rare", "node").rowsBetween(Window.unboundedPreceding, 0)
-    led = postings.select("shingle", "node", "n", "place", F.first(F.struct("node", "n", "place")).over(running).alias("first"))
-    return led.select(
+    member = ["shingle", "node", "n", "place"]
+    led = postings.where("place < hot").select(*member, F.first(F.struct("node", "n", "place")).over(running).alias("first"))
+    hot = postings.where("place >= hot")
+    least = hot.groupBy("shingle").agg(F.min(F.struct("rare", "node", "n", "place")).alias("least"))
+    led_hot = hot.join(least, "shingle").select(*member, F.struct("least.node", "least.n", "least.place").alias("first"))
+    return led.unionByName(led_hot).select(
         "shingle", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.place").alias("leader_place"),
         "node", "n", "place",
     ).where("leader <> node")
@@ -301,8 +312,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     frequent = stage(frequent_shingles(docs, text, words), "frequent")
     sets = stage(text_sets(docs, key, text, bounded_order(frequent), words), "sets")
     owners = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("id").alias("id"))
-    same_set = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    groups = stage(shared_prefixes(same_set.select(F.col("k1").alias("node"), "n", "rare", "prefix")), "shared-prefixes")
+    same_set = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.first("rare").alias("rare"), F.first("hot").alias("hot"), F.first("prefix").alias("prefix"))
+    groups = stage(shared_prefixes(same_set.select(F.col("k1").alias("node"), "n", "rare", "hot", "prefix")), "shared-prefixes")
     first = stage(
         groups.where(_meets(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place")))
         .select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("an"), F.col("n").alias("bn"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = ("key", "pass", "pwd", "secret", "token", "auth", "bearer", "credential", "private", "session", "signature", "cookie")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 REACH = 40
 AROUND = 512
 NOVEL = 0.7
@@ -86,22 +89,27 @@ def novel_spans(text: str, lower: str, taken: list[Span]) -> list[Span]:
         words = [w for w in SENSITIVE if w in lower]
     if not words:
         return []
-    spans = {}
+    starts, reached = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    spans, tried = [], set()
     for word in re.finditer("|".join(words), lower):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 4096)):
-            if m.start() > word.end() + REACH:
-                break
-            start, end = m.start(), m.end()
-            own = m[0]
-            if start in spans or any(s < end and start < e for s, _, e in taken) or (start and text[start - 1].isalnum()):
+        # the window holds the first characters of every candidate that begins within reach, and of no other
+        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + SHORTEST)):
+            start = m.start()
+            if start in tried or (start and text[start - 1].isalnum()):
+                continue
+            tried.add(start)
+            own = _CANDIDATE.match(text, start)[0]
+            end = start + len(own)
+            before = bisect_left(starts, end)
+            if before and reached[before - 1] > start:
                 continue
             kinds = sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
             if kinds < 2 or not re.search("[0-9]", own):
                 continue
             around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
             if novelty(own, around) >= NOVEL:
-                spans[start] = (start, 3, end)
-    return sorted(spans.values())
+                spans.append((start, 3, end))
+    return sorted(spans)
 
 
 def found_spans(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -110,6 +110,13 @@ def test_ngram_join_against_all_pairs(spark):
         assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(documents(spark, rows)).collect()} == expected
     finally:
         ngram_join.bounded_order = full
+    # and whichever shingles count as hot
+    level = ngram_join.HOT_LEVEL
+    try:
+        ngram_join.HOT_LEVEL = 4
+        assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(documents(spark, rows)).collect()} == expected
+    finally:
+        ngram_join.HOT_LEVEL = level
 
 
 def test_mix(spark):
@@ -323,6 +330,18 @@ def test_secrets(spark):
     assert secrets.secrets(documents(spark, [])).count() == 0
 
 
+def test_long_candidates_are_whole():
+    rng = random.Random(8)
+    own = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(9000))
+    assert secrets.found_spans(f"session key {own} end")[1] == [(12, 3, 9012)]
+    assert secrets.found_spans(f"session {'-' * 33}" + " " * 7 + own)[1] == []  # begins one character out of reach
+    many = "auth Zx9" + "k3J7pQ2mVb8R" * 3 + " secret=abcdef1 "
+    base, every = secrets.found_spans(many * 50)
+    assert len(base) == 50 and all(s in every for s in base)
+    ends = [e for _, _, e in every]
+    assert all(a <= b for a, (b, _, _) in zip(ends, every[1:]))  # none overlaps another
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "source_mix"]
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 100").first().text
@@ -333,6 +352,11 @@ def test_pipeline(spark):
         docs = function(spark, docs, FOLDER)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     kept = by_key(docs)
+    odd = [(1, base), (1, "zz " + base), (None, base), (None, "no other text is like this one"), (None, None)]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd], DOCS)
+    for name, function in corpus_pipeline.STAGES[:4]:
+        rows = function(spark, rows, FOLDER)
+    assert sorted((r.doc_id or 0, r.text) for r in rows.collect()) == sorted([(1, base), (0, base), (0, "no other text is like this one")])
     assert set(kept) == {1, 6} and kept[6].text.endswith("[SECRET]") and kept[6].n_chars == len(kept[6].text)
     assert corpus_pipeline.STAGES[4][1](spark, docs, FOLDER).count() == 2
     for _, function in corpus_pipeline.STAGES:
