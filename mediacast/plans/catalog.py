@@ -32,6 +32,7 @@ from mediacast.operators.history import campaigns
 from mediacast.operators.leaves import BASELINE, plan_problems, predicted_log, resolve_plan, serving_history
 from mediacast.operators.quantiles import conformal_rank, deciles, order_statistics
 from mediacast.operators.ridge import FINAL, expert_fits, fit_statistics, gram_cells, solve_fits
+from mediacast.operators.requests import request_violations
 from mediacast.operators.rollup import hierarchy_forecast, upper_forecast
 from mediacast.operators.training import FEATURES, SHARED, cutoff_counts, purged_splits, training_rows
 from mediacast.plans.backtest import backtest
@@ -122,6 +123,65 @@ def delivery_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(facts).where("violations > 0")
 
 
+def damaged_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules of the gate on single deliveries that are damaged by place, so that every rule on rows is broken."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    k = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 40
+    text = F.lit(None).cast("string")
+
+    def measure(first: int, value: Column) -> Column:
+        return (
+            F.when(k == first, F.lit(float("nan"))).when(k == first + 1, F.lit(float("inf"))).when(k == first + 2, F.lit(-1.5)).otherwise(value)
+        )
+
+    facts = lines.select(
+        F.when(k == 3, " ").when(k == 23, text).otherwise("google_ads").alias("source_system"),
+        F.when(k == 1, text).when(k == 2, "\t ").otherwise(F.col("l_suppkey").cast("string")).alias("source_campaign_id"),
+        F.when(k != 0, F.col("l_shipdate").cast("date")).alias("date"),
+        F.when(k == 4, "").otherwise("SEARCH").alias("channel"),
+        F.when(k == 5, "\n").otherwise(F.col("l_returnflag")).alias("campaign_type"),
+        F.when(k != 6, "line").alias("campaign_name"),
+        measure(7, F.col("l_extendedprice") * F.col("l_discount")).alias("spend"),
+        measure(10, F.col("l_extendedprice")).alias("revenue"),
+        F.when(k == 13, "many").when(k == 14, "Infinity").when(k == 15, "-2").otherwise(F.col("l_quantity").cast("string")).alias("clicks"),
+        measure(16, F.col("l_quantity")).alias("impressions"),
+        measure(19, F.lit(1.0)).alias("conversions"),
+        measure(29, F.col("l_tax")).alias("configured_budget"),
+        F.when(k == 33, "Meta_Campaign_Type_Unknown")
+        .when(k == 34, "x|meta_conversion_treated_as_attributed_revenue")
+        .when(k == 35, "SOURCE_SEMANTICS_UNREVIEWED")
+        .when(k == 36, text)
+        .otherwise("")
+        .alias("quality_flags"),
+    )
+    return quality.quality_rules(facts)
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Planning requests written from the orders, most of them with a fault; FIXTURES.md has the list."""
+    k, total = F.col("o_orderkey") % 18, F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")
+    fixed = [
+        '{"horizon_days": 30, "target_roas": 2.5}', '{"horizon_days": 45, "total_budget": 10}', '{"horizon_days": "30"}', '{"target_roas": -1}',
+        '{"target_roas": true, "total_budget": 0}', '{"zeta": 1, "alpha": 2, "total_budget": 5}', '{"channel_budgets": [1], "channel_minimums": [1]}',
+        '{"channel_budgets": {"SEARCH": -5}, "channel_maximums": {"SEARCH": -5}}', '{"channel_budgets": {" ": 5}, "channel_minimums": {" ": 5}}',
+        '{"channel_budgets": {"SEARCH": "x"}, "channel_minimums": {"SEARCH": "x"}}', '{"campaign_budgets": 3, "total_budget": "5"}', "not json", "[1, 2]",
+        '{"horizon_days": null, "target_roas": 0, "campaign_budgets": {"a:b": null}, "other": {}}', "{}", '{"horizon_days": 60.0, "total_budget": 1e3}',
+    ]
+    payload = F.concat(F.lit('{"horizon_days": 90, "channel_budgets": {"SEARCH": '), total, F.lit('}, "total_budget": '), total, F.lit("}"))
+    for i, one in enumerate(fixed):
+        payload = F.when(k == i, one).otherwise(payload)
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("request_id"), F.when(k != 17, payload).alias("payload"))
+
+
+def forecast_request_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return request_violations(_payloads(spark, folder))
+
+
+def allocation_request_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return request_violations(_payloads(spark, folder), allocation=True)
+
+
 def data_provenance(spark: SparkSession, folder: str) -> DataFrame:
     return provenance(campaign_days(spark, folder))
 
@@ -587,6 +647,9 @@ def queries() -> dict[str, Query]:
         "canonicalize_meta": canonicalize_meta,
         "quality_rules": quality_rules,
         "delivery_line_quality": delivery_line_quality,
+        "damaged_line_quality": damaged_line_quality,
+        "forecast_request_violations": forecast_request_violations,
+        "allocation_request_violations": allocation_request_violations,
         "health_summary": health_summary,
         "data_provenance": data_provenance,
         "data_fingerprint": data_fingerprint,

@@ -337,8 +337,112 @@ SELECT count(*) AS rows, count(DISTINCT source_system || source_campaign_id) AS
     return out
 
 
+DAMAGED = """
+k AS (SELECT *, (l_orderkey * 7 + l_linenumber) % 40 AS k FROM lineitem),
+x AS (
+  SELECT CASE k WHEN 3 THEN ' ' WHEN 23 THEN NULL ELSE 'google_ads' END AS source_system,
+         CASE k WHEN 1 THEN NULL WHEN 2 THEN chr(9) || ' ' ELSE CAST(l_suppkey AS VARCHAR) END AS source_campaign_id,
+         CASE WHEN k <> 0 THEN CAST(l_shipdate AS DATE) END AS date,
+         CASE k WHEN 4 THEN '' ELSE 'SEARCH' END AS channel, CASE k WHEN 5 THEN chr(10) ELSE l_returnflag END AS campaign_type,
+         CASE WHEN k <> 6 THEN 'line' END AS campaign_name,
+         CASE k WHEN 7 THEN 'nan'::DOUBLE WHEN 8 THEN 'inf'::DOUBLE WHEN 9 THEN -1.5 ELSE l_extendedprice * l_discount END AS spend,
+         CASE k WHEN 10 THEN 'nan'::DOUBLE WHEN 11 THEN 'inf'::DOUBLE WHEN 12 THEN -1.5 ELSE l_extendedprice END AS revenue,
+         TRY_CAST(CASE k WHEN 13 THEN 'many' WHEN 14 THEN 'Infinity' WHEN 15 THEN '-2' ELSE CAST(l_quantity AS VARCHAR) END AS DOUBLE) AS clicks,
+         CASE k WHEN 16 THEN 'nan'::DOUBLE WHEN 17 THEN 'inf'::DOUBLE WHEN 18 THEN -1.5 ELSE l_quantity END AS impressions,
+         CASE k WHEN 19 THEN 'nan'::DOUBLE WHEN 20 THEN 'inf'::DOUBLE WHEN 21 THEN -1.5 ELSE 1.0 END AS conversions,
+         CASE k WHEN 29 THEN 'nan'::DOUBLE WHEN 30 THEN 'inf'::DOUBLE WHEN 31 THEN -1.5 ELSE l_tax END AS configured_budget,
+         CASE k WHEN 33 THEN 'Meta_Campaign_Type_Unknown' WHEN 34 THEN 'x|meta_conversion_treated_as_attributed_revenue'
+                WHEN 35 THEN 'SOURCE_SEMANTICS_UNREVIEWED' WHEN 36 THEN NULL ELSE '' END AS quality_flags
+  FROM k
+)"""
+
+
+def _damaged() -> str:
+    def row(rule: str, severity: str, column: str, condition: str) -> str:
+        return f"SELECT '{rule}' AS rule, '{severity}' AS severity, '{column}' AS column_name, count(*) FILTER ({condition}) AS violations FROM x"
+
+    rows = ["SELECT 'no_rows' AS rule, 'blocker' AS severity, '*' AS column_name, CAST(count(*) = 0 AS BIGINT) AS violations FROM x"]
+    rows += [row("null", "blocker", c, f"{c} IS NULL") for c in ("date", "source_campaign_id")]
+    rows += [
+        row("blank", "blocker", c, f"regexp_matches(coalesce({c}, ''), '^\\s*$')")
+        for c in ("source_system", "source_campaign_id", "channel", "campaign_type", "campaign_name")
+    ]
+    for c in ("spend", "revenue", "clicks", "impressions", "conversions"):
+        rows += [
+            row("null_or_non_numeric", "blocker", c, f"{c} IS NULL OR isnan({c})"),
+            row("non_finite", "blocker", c, f"isinf({c})"),
+            row("negative", "blocker", c, f"{c} < 0"),
+        ]
+    b = "configured_budget"
+    rows += [
+        row("non_finite", "blocker", b, f"isinf({b})"),
+        row("negative", "blocker", b, f"{b} < 0"),
+        row("missing_budget", "warning", b, f"{b} IS NULL OR isnan({b})"),
+        row("taxonomy_unreviewed", "warning", "quality_flags", "lower(quality_flags) = 'meta_campaign_type_unknown'"),
+        row("meta_revenue_unreviewed", "warning", "quality_flags", "quality_flags LIKE 'x|%'"),
+        row("semantics_unreviewed", "warning", "quality_flags", "quality_flags = 'SOURCE_SEMANTICS_UNREVIEWED'"),
+        """SELECT 'duplicate_campaign_day', 'blocker', 'date', CAST(coalesce(sum(n), 0) AS BIGINT)
+FROM (SELECT count(*) AS n FROM x GROUP BY source_system, source_campaign_id, date) WHERE n > 1""",
+        """SELECT 'inconsistent_hierarchy', 'blocker', 'channel,campaign_type,campaign_name', count(*) FROM (
+SELECT 1 FROM (SELECT DISTINCT source_system, source_campaign_id, channel, campaign_type, campaign_name FROM x)
+GROUP BY source_system, source_campaign_id HAVING count(*) > 1)""",
+    ]
+    return f"WITH {DAMAGED}\n" + "\nUNION ALL ".join(rows)
+
+
+PAYLOADS = """
+p AS (
+  SELECT o_orderkey AS request_id, CASE o_orderkey % 18
+    WHEN 0 THEN '{"horizon_days": 30, "target_roas": 2.5}' WHEN 1 THEN '{"horizon_days": 45, "total_budget": 10}'
+    WHEN 2 THEN '{"horizon_days": "30"}' WHEN 3 THEN '{"target_roas": -1}' WHEN 4 THEN '{"target_roas": true, "total_budget": 0}'
+    WHEN 5 THEN '{"zeta": 1, "alpha": 2, "total_budget": 5}' WHEN 6 THEN '{"channel_budgets": [1], "channel_minimums": [1]}'
+    WHEN 7 THEN '{"channel_budgets": {"SEARCH": -5}, "channel_maximums": {"SEARCH": -5}}'
+    WHEN 8 THEN '{"channel_budgets": {" ": 5}, "channel_minimums": {" ": 5}}'
+    WHEN 9 THEN '{"channel_budgets": {"SEARCH": "x"}, "channel_minimums": {"SEARCH": "x"}}'
+    WHEN 10 THEN '{"campaign_budgets": 3, "total_budget": "5"}' WHEN 11 THEN 'not json' WHEN 12 THEN '[1, 2]'
+    WHEN 13 THEN '{"horizon_days": null, "target_roas": 0, "campaign_budgets": {"a:b": null}, "other": {}}'
+    WHEN 14 THEN '{}' WHEN 15 THEN '{"horizon_days": 60.0, "total_budget": 1e3}'
+    WHEN 16 THEN format('{{"horizon_days": 90, "channel_budgets": {{"SEARCH": {0}}}, "total_budget": {0}}}', CAST(o_totalprice AS DECIMAL(18, 2)))
+    END AS payload
+  FROM orders
+), j AS (
+  SELECT request_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload END END AS j FROM p
+)"""
+
+
+def _requests(fields: list[str], maps: list[str], total: bool) -> str:
+    number = "json_type(j, '$.{0}') IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+    value = "CASE WHEN " + number + " THEN CAST(json_extract_string(j, '$.{0}') AS DOUBLE) END"
+    allowed = ", ".join(f"'{f}'" for f in fields)
+    extra = f"list_sort(list_filter(json_keys(j), lambda f: NOT list_contains([{allowed}], f)))"
+    rows = [
+        "SELECT request_id, 'not_an_object' AS violation FROM j WHERE j IS NULL",
+        f"SELECT request_id, 'unsupported_fields:' || array_to_string({extra}, ',') FROM j WHERE len({extra}) > 0",
+        "SELECT request_id, 'horizon_days' FROM j WHERE json_type(j, '$.horizon_days') IS NOT NULL "
+        f"AND NOT coalesce({value.format('horizon_days')} IN (30, 60, 90), false)",
+        "SELECT request_id, 'target_roas' FROM j WHERE json_type(j, '$.target_roas') IS NOT NULL "
+        f"AND NOT coalesce({value.format('target_roas')} > 0, false)",
+    ]
+    if total:
+        rows.append(f"SELECT request_id, 'total_budget' FROM j WHERE j IS NOT NULL AND NOT coalesce({value.format('total_budget')} > 0, false)")
+    for m in maps:
+        rows.append(f"SELECT request_id, '{m}' FROM j WHERE json_type(j, '$.{m}') <> 'OBJECT'")
+        rows.append(f"""SELECT DISTINCT request_id, '{m}' FROM (
+  SELECT request_id, f, json_extract(json_extract(j, '$.{m}'), '$."' || f || '"') AS v
+  FROM (SELECT request_id, j, unnest(json_keys(j, '$.{m}')) AS f FROM j WHERE json_type(j, '$.{m}') = 'OBJECT')
+) WHERE trim(f) = '' OR coalesce(json_type(v), 'NULL') NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE') OR TRY_CAST(CAST(v AS VARCHAR) AS DOUBLE) < 0""")
+    return f"WITH {PAYLOADS}\n" + "\nUNION ALL ".join(rows)
+
+
 def statements() -> dict[str, str]:
     sql = _exports()
+    sql["damaged_line_quality"] = _damaged()
+    sql["forecast_request_violations"] = _requests(
+        ["horizon_days", "target_roas", "channel_budgets", "campaign_budgets"], ["channel_budgets", "campaign_budgets"], False
+    )
+    sql["allocation_request_violations"] = _requests(
+        ["horizon_days", "target_roas", "total_budget", "channel_minimums", "channel_maximums"], ["channel_minimums", "channel_maximums"], True
+    )
     sql["canonical_campaign_days"] = _with(
         select="""SELECT source_system, source_campaign_id, date, channel, campaign_type, campaign_name, round(spend, 5) AS spend,
   round(revenue, 5) AS revenue, clicks, impressions, conversions, round(configured_budget, 5) AS configured_budget, quality_flags FROM canon"""
