@@ -1,6 +1,6 @@
 """Secret scan: three fixed patterns, and strings that a primed compressor finds new in a sensitive context.
 
-A candidate is a long mixed string shortly behind a sensitive word. Its novelty is the number of bytes that it adds to a
+A candidate is a long mixed string shortly behind a sensitive word, be it the value of ``name=value``. Its novelty is the number of bytes that it adds to a
 zstandard frame primed with a dictionary of identifiers and with the text around it, per byte of its own. What is written in
 code or repeats its surroundings compresses away; keys do not.
 """
@@ -29,7 +29,12 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = ("key", "pass", "pwd", "secret", "token", "auth", "bearer", "credential", "private", "session", "signature", "cookie")
 SHORTEST = 16
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_NAME = re.compile(r"[A-Za-z0-9_-]+")
+# Where a candidate can begin: a run of its characters, and in a run every value behind "=".
+_START = re.compile(r"(?:(?<![A-Za-z0-9+/_=-])|(?<==))(?!=)(?=[A-Za-z0-9+/_=-]{%d})" % SHORTEST)
+# What is judged of a run with several values: the shortest part that ends behind a value and is long enough.
+_PIECE = re.compile(r".{%d}[^=]*=*" % SHORTEST)
 REACH = 40
 AROUND = 512
 NOVEL = 0.7
@@ -90,25 +95,29 @@ def novel_spans(text: str, lower: str, taken: list[Span]) -> list[Span]:
     if not words:
         return []
     starts, reached = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
-    spans, tried = [], set()
-    for word in re.finditer("|".join(words), lower):
-        # the window holds the first characters of every candidate that begins within reach, and of no other
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + SHORTEST)):
-            start = m.start()
-            if start in tried or (start and text[start - 1].isalnum()):
-                continue
-            tried.add(start)
-            own = _CANDIDATE.match(text, start)[0]
-            end = start + len(own)
-            before = bisect_left(starts, end)
-            if before and reached[before - 1] > start:
-                continue
-            kinds = sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
-            if kinds < 2 or not re.search("[0-9]", own):
-                continue
-            around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
-            if novelty(own, around) >= NOVEL:
-                spans.append((start, 3, end))
+    # the window holds the first characters of every candidate that begins within reach, and of no other
+    windows = ((w.end(), min(len(text), w.end() + REACH + SHORTEST)) for w in re.finditer("|".join(words), lower))
+    firsts = sorted({m.start() for window in windows for m in _START.finditer(text, *window)})
+    spans, done, end = [], 0, 0
+    for start, following in zip(firsts, [*firsts[1:], len(text)]):
+        if start < done or (start and text[start - 1].isalnum()):
+            continue
+        end = end if start < end else _RUN.match(text, start).end()
+        # a name with its value behind it is tried by itself, and the value later
+        named = following < end and _NAME.fullmatch(text, start, text.index("=", start, following))
+        own = named[0] if named else _PIECE.match(text, start, end)[0]
+        if len(own) < SHORTEST:
+            continue
+        before = bisect_left(starts, end)
+        if before and reached[before - 1] > start:
+            continue
+        kinds = sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+        if kinds < 2 or not re.search("[0-9]", own):
+            continue
+        around = text[max(0, start - AROUND) : start] + " " + text[start + len(own) : start + len(own) + AROUND]
+        if novelty(own, around) >= NOVEL:
+            spans.append((start, 3, end))
+            done = end
     return sorted(spans)
 
 

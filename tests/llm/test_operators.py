@@ -342,6 +342,18 @@ def test_long_candidates_are_whole():
     assert all(a <= b for a, (b, _, _) in zip(ends, every[1:]))  # none overlaps another
 
 
+def test_values_behind_names():
+    key = "tQ9z7LkX2vBn4Rw8Hs1Dy6Mc3Jf5Pg0"
+    names = ["AWS_SECRET_ACCESS_KEY", "access_key", "session", "signature", "private_key_id", "auth", "pwd", "x-session-id", "key_of=session"]
+    for name in names:
+        for mark in ("=", ":", "==", "=\"", ": "):
+            assert secrets.found_spans(f"a\n{name}{mark}{key}&b=1")[1] == [(len(name) + len(mark) + 2, 3, len(name) + len(mark) + 2 + len(key))], (name, mark)
+    assert secrets.found_spans(f"key SOME_NAME={key}")[1] == [(14, 3, 14 + len(key))]
+    assert secrets.found_spans(f"session={key}==")[1] == [(8, 3, 10 + len(key))]
+    assert secrets.found_spans(f"session={key}={key[::-1]}")[1] == [(8, 3, 9 + 2 * len(key))]  # no half of it stays
+    assert secrets.found_spans("key=" * 20_000)[1] == [] and secrets.found_spans("session=some_public_key_name_of_the_account")[1] == []
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "source_mix"]
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 100").first().text
