@@ -1,13 +1,15 @@
 """Secret scan: three fixed patterns, and strings that a primed compressor finds new in a sensitive context.
 
 A candidate is a long mixed string shortly behind a sensitive word, be it the value of ``name=value``. Its novelty is the number of bytes that it adds to a
-zstandard frame primed with a dictionary of identifiers and with the text around it, per byte of its own. What is written in
-code or repeats its surroundings compresses away; keys do not.
+zstandard frame primed with a dictionary of identifiers and with the text around it, as a share of what a random string of its
+length over its own characters adds. What is written in code or repeats its surroundings compresses away; keys do not. A
+candidate that ends its line extends over the lines that wrap it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -35,9 +37,15 @@ _NAME = re.compile(r"[A-Za-z0-9_-]+")
 _START = re.compile(r"(?:(?<![A-Za-z0-9+/_=-])|(?<==))(?!=)(?=[A-Za-z0-9+/_=-]{%d})" % SHORTEST)
 # What is judged of a run with several values: the shortest part that ends behind a value and is long enough.
 _PIECE = re.compile(r".{%d}[^=]*=*" % SHORTEST)
+# The next line of a wrapped value, also where its line break is written as an escape, and the usual widths of such lines.
+_LINE = re.compile(r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_=-]+)(?=[ \t]*(?:\r?\n|\Z)|\\[rn]|[\"'])")
+_LAST = re.compile(r"(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)-----END ")
+WIDTHS = (64, 70, 76)
 REACH = 40
 AROUND = 512
 NOVEL = 0.7
+#: The same for letters alone in lower case, where random ones reach 0.9 and words of identifiers less.
+NOVEL_LETTERS = 0.85
 IDENTIFIERS = " ".join(
     """
     abstract access_token account_id api_version application async authorization await base64 boolean bucket_name callback
@@ -79,11 +87,42 @@ def base_spans(text: str, data: bytes, lower: str) -> list[Span]:
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Compressed bytes that the candidate adds, per byte, after identifiers and its surroundings."""
+    """Compressed bytes that the candidate adds after identifiers and its surroundings, as a share of those of a random string."""
     primed = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     level = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False)
-    own = candidate.encode()
-    return (len(level.compress(own)) - len(level.compress(b""))) / len(own)
+    other = "".join(random.Random(candidate).choices(sorted(set(candidate)), k=len(candidate)))
+    empty = len(level.compress(b""))
+    return (len(level.compress(candidate.encode())) - empty) / max(1, len(level.compress(other.encode())) - empty)
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether this part of the text is mixed and does not compress, nor, without a digit, its letters in lower case."""
+    own = text[start:end]
+    if sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]")) < 2:
+        return False
+    around = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
+    if novelty(own, around) < NOVEL:
+        return False
+    return bool(re.search("[0-9]", own)) or novelty(own.lower(), around.lower()) >= NOVEL_LETTERS
+
+
+def wrapped_end(text: str, start: int, end: int) -> int:
+    """The end of the lines that go on behind a found value.
+
+    These are lines of nothing but characters of candidates that are as long as the line before or novel by themselves, and a
+    shorter one behind lines of one length, behind a line of a usual width, or before an end mark.
+    """
+    before, last = 0, end - start
+    while line := _LINE.match(text, end):
+        if _LAST.match(text, end):
+            break
+        width = line.end() - line.start(1)
+        if width != last and not (width >= SHORTEST and is_novel(text, line.start(1), line.end())):
+            if width < last and (before == last or last in WIDTHS or _LAST.match(text, line.end())):
+                end = line.end()
+            break
+        before, last, end = last, width, line.end()
+    return end
 
 
 def novel_spans(text: str, lower: str, taken: list[Span]) -> list[Span]:
@@ -102,6 +141,8 @@ def novel_spans(text: str, lower: str, taken: list[Span]) -> list[Span]:
     for start, following in zip(firsts, [*firsts[1:], len(text)]):
         if start < done or (start and text[start - 1].isalnum()):
             continue
+        if start and text[start - 1] == "\\" and text[start] in "nrt":  # behind an escape
+            start += 1
         end = end if start < end else _RUN.match(text, start).end()
         # a name with its value behind it is tried by itself, and the value later
         named = following < end and _NAME.fullmatch(text, start, text.index("=", start, following))
@@ -111,13 +152,11 @@ def novel_spans(text: str, lower: str, taken: list[Span]) -> list[Span]:
         before = bisect_left(starts, end)
         if before and reached[before - 1] > start:
             continue
-        kinds = sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
-        if kinds < 2 or not re.search("[0-9]", own):
-            continue
-        around = text[max(0, start - AROUND) : start] + " " + text[start + len(own) : start + len(own) + AROUND]
-        if novelty(own, around) >= NOVEL:
-            spans.append((start, 3, end))
-            done = end
+        if is_novel(text, start, start + len(own)):
+            done = wrapped_end(text, start, end)
+            if before < len(starts):
+                done = min(done, max(end, starts[before]))
+            spans.append((start, 3, done))
     return sorted(spans)
 
 
