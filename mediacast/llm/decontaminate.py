@@ -4,7 +4,8 @@ Passages are two neighbouring segments of a text, each as long as the longest it
 in one passage. The index has blocks of ``BLOCK`` items with the highest impact of each term in each block. A passage skips all
 blocks whose summed highest impacts stay below the least threshold in the block (block-max pruning) and is scored exactly
 against the items of the others. Whatever reaches the threshold, a share of an item's own score, is verified: shingles of
-the item's question and of its answer must both stand in the passage.
+the item's question and of its answer must both stand in the passage. For a part of few words, in which one edit breaks most
+shingles, shingles of the whole item count instead. Quotes, brackets and sentence marks do not belong to words.
 """
 
 from __future__ import annotations
@@ -20,16 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediacast.llm.word_hashes import shingles, text_chunks, words
+from mediacast.session import stage
 
 K1, B = 1.2, 0.75
 SHARE = 0.6
 OVERLAP = 0.5
+WORD_OVERLAP = 0.75
 WORDS = 5
+#: A part of fewer words is verified by the whole item.
+FEW = 10
 BLOCK = 8
 #: Items of one dense index, and bytes of item texts in one broadcast; more items are more indexes and more passes.
 SHARD = 256
 PASS_BYTES = 16 << 20
 
+Part = tuple[int, int, np.ndarray]  # words, words of a shingle, shingles
+
 
 @dataclass(frozen=True)
 class Index:
@@ -42,8 +49,44 @@ class Index:
     highest: np.ndarray  # [term, block]
     needed: np.ndarray  # score that an item asks for
     least: np.ndarray  # least needed score of each block
-    questions: list[tuple[int, np.ndarray]]  # words of a shingle and the shingles
-    answers: list[tuple[int, np.ndarray]]
+    questions: list[Part]
+    answers: list[Part]
+    wholes: list[Part]
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 asks of all items, also of those in other passes."""
+
+    items: int
+    mean: float  # words of an item
+    terms: np.ndarray  # sorted word hashes, at least those of the items to be indexed
+    counts: np.ndarray  # items that hold the term
+
+
+_MARKS = np.arange(256, dtype=np.uint8)
+_MARKS[list(b"\"'`()[]{}<>.,;:!?")] = 0x20
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, word offsets of the rows)`` with quotes, brackets and sentence marks read as blanks; a row of nothing else keeps its words."""
+    plain = _MARKS[data]
+    # general punctuation of quotes, dots and dashes (E2 80 90-AF), guillemets (C2 AB, C2 BB), inverted marks (C2 A1, C2 BF)
+    for at in (np.flatnonzero(data[:-2] == 0xE2),) if len(data) > 2 else ():
+        at = at[(data[at + 1] == 0x80) & (data[at + 2] >= 0x90) & (data[at + 2] <= 0xAF)]
+        plain[at] = plain[at + 1] = plain[at + 2] = 0x20
+    for at in (np.flatnonzero(data[:-1] == 0xC2),) if len(data) > 1 else ():
+        at = at[np.isin(data[at + 1], np.array([0xA1, 0xAB, 0xBB, 0xBF], np.uint8))]
+        plain[at] = plain[at + 1] = 0x20
+    _, _, hashes, rows = words(plain, offsets)
+    bare = np.flatnonzero(np.diff(rows) == 0)
+    bare = bare[offsets[bare] < offsets[bare + 1]]
+    if len(bare):
+        for row in bare:
+            own = slice(offsets[row], offsets[row + 1])
+            plain[own] = data[own]
+        _, _, hashes, rows = words(plain, offsets)
+    return hashes, rows
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -58,29 +101,33 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(pieces[: len(pieces) // 2]), " ".join(pieces[len(pieces) // 2 :])
 
 
-def _shingles_of(text: str) -> tuple[int, np.ndarray]:
-    """The shingles of a part of an item; a part of fewer words is looked for as a whole."""
+def _hashes_of(text: str) -> np.ndarray:
     for _, data, offsets in text_chunks(pa.array([text])):
-        _, _, hashes, rows = words(data, offsets)
-        size = max(1, min(WORDS, len(hashes)))
-        return size, np.unique(shingles(hashes, rows, size)[0])
-    return WORDS, np.zeros(0, np.uint64)
+        return plain_words(data, offsets)[0]
+    return np.zeros(0, np.uint64)
 
 
-def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
-    """Indexes of ``SHARD`` items each, sorted by length, with statistics over all items given. Items without words are left out."""
+def _part_of(text: str) -> Part:
+    """A part of an item; the shingles of a short one are so short that one edited word breaks half of them at most."""
+    hashes = _hashes_of(text)
+    size = max(1, min(WORDS, (len(hashes) + 1) // 3))
+    return len(hashes), size, np.unique(shingles(hashes, np.array([0, len(hashes)]), size)[0])
+
+
+def build_indexes(items: list[tuple[int, str]], statistics: Statistics | None = None) -> list[Index]:
+    """Indexes of ``SHARD`` items each, sorted by length, with the statistics given or else those of the items. Items without words are left out."""
     found = []
     for item, text in items:
-        for _, data, offsets in text_chunks(pa.array([text])):
-            hashes = words(data, offsets)[2]
-            if len(hashes):
-                found.append((len(hashes), item, text, *np.unique(hashes, return_counts=True)))
+        hashes = _hashes_of(text)
+        if len(hashes):
+            found.append((len(hashes), item, text, *np.unique(hashes, return_counts=True)))
     found.sort(key=lambda x: (x[0], x[1]))
     if not found:
         return []
-    mean = np.mean([f[0] for f in found])
-    vocabulary, document_counts = np.unique(np.concatenate([f[3] for f in found]), return_counts=True)
-    idf = np.log(1 + (len(found) - document_counts + 0.5) / (document_counts + 0.5))
+    if statistics is None:
+        statistics = Statistics(len(found), float(np.mean([f[0] for f in found])), *np.unique(np.concatenate([f[3] for f in found]), return_counts=True))
+    mean, vocabulary = statistics.mean, statistics.terms
+    idf = np.log(1 + (statistics.items - statistics.counts + 0.5) / (statistics.counts + 0.5))
     indexes = []
     for start in range(0, len(found), SHARD):
         some = found[start : start + SHARD]
@@ -98,18 +145,23 @@ def build_indexes(items: list[tuple[int, str]]) -> list[Index]:
                 np.array([f[1] for f in some], np.int64), max(f[0] for f in some), terms, impacts,
                 np.stack([impacts[:, b : b + BLOCK].max(axis=1) for b in blocks], axis=1), needed,
                 np.array([needed[b : b + BLOCK].min() for b in blocks]),
-                [_shingles_of(q) for q, _ in parts], [_shingles_of(a) for _, a in parts],
+                [_part_of(q) for q, _ in parts], [_part_of(a) for _, a in parts], [_part_of(f[2]) for f in some],
             )
         )
     return indexes
 
 
-def _contained(part: tuple[int, np.ndarray], hashes: np.ndarray) -> float:
+def _contained(part: Part, hashes: np.ndarray) -> float:
     """The share of the part's shingles that the passage holds."""
-    size, wanted = part
+    _, size, wanted = part
     return float(np.isin(wanted, shingles(hashes, np.array([0, len(hashes)]), size)[0]).mean()) if len(wanted) else 1.0
 
 
+def _holds(part: Part, share: float) -> bool:
+    """Whether this share of the part is enough; single words stand anywhere in a passage and have to be more."""
+    return share >= (OVERLAP if part[1] > 1 else WORD_OVERLAP)
+
+
 def matches(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """``(row, item, share of the item's score, question overlap, answer overlap)`` of the verified passages of a chunk."""
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
@@ -141,19 +193,61 @@ def matches(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tupl
             start = rows[row] + (passage - first_segment[row]) * index.length
             own_words = hashes[start : min(rows[row + 1], start + 2 * index.length)]
             question, answer = _contained(index.questions[item], own_words), _contained(index.answers[item], own_words)
-            if question >= OVERLAP and answer >= OVERLAP:
+            parts = [(index.questions[item], question), (index.answers[item], answer)]
+            held = [_holds(*p) for p in parts]
+            if not all(held) and all(h or p[0] < FEW for h, (p, _) in zip(held, parts)):
+                held = [_holds(index.wholes[item], _contained(index.wholes[item], own_words))]
+            if all(held):
                 yield row, item, float(scores[i] / index.needed[item] * SHARE), question, answer
 
 
-def _passes(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of a bounded size, each to be broadcast by itself."""
-    rows = items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held, size = [], 0
-    for row in rows.orderBy("id", "text").toLocalIterator():
+def _counts(items: DataFrame) -> DataFrame:
+    """``(term, items, words)`` of all items: those that hold the term, and for the null term all items with words and their words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_chunks(batch.column(0)):
+                hashes, rows = plain_words(data, offsets)
+                own = [np.unique(hashes[a:b]) for a, b in zip(rows[:-1], rows[1:])]
+                terms, counts = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(terms.view(np.int64), pa.int64()), pa.nulls(1, pa.int64())]),
+                        pa.array([*counts.tolist(), int((np.diff(rows) > 0).sum())], pa.int64()),
+                        pa.array([*[0] * len(counts), len(hashes)], pa.int64()),
+                    ],
+                    names=["term", "items", "words"],
+                )
+
+    counted = items.select("text").mapInArrow(count, "term long, items long, words long")
+    return counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
+
+
+def _statistics(counts: DataFrame, items: list[tuple[int, str]]) -> Statistics:
+    """The statistics over all items for the terms of these."""
+    every = counts.where("term is null").first()
+    terms = np.unique(np.concatenate([_hashes_of(text) for _, text in items]))
+    own = counts.sparkSession.createDataFrame(pa.table({"term": pa.array(terms.view(np.int64))}))
+    found = counts.join(own, "term").select("term", "items").toArrow()
+    known = found["term"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return Statistics(every["items"], every["words"] / max(1, every["items"]), known[order], found["items"].to_numpy()[order])
+
+
+def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items ``(id, text)`` in lists of a bounded size, each to be broadcast by itself.
+
+    Texts without an id get -1, -2 and so on in their order, below all ids that there are.
+    """
+    surrogate = min(0, items.agg(F.min("id")).first()[0] or 0)
+    held, size, last = [], 0, None
+    for row in items.orderBy("id", "text").toLocalIterator():
+        if row["id"] is None and row["text"] != last:
+            surrogate, last = surrogate - 1, row["text"]
         if held and size + len(row["text"]) > PASS_BYTES:
             yield held
             held, size = [], 0
-        held.append((row["id"], row["text"]))
+        held.append((surrogate if row["id"] is None else row["id"], row["text"]))
         size += len(row["text"])
     if held:
         yield held
@@ -165,21 +259,24 @@ def contaminated(
     """``(key, item, score, question_overlap, answer_overlap)``: one row per text and test item found in it, at its best.
 
     Null and empty texts and items match nothing. Rows that repeat a key count as one document. Items that repeat an id are
-    told apart by their text and reported once under that id. Other columns are not read. Without items the result is empty.
+    told apart by their text and reported once under that id; items
+    without one are reported under -1, -2 and so on, by text, below all ids. Other columns are not read. Without items the result is empty.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = spark.createDataFrame([], schema)
-    for items in _passes(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(build_indexes(items))
+    tests = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
+    counts = stage(_counts(tests), "item-terms")
+    for items in _passes(tests):
+        shared = spark.sparkContext.broadcast(build_indexes(items, _statistics(counts, items)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for first, data, offsets in text_chunks(batch.column(1)):
-                    _, _, hashes, bounds = words(data, offsets)
+                    hashes, bounds = plain_words(data, offsets)
                     for index in shared.value:
                         out.extend((first + row, int(index.items[i]), *rest) for row, i, *rest in matches(index, hashes, bounds))
                 take = pa.array([x[0] for x in out], pa.int64())

@@ -306,6 +306,28 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(own, other.limit(0)).count() == 0 and decontaminate.contaminated(own.limit(0), other).count() == 0
 
 
+def test_edited_copies_of_short_parts(spark):
+    body, answer = [w + str(i) for i, w in enumerate(invented(21, 24))], ["zoru", "velka", "mundi", "tasp"]
+    items = [(1, " ".join(body) + ". Er."), (2, " ".join(w + "q" for w in body) + ". " + " ".join(answer) + "."), (3, " ".join(w + "x" for w in body[:6]) + "?  " + " ".join(w + "y" for w in body[:5]))]
+    items += [(None, " ".join(w + "n" for w in body)), (None, " ".join(w + "m" for w in body)), (-4, "other words stand here. And here.")]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    one, two, three = (t for _, t in items[:3])
+    edits = [
+        (1, one), (1, f'"{one}"'), (1, f"({one})"), (1, one[:-1] + "!"), (1, " ".join(body) + "."), (1, f"\u201c{one}\u201d"), (2, two.replace("mundi", "other")), (2, two.replace(answer[0], "Other")),
+        (3, three), (3, three.replace(body[2] + "y", "other")), (3, f"\u00ab{three}\u00bb"), (3, three.replace(body[5] + "x", "other")), (-5, items[4][1]), (-6, items[3][1]),
+    ]
+    around = " ".join(invented(22, 200))
+    docs = documents(spark, [(i, f"{around} {t} {around}") for i, (_, t) in enumerate(edits)] + [(100, f"{around} {' '.join(body[:9])} {around}"), (101, "Er. " * 50), (102, " ".join(answer * 9))])
+    expected = {(i, number) for i, (number, _) in enumerate(edits)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, test).collect()} == expected
+    whole = sorted(decontaminate.contaminated(docs, test).collect())
+    bound, decontaminate.PASS_BYTES = decontaminate.PASS_BYTES, 200
+    try:
+        assert sorted(decontaminate.contaminated(docs, test).collect()) == whole  # the same in many passes
+    finally:
+        decontaminate.PASS_BYTES = bound
+
+
 def test_block_bounds_hide_nothing():
     items = [(i, " ".join(invented(i, 20 + i % 7))) for i in range(300)]
     indexes = decontaminate.build_indexes(items)
