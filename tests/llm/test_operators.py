@@ -231,6 +231,52 @@ def test_template_tree(spark):
     assert found["v", "user3"].template == ["*", "posts", "", "", ""] and found["v", "user3"].purity == pytest.approx(61 / 62)
 
 
+def brute_templates(raws, named):
+    """Templates of one host's distinct raw paths, level by level in plain Python."""
+    found = {r: () for r in raws}
+    for level in range(url_filter.DEPTH):
+        below, new = {}, {}
+        for r, t in found.items():
+            below.setdefault(t, {}).setdefault(r[level], []).append(r)
+        for t, values in below.items():
+            every = sum(map(len, values.values()))
+            light = {v for v, rs in values.items() if not any(r[: level + 1] in named for r in rs) and len(rs) * url_filter.MANY_VALUES <= every}
+            for v, rs in values.items():
+                new |= {r: (*t, "*" if v in light and len(light) >= url_filter.MANY_VALUES else v) for r in rs}
+        found = new
+    return found
+
+
+def test_templates_do_not_follow_repeats(spark):
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:05}") for i in range(600)]
+    paths = [f"/de/{i}" for i in range(20)] + [f"/{n}/{i}" for i, n in enumerate(names[:99])]
+    pages = [f"http://example.com{p}" for p in paths]
+    # a hot host: users of ten pages each, one heavy value, and a parent of few values
+    pages += [f"http://hot.org/{u}/{p}" for u in names for p in names[:10]] + [f"http://hot.org/wiki/{p}/{q}" for p in names[:30] for q in names[:40]] + [f"http://hot.org/fr/{p}" for p in names[:5]]
+    # siblings that a rule blocks alike, one of the other kind, and one without labels
+    rules = [url_filter.Rule("block", "m.test", f"/s/bad{c}") for c in "abc"] + [url_filter.Rule("allow", "one.test", "/s/fine"), url_filter.Rule("block", "one.test", "/s/bad")]
+    pages += [f"http://m.test/s/{v}?{i}" for v in ("bada", "badb", "badc", "new") for i in range(30)] + [f"http://one.test/s/{v}?{i}" for v in ("bad", "fine", "new") for i in range(30)]
+    pages += [f"http://com.test/{n}" for n in names[:19]]
+    rules = [*url_filter.RULES, *rules]
+    results = []
+    for times in (1, 2):
+        df = spark.createDataFrame(list(enumerate(pages * times)), "page_id long, url string")
+        rows = url_filter.judged(df, rules).collect()
+        results.append({(r.host, r.path, r.verdict, r.template) for r in rows})
+        assert len(rows) == times * len(pages)
+    assert results[0] == results[1]
+    found = {(h, p): (v, t) for h, p, v, t in results[0]}
+    assert all(found["example.com", p][0] == ("block" if p.startswith("/de/") else "allow") for p in paths)
+    assert found["example.com", "/de/7"][1] == "/de/*///" and found["example.com", paths[-1]][1] == "/*/*///"
+    for host in ("example.com", "hot.org", "com.test", "m.test"):
+        raws = {p: tuple((([x if not x.isdigit() else "*" for x in p[1:].split("/", 4)]) + [""] * 5)[:5]) for h, p in found if h == host}
+        named = {("de",), ("fr",), *(("s", "bad" + c) for c in "abc"), ("s",)}
+        brute = brute_templates(set(raws.values()), named)
+        assert all(found[host, p][1] == "/" + "/".join(brute[r]) for p, r in raws.items()), host
+    assert found["hot.org", f"/{names[500]}/{names[3]}"][1].startswith("/*/") and found["hot.org", f"/wiki/{names[0]}/{names[0]}"][1] == "/wiki/*/*//"
+    assert found["m.test", "/s/new"][0] == "block" and found["one.test", "/s/new"][0] == "allow" and found["com.test", "/" + names[0]][1] == f"/{names[0]}////"
+
+
 def test_forest_against_all_pairs(spark):
     rng, rows = np.random.default_rng(2), []
     for c in range(40):
