@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from mediacast.llm.decontaminate import contaminated
 from mediacast.llm.embedding_forest import near_vectors
+from mediacast.llm.filter_audit import audit
 from mediacast.llm.language import languages
 from mediacast.llm.mixing import mixed
 from mediacast.llm.ngram_join import near_duplicates
+from mediacast.llm.packing import packed
 from mediacast.llm.quality_rules import quality
 from mediacast.llm.secrets import secrets
 from mediacast.llm.token_counts import token_counts
 from mediacast.llm.url_filter import judged
 from mediacast.llm.warc import archived
+from mediacast.llm.whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +69,18 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets(_table(spark, folder, "documents"))
 
 
+def op11_length_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -80,6 +95,9 @@ def queries() -> dict[str, Query]:
             op8_quality_rules,
             op9_benchmark_decontamination,
             op10_secret_scan,
+            op11_length_packing,
+            op12_filter_audit,
+            op13_whitening,
         )
     }
 
@@ -178,5 +196,53 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compone
 """
 
 
+_FILTER_AUDIT = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS capitals
+  FROM documents
+), f AS (
+  SELECT d.doc_id, part,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * capitals > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic
+  FROM d
+), c AS (
+  SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL
+), o AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || letter FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(filter_order, letter)
+), s AS (
+  SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5
+), j AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, docs, good, toxic,
+         fails[ascii(substr(filter_order, step, 1)) - 64] AS failing, len(list_filter(fails, x -> x)) AS failed,
+         len(list_filter(range(1, step::INT), i -> fails[ascii(substr(filter_order, i::INT, 1)) - 64])) > 0 AS gone
+  FROM c, s
+), m AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(docs) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(docs) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(docs) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(docs) FILTER (failing AND failed = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost
+  FROM j GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM m
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _NGRAM_JACCARD, "op3_source_mix": _SOURCE_MIX, "op4_warc_archive": _WARC, "op6_url_filter": _URL_FILTER, "op7_embedding_forest": _EMBEDDING_FOREST}
+    return {
+        "op2_ngram_jaccard": _NGRAM_JACCARD,
+        "op3_source_mix": _SOURCE_MIX,
+        "op4_warc_archive": _WARC,
+        "op6_url_filter": _URL_FILTER,
+        "op7_embedding_forest": _EMBEDDING_FOREST,
+        "op12_filter_audit": _FILTER_AUDIT,
+    }
