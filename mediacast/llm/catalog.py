@@ -218,17 +218,20 @@ WITH RECURSIVE d AS (
   SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5
 ), j AS (
   SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, docs, good, toxic,
-         fails[ascii(substr(filter_order, step, 1)) - 64] AS failing, len(list_filter(fails, x -> x)) AS failed,
-         len(list_filter(range(1, step::INT), i -> fails[ascii(substr(filter_order, i::INT, 1)) - 64])) > 0 AS gone
+         fails[ascii(substr(filter_order, step, 1)) - 64] AS failing,
+         fails[1]::INT + fails[2]::INT + fails[3]::INT + fails[4]::INT + fails[5]::INT AS failed,
+         least(CASE WHEN fails[1] THEN instr(filter_order, 'A') ELSE 6 END, CASE WHEN fails[2] THEN instr(filter_order, 'B') ELSE 6 END,
+               CASE WHEN fails[3] THEN instr(filter_order, 'C') ELSE 6 END, CASE WHEN fails[4] THEN instr(filter_order, 'D') ELSE 6 END,
+               CASE WHEN fails[5] THEN instr(filter_order, 'E') ELSE 6 END) AS leaves_at
   FROM c, s
 ), m AS (
   SELECT part, filter_order, step, letter,
-         coalesce(sum(docs) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
-         coalesce(sum(docs) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
-         coalesce(sum(docs) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(docs) FILTER (leaves_at > step), 0)::BIGINT AS kept,
+         coalesce(sum(docs) FILTER (leaves_at = step), 0)::BIGINT AS removed,
+         coalesce(sum(docs) FILTER (failing AND leaves_at < step), 0)::BIGINT AS redundant,
          coalesce(sum(docs) FILTER (failing AND failed = 1), 0)::BIGINT AS unique_fails,
-         coalesce(sum(good) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost,
-         coalesce(sum(toxic) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost
+         coalesce(sum(good) FILTER (leaves_at = step), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (leaves_at = step), 0)::BIGINT AS toxic_lost
   FROM j GROUP BY ALL
 )
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
