@@ -1,9 +1,13 @@
 """Budget allocation: best marginal return first, under campaign caps and channel bounds.
 
 The rule is stepwise: give one step to the campaign with the highest marginal return. As returns
-diminish, the same picks come out of sorting all steps once, up to the point where a step has to be
-shortened. That prefix is found with a distributed running total; only shortened steps are picked one
-by one, each with one aggregation. Neither campaigns nor steps are ever gathered.
+diminish, the same picks come out of sorting all steps once, as long as no limit shortens a step. A limit
+(the total, or what is left of a channel) does nothing until less than a step is left of it; from then on it shortens the picks
+of all campaigns below it that have more room. So the work goes in rounds: sort the picks whose amount is fixed, add
+them up over range pieces, and take them up to the first place where a limit falls below a step, runs out, or where a
+shortened pick would come first. That place is searched for with many probes at a time, and the shortened pick uses up its
+limit. A round switches or ends one limit: rounds are bounded by channels, jobs never follow campaigns or steps, and
+neither of these is gathered.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from mediacast.session import stage
 GUARD_FLAGS = ["sparse_recent_history", "budget_extrapolation", "direct_model_category_oov_fallback"]
 RELAXED_WEIGHT = 0.55
 EPSILON = 1e-6
+#: Places of the sorted picks that are looked at in one job.
+PROBES = 64
 
 
 @dataclass(frozen=True)
@@ -93,26 +99,6 @@ def scored(rows: DataFrame, current: Column, addition: Column, target: float | N
     )
 
 
-def running_total(df: DataFrame, pool: list[str], order: list[Column], value: str, name: str) -> DataFrame:
-    """Inclusive running sum per pool in a total order, without one task seeing a whole pool."""
-    pieces = stage(
-        df.repartitionByRange(*[F.col(c) for c in pool], *order).withColumn("piece", F.spark_partition_id()), "pieces"
-    )
-    before = Window.partitionBy(*pool).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieces.groupBy(*pool, "piece")
-        .agg(F.sum(value).alias("part"))
-        .select(*pool, "piece", F.coalesce(F.sum("part").over(before), F.lit(0.0)).alias("offset"))
-    )
-    inside = Window.partitionBy(*pool, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # one offset per pool and range piece
-    return (
-        pieces.join(F.broadcast(offsets), [*pool, "piece"])
-        .withColumn(name, F.sum(value).over(inside) + F.col("offset"))
-        .drop("piece", "offset")
-    )
-
-
 def _amounts(bounds: dict[str, float], missing: Column) -> Column:
     value = missing
     for channel, amount in bounds.items():
@@ -131,77 +117,182 @@ def full_steps(state: DataFrame, step: float, room: Column, target: float | None
     return scored(steps.withColumn("addition", addition), start, addition, target)
 
 
+@dataclass
+class _Limits:
+    """What is left of the total and of the channels that have a limit."""
+
+    total: float
+    channels: dict[str, float]
+
+    def column(self) -> Column:
+        return F.least(F.lit(self.total), _amounts(self.channels, F.lit(float("inf"))))
+
+    def all(self) -> list[float]:
+        return [self.total, *self.channels.values()]
+
+    def less(self, spent: dict[str, float]) -> "_Limits":
+        return _Limits(self.total - sum(spent.values()), {c: v - spent.get(c, 0.0) for c, v in self.channels.items()})
+
+
+def _room() -> Column:
+    return F.col("cap") - F.col("allocated")
+
 
 def _order() -> list[Column]:
     return [F.col("phase"), F.desc("score"), F.desc("campaign_key"), F.col("nth")]
 
 
-def _take_prefix(
-    state: DataFrame, step: float, limits: Column, pool: str, target: float | None, channel_left: Column | None
-) -> tuple[DataFrame, bool]:
-    """Apply all picks before the first one that has to be shortened.
+def _best() -> Column:
+    """What makes a pick come first, as a struct whose largest value wins."""
+    return F.struct((-F.col("phase")).alias("phase"), F.col("score").alias("score"), F.col("campaign_key").alias("campaign_key"))
 
-    ``limits`` is what is left of a pool and ``channel_left`` what is left of a channel's maximum.
-    """
-    room = F.least(F.col("cap") - F.col("allocated"), limits)
-    pooled = state.withColumn("pool", F.lit(pool) if pool else F.col("channel"))
-    steps = full_steps(pooled, step, room, target).withColumn("pool_left", limits)
-    total = running_total(steps, ["pool"], _order(), "addition", "until")
-    short = F.col("pool_left") - (F.col("until") - F.col("addition")) < step
-    if channel_left is not None:
-        total = running_total(total, ["channel"], _order(), "addition", "channel_until")
-        short = short | (channel_left - (F.col("channel_until") - F.col("addition")) < step)
-    total = stage(total.withColumn("short", short), "steps")
-    first = total.where("short").groupBy("pool").agg(F.min("until").alias("stop"))
-    taken = (
-        total.join(F.broadcast(first), "pool", "left")
-        .where(F.col("stop").isNull() | (F.col("until") < F.col("stop")))
-        .groupBy("campaign_key")
-        .agg(F.sum("addition").alias("gained"), F.max("phase").alias("gained_phase"))
+
+def _fixed_picks(rows: DataFrame, limit: Column, step: float, target: float | None) -> DataFrame:
+    """Picks that no limit shortens: whole schedules where a step is left, else the rest of campaigns with less room."""
+    whole = limit >= step
+    steps = rows.where(whole | (_room() < limit)).withColumn("room", F.when(whole, F.least(_room(), limit)).otherwise(_room()))
+    return full_steps(steps, step, F.col("room"), target).drop("room")
+
+
+def _ranked(picks: DataFrame) -> DataFrame:
+    """Picks in order with ``rank`` and the inclusive totals ``until`` and ``channel_until``; no task sees more than a range piece."""
+    pieces = stage(picks.repartitionByRange(*_order()).withColumn("piece", F.spark_partition_id()), "pieces")
+    parts = pieces.groupBy("piece", "channel").agg(F.sum("addition").alias("part"), F.count("*").alias("picks"))
+    # one row per piece and channel
+    before = Window.partitionBy("channel").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    by_piece = parts.groupBy("piece").agg(F.sum("part").alias("part"), F.sum("picks").alias("picks")).select(
+        "piece", F.coalesce(F.sum("part").over(earlier), F.lit(0.0)).alias("offset"), F.coalesce(F.sum("picks").over(earlier), F.lit(0)).alias("ranks")
     )
-    moved = (
-        state.join(taken, "campaign_key", "left")
-        .withColumn("allocated", F.col("allocated") + F.coalesce("gained", F.lit(0.0)))
-        .drop("gained")
+    by_channel = parts.select("piece", "channel", F.coalesce(F.sum("part").over(before), F.lit(0.0)).alias("channel_offset"))
+    inside = Window.partitionBy("piece").orderBy(*_order())
+    within = Window.partitionBy("piece", "channel").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        pieces.join(F.broadcast(by_piece), "piece")
+        .join(F.broadcast(by_channel), ["piece", "channel"])
+        .withColumn("channel_until", F.sum("addition").over(within) + F.col("channel_offset"))
+        .withColumn("rank", F.row_number().over(inside) + F.col("ranks"))
+        .withColumn("until", F.sum("addition").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset"))
     )
-    relaxed = bool(moved.agg(F.max("gained_phase")).first()[0])
-    return stage(moved.drop("gained_phase"), "allocation"), relaxed
-
+    return stage(ranked.drop("piece", "offset", "ranks", "channel_offset"), "ranked")
 
-def _pick(state: DataFrame, left: float, step: float, target: float | None, channel_left: Column | None) -> object:
-    """The single best next addition, shortened by whatever is about to run out."""
-    parts = [F.lit(step), F.lit(left), F.col("cap") - F.col("allocated")]
-    addition = F.least(*parts, *([channel_left] if channel_left is not None else []))
-    rows = state.where(F.col("allocated") + EPSILON < F.col("cap")).withColumn("addition", addition)
-    rows = scored(rows.where(F.col("addition") > EPSILON), F.col("allocated"), F.col("addition"), target)
-    best = F.max_by(F.struct("campaign_key", "addition", "phase"), F.struct(-F.col("phase"), "score", "campaign_key"))
-    return rows.agg(best.alias("best")).first().best
 
+def _first_below(ranked: DataFrame, limits: _Limits, step: float) -> int | None:
+    """Rank of the first pick after which a limit has less than a step left."""
+    below = F.lit(limits.total >= step) & (F.lit(limits.total) - F.col("until") < step)
+    for channel, left in limits.channels.items():
+        if left >= step:
+            below |= (F.col("channel") == channel) & (F.lit(left) - F.col("channel_until") < step)
+    return ranked.where(below).agg(F.min("rank")).first()[0]
 
-def _give(state: DataFrame, key: str, amount: float) -> DataFrame:
-    return state.withColumn(
-        "allocated", F.when(F.col("campaign_key") == key, F.col("allocated") + amount).otherwise(F.col("allocated"))
-    )
 
+def _overtaken(rest: DataFrame, ranked: DataFrame, limits: _Limits, probes: list[int], target: float | None) -> list[int]:
+    """Probes at which a shortened pick comes before the next fixed one, or a limit has run out.
 
-def _fill_minimums(state: DataFrame, minimums: dict[str, float], step: float) -> DataFrame:
-    """Channel minimums first, each within its own channel and without the target."""
-    wanted = _amounts(minimums, F.lit(0.0))
-    state, _ = _take_prefix(state, step, wanted, "", None, None)
-    for channel, amount in sorted(minimums.items()):
-        left = amount - (state.where(F.col("channel") == channel).agg(F.sum("allocated")).first()[0] or 0.0)
-        while left > EPSILON:
-            best = _pick(state.where(F.col("channel") == channel), left, step, None, None)
-            if best is None:
-                raise ContractError(f"infeasible: {channel} minimum exceeds campaign support caps")
-            state = _give(state, best.campaign_key, best.addition)
-            left -= best.addition
-        state = stage(state, "allocation")
-    return state
+    ``rest`` holds the campaigns of limits below a step, with the rank of their fixed pick if they have one.
+    """
+    number = F.size(F.filter(F.array(*[F.lit(p) for p in probes]), lambda p: p < F.col("rank")))
+    sums = ranked.where(F.col("rank") <= probes[-1]).groupBy(number.alias("probe"), "channel").agg(F.sum("addition").alias("part")).collect()
+    left = [limits.less({})] * len(probes)
+    for i in range(len(probes)):
+        spent: dict[str, float] = {}
+        for r in sums:
+            if r.probe <= i:
+                spent[r.channel] = spent.get(r.channel, 0.0) + r.part
+        left[i] = limits.less(spent)
+    following = {
+        r.rank - 1: (r.best.phase, r.best.score, r.best.campaign_key)
+        for r in ranked.where(F.col("rank").isin([p + 1 for p in probes])).select("rank", _best().alias("best")).collect()
+    }
+    none = F.lit(None).cast("map<string,double>")
+    states = [
+        F.struct(
+            F.lit(p).alias("probe"),
+            F.lit(x.total).alias("total"),
+            (F.create_map(*[F.lit(y) for pair in x.channels.items() for y in pair]) if x.channels else none).alias("channels"),
+        )
+        for p, x in zip(probes, left)
+    ]
+    rows = rest.withColumn("state", F.explode(F.array(*states))).where(F.col("rank").isNull() | (F.col("rank") > F.col("state.probe")))
+    limit = F.least("state.total", F.coalesce(F.try_element_at("state.channels", F.col("channel")), F.lit(float("inf"))))
+    shortened = rows.withColumn("addition", limit).where((F.col("addition") > EPSILON) & (_room() >= F.col("addition")))
+    best = scored(shortened, F.col("allocated"), F.col("addition"), target).groupBy("state.probe").agg(F.max(_best()).alias("best"))
+    first = {r.probe: (r.best.phase, r.best.score, r.best.campaign_key) for r in best.collect()}
+    out = [p for p, x in zip(probes, left) if min(x.all()) <= EPSILON]
+    return sorted({*out, *(p for p in probes if p in first and (p not in following or first[p] >= following[p]))})
+
+
+def _first_overtaken(rows: DataFrame, ranked: DataFrame, limits: _Limits, limit: Column, step: float, end: int, target: float | None) -> int:
+    """The smallest number of fixed picks after which a shortened pick comes first; ``end`` if there is none.
+
+    With every fixed pick the shortened ones get shorter, so better, and the next fixed one gets worse: once true, it stays true.
+    """
+    wide = rows.where((limit < step) & (_room() >= limit)).withColumn("rank", F.lit(None).cast("long"))
+    narrow = ranked.where(limit < step).select(*rows.columns, F.col("rank").cast("long"))
+    rest = stage(wide.unionByName(narrow), "rest")
+    low, high = 0, end
+    while low < high:
+        probes = sorted({low + (high - low) * i // PROBES for i in range(PROBES)})
+        found = _overtaken(rest, ranked, limits, probes, target)
+        if found:
+            high = found[0]
+            low = max((p + 1 for p in probes if p < high), default=low)
+        else:
+            low = probes[-1] + 1
+    return low
+
+
+def _pick(rows: DataFrame, limit: Column, step: float, target: float | None) -> object:
+    """The single best next pick, shortened by whatever is about to run out."""
+    rows = rows.withColumn("addition", F.least(F.lit(step), limit, _room())).where(F.col("addition") > EPSILON)
+    best = F.max_by(F.struct("campaign_key", "channel", "addition", "phase"), _best())
+    return scored(rows, F.col("allocated"), F.col("addition"), target).agg(best.alias("best")).first().best
+
+
+def _fill(state: DataFrame, limits: _Limits, step: float, target: float | None) -> tuple[DataFrame, bool]:
+    """Give until the limits are used up, and whether a pick below the target was needed.
+
+    With an infinite total the channels' amounts are what is to be given.
+    """
+    relaxed, bounded = False, limits.total < float("inf")
+    while limits.total > EPSILON and (bounded or max(limits.channels.values()) > EPSILON):
+        limit = limits.column()
+        rows = state.where((limit > EPSILON) & (_room() > EPSILON))
+        if not bounded:
+            rows = rows.where(F.col("channel").isin(sorted(limits.channels)))
+        open_limits = _Limits(limits.total, {c: v for c, v in limits.channels.items() if v > EPSILON})
+        ranked = _ranked(_fixed_picks(rows, limit, step, target))
+        end = ranked.agg(F.max("rank")).first()[0] or 0
+        cut = _first_below(ranked, open_limits, step)
+        picks = cut is None
+        end = end if picks else cut
+        if min(open_limits.all()) < step:
+            found = _first_overtaken(rows, ranked, open_limits, limit, step, end, target)
+            picks, end = picks or found < end, found
+        taken = ranked.where(F.col("rank") <= end)
+        sums = taken.groupBy("channel").agg(F.sum("addition").alias("part"), F.max("phase").alias("phase")).collect()
+        relaxed = relaxed or any(r.phase for r in sums)
+        gained = taken.groupBy("campaign_key").agg(F.sum("addition").alias("gained"))
+        state = state.join(gained, "campaign_key", "left").withColumn("allocated", F.col("allocated") + F.coalesce("gained", F.lit(0.0))).drop("gained")
+        state = stage(state.select(*rows.columns), "allocation")
+        limits = limits.less({r.channel: r.part for r in sums})
+        if not picks or min(limits.total, *(limits.channels[c] for c in open_limits.channels), float("inf")) <= EPSILON:
+            continue  # a limit changed what it does to the picks below it
+        limit = limits.column()
+        rows = state.where((limit > EPSILON) & (_room() > EPSILON))
+        best = _pick(rows if bounded else rows.where(F.col("channel").isin(sorted(limits.channels))), limit, step, target)
+        if best is None:
+            what = "total budget exceeds all campaign and channel caps" if bounded else "channel minimum exceeds campaign support caps"
+            raise ContractError(f"infeasible: {what}")
+        relaxed = relaxed or best.phase == 1
+        more = F.when(F.col("campaign_key") == best.campaign_key, F.col("allocated") + best.addition).otherwise(F.col("allocated"))
+        state = stage(state.withColumn("allocated", more), "allocation")
+        limits = limits.less({best.channel: best.addition})
+    return state, relaxed
 
 
 def allocate(leaves: DataFrame, request: AllocationRequest) -> Allocation:
-    """Full allocation of one request over campaign-level baseline rows."""
+    """Full allocation of one request over campaign-level baseline rows: channel minimums first, without the target, then the rest."""
     request.check()
     state = stage(candidates(leaves, request.max_multiple), "allocation")
     counts = state.agg(F.count("*").alias("n"), F.count_if("guarded").alias("guarded")).first()
@@ -213,40 +304,11 @@ def allocate(leaves: DataFrame, request: AllocationRequest) -> Allocation:
         known = {r.channel for r in state.where(F.col("channel").isin(sorted(named))).select("channel").distinct().collect()}
         if named - known:
             raise ContractError(f"inactive or unknown channels: {sorted(named - known)}")
-    step, target = request.step, request.target_roas
     if minimums:
-        state = _fill_minimums(state, minimums, step)
-    relaxed = False
-    infinite = F.lit(float("inf"))
-    while True:
-        spent = state.groupBy("channel").agg(F.sum("allocated").alias("allocated"))
-        left = request.total_budget - (spent.agg(F.sum("allocated")).first()[0] or 0.0)
-        if left <= EPSILON:
-            break
-        channel_left = None
-        if maximums:
-            bounded = {r.channel: maximums[r.channel] - r.allocated for r in spent.where(F.col("channel").isin(sorted(maximums))).collect()}
-            channel_left = _amounts(bounded, infinite)
-        open_state = state if channel_left is None else state.where(channel_left > EPSILON)
-        if left >= step:
-            closed = None if channel_left is None else state.where(channel_left <= EPSILON)
-            moved, used = _take_prefix(open_state, step, F.lit(left), "all", target, channel_left)
-            relaxed = relaxed or used
-            state = moved if closed is None else stage(moved.unionByName(closed), "allocation")
-            spent = state.groupBy("channel").agg(F.sum("allocated").alias("allocated"))
-            left = request.total_budget - spent.agg(F.sum("allocated")).first()[0]
-            if left <= EPSILON:
-                break
-            if maximums:
-                bounded = {r.channel: maximums[r.channel] - r.allocated for r in spent.where(F.col("channel").isin(sorted(maximums))).collect()}
-                channel_left = _amounts(bounded, infinite)
-            open_state = state if channel_left is None else state.where(channel_left > EPSILON)
-        best = _pick(open_state, left, step, target, channel_left)
-        if best is None:
-            raise ContractError("infeasible: total budget exceeds all campaign and channel caps")
-        relaxed = relaxed or best.phase == 1
-        state = stage(_give(state, best.campaign_key, best.addition), "allocation")
-    status = "not_requested" if target is None else "marginal_target_relaxed" if relaxed else "marginal_target_met"
+        state, _ = _fill(state, _Limits(float("inf"), minimums), request.step, None)
+    spent = {r.channel: r.spent for r in state.groupBy("channel").agg(F.sum("allocated").alias("spent")).collect()}
+    state, relaxed = _fill(state, _Limits(request.total_budget, maximums).less(spent), request.step, request.target_roas)
+    status = "not_requested" if request.target_roas is None else "marginal_target_relaxed" if relaxed else "marginal_target_met"
     return Allocation(state, status, counts.n - counts.guarded, counts.guarded)
 
 

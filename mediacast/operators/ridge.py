@@ -2,16 +2,16 @@
 
 Rows are reduced once to sums of products per (channel, campaign type, target end, known-on day).
 A fit is a range of those days, so every fit of every origin re-adds the small statistics instead of
-scanning rows. The one piece of Python is the dense solve per fit on at most a few hundred unknowns.
+scanning rows, and fits that differ in their bound only read running sums. A fit's system, of at most a few hundred unknowns,
+is assembled and solved in column expressions over arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacast.contracts import RIDGE_ALPHA
@@ -107,128 +107,159 @@ def fit_statistics(cells: DataFrame, fits: DataFrame) -> DataFrame:
     )
 
 
-COEFFICIENT_SCHEMA = (
-    "horizon_days int, mode string, origin date, role string, bound date, sample_count bigint, intercept double, "
-    "means array<double>, scales array<double>, coefficients array<double>, "
-    "channel_names array<string>, channel_values array<double>, type_names array<string>, type_values array<double>"
-)
+def _added(cells: Column, value: Callable[[Column], Column]) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda total, c: total + value(c))
+
+
+def _added_vectors(cells: Column, name: str) -> Column:
+    zeros = F.array(*[F.lit(0.0)] * len(FEATURES))
+    return F.aggregate(cells, zeros, lambda total, c: F.zip_with(total, c[name], lambda x, y: x + y))
+
+
+def _places() -> Column:
+    return F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))
+
+
+def eliminated(rows: Column, size: Column) -> Column:
+    """Gauss-Jordan elimination of a positive definite system whose rows end with the right side; such systems need no pivoting."""
 
+    def step(matrix: Column, k: Column) -> Column:
+        pivot = F.transform(F.get(matrix, k), lambda x: x / F.get(F.get(matrix, k), k))
+        return F.transform(matrix, lambda row, i: F.when(i == k, pivot).otherwise(F.zip_with(row, pivot, lambda x, p: x - F.get(row, k) * p)))
 
-def _normal_equations(sums: np.ndarray, channels: np.ndarray, types: np.ndarray) -> dict[str, object]:
-    """Assemble and solve one penalised fit from one row of sums per (channel, campaign type)."""
-    k = len(FEATURES)
-    n, y = sums[:, 0], sums[:, 1]
-    s, sy, q_flat = sums[:, 2 : 2 + k], sums[:, 2 + k : 2 + 2 * k], sums[:, 2 + 2 * k :].sum(axis=0)
-    q = np.zeros((k, k))
-    upper = np.triu_indices(k)
-    q[upper] = q_flat
-    q = q + np.triu(q, 1).T
-    total = n.sum()
-    mean = s.sum(axis=0) / total
-    variance = np.diag(q) / total - mean**2
-    variance[variance < 1e-13 * np.maximum(np.diag(q) / total, 1e-3)] = 0.0
-    scale = np.sqrt(variance)
-    scale[scale < 1e-8] = 1.0
-    u = (s - n[:, None] * mean) / scale
-    uu = (q - total * np.outer(mean, mean)) / np.outer(scale, scale)
-    uy = (sy - y[:, None] * mean) / scale
-    names = [np.unique(channels), np.unique(types)]
-    hot = np.hstack([(x[:, None] == v[None, :]).astype(float) for x, v in zip((channels, types), names)])
-    size = 1 + k + hot.shape[1]
-    left = np.zeros((size, size))
-    left[0, 0] = total
-    left[0, 1 : 1 + k] = left[1 : 1 + k, 0] = u.sum(axis=0)
-    left[1 : 1 + k, 1 : 1 + k] = uu
-    left[0, 1 + k :] = left[1 + k :, 0] = n @ hot
-    left[1 : 1 + k, 1 + k :] = u.T @ hot
-    left[1 + k :, 1 : 1 + k] = left[1 : 1 + k, 1 + k :].T
-    left[1 + k :, 1 + k :] = hot.T @ (n[:, None] * hot)
-    left[np.arange(1, size), np.arange(1, size)] += RIDGE_ALPHA
-    solution = np.linalg.solve(left, np.concatenate([[y.sum()], uy.sum(axis=0), y @ hot]))
-    labelled, first = solution[1 + k :], len(names[0])
-    return {
-        "sample_count": int(round(total)),
-        "intercept": solution[0],
-        "means": list(mean + np.array([CENTRES[f] for f in FEATURES])),
-        "scales": list(scale),
-        "coefficients": list(solution[1 : 1 + k]),
-        "channel_names": list(names[0]),
-        "channel_values": list(labelled[:first]),
-        "type_names": list(names[1]),
-        "type_values": list(labelled[first:]),
-    }
-
-
-def _solve_one(group: pd.DataFrame) -> pd.DataFrame:
-    first = group.iloc[0]
-    solved = _normal_equations(
-        group[_sum_names()].to_numpy(), group["channel"].to_numpy(), group["campaign_type"].to_numpy()
+    return F.aggregate(F.sequence(F.lit(0), size - 1), rows, step)
+
+
+def normal_equations(statistics: DataFrame) -> DataFrame:
+    """The penalised system of every fit: its ``matrix``, rows with the right side last, and what maps the solution back.
+
+    Unknowns are the intercept, the standardised features, the channels and the campaign types by name. A group is one row
+    per channel and campaign type seen.
+    """
+    at = {pair: i for i, pair in enumerate(PAIRS)}
+    places = [[at[a, b] if (a, b) in at else at[b, a] for b in FEATURES] for a in FEATURES]
+    cell = F.struct(
+        "channel", "campaign_type", "n", "y",
+        F.array(*[F.col(f"s_{f}") for f in FEATURES]).alias("s"), F.array(*[F.col(f"y_{f}") for f in FEATURES]).alias("sy"),
+    )
+    grouped = statistics.groupBy(*FIT).agg(
+        F.collect_list(cell).alias("cells"), F.array(*[F.sum(f"q_{a}_{b}") for a, b in PAIRS]).alias("q")
+    )
+    sums = grouped.select(
+        *FIT, "cells",
+        F.array(*[F.array(*[F.get("q", F.lit(j)) for j in row]) for row in places]).alias("q"),
+        _added(F.col("cells"), lambda c: c["n"]).alias("total"), _added(F.col("cells"), lambda c: c["y"]).alias("label"),
+        _added_vectors(F.col("cells"), "s").alias("s"), _added_vectors(F.col("cells"), "sy").alias("sy"),
+    ).withColumn("mean", F.transform("s", lambda x: x / F.col("total")))
+
+    def scale(mean: Column, i: Column) -> Column:
+        square = F.get(F.get("q", i), i) / F.col("total")
+        variance = square - mean * mean
+        root = F.sqrt(F.when(variance < 1e-13 * F.greatest(square, F.lit(1e-3)), 0.0).otherwise(variance))
+        return F.when(root < 1e-8, 1.0).otherwise(root)
+
+    scaled = sums.withColumn("scale", F.transform("mean", scale))
+
+    def standard(sum_: Column, weight: Column, i: Column) -> Column:
+        return (sum_ - weight * F.get("mean", i)) / F.get("scale", i)
+
+    def labels(name: str) -> Column:
+        values = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c[name])))
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("name")))
+
+    def members(x: Column) -> Column:
+        own = F.filter("cells", lambda c: F.when(x["kind"] == "channel", c["channel"]).otherwise(c["campaign_type"]) == x["name"])
+        return F.struct(x["kind"].alias("kind"), x["name"].alias("name"), own.alias("own"))
+
+    def block(x: Column) -> Column:
+        n = _added(x["own"], lambda c: c["n"])
+        u = F.transform(_added_vectors(x["own"], "s"), lambda v, i: standard(v, n, i))
+        return F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["own"].alias("own"), n.alias("n"), _added(x["own"], lambda c: c["y"]).alias("y"), u.alias("u"))
+
+    blocks = (
+        scaled.withColumn("labels", F.transform(F.concat(labels("channel"), labels("campaign_type")), members))
+        .withColumn("labels", F.transform("labels", block))
+        .withColumn("u", F.transform("s", lambda v, i: standard(v, F.col("total"), i)))
+        .withColumn("uy", F.transform("sy", lambda v, i: standard(v, F.col("label"), i)))
     )
-    return pd.DataFrame([{**{c: first[c] for c in FIT}, **solved}])
-
-
-def _solve_path(group: pd.DataFrame) -> pd.DataFrame:
-    """Every expanding fit of a slice: running sums over target ends, read off at each bound."""
-    first = group.iloc[0]
-    labels = group[["channel", "campaign_type"]].drop_duplicates().reset_index(drop=True)
-    ends = np.sort(group["target_end"].unique())
-    code = group[["channel", "campaign_type"]].merge(labels.reset_index(), on=["channel", "campaign_type"], how="left")["index"].to_numpy()
-    running = np.zeros((len(ends), len(labels), len(_sum_names())))
-    np.add.at(running, (np.searchsorted(ends, group["target_end"].to_numpy()), code), group[_sum_names()].to_numpy())
-    running = running.cumsum(axis=0)
-    solved = []
-    for bound in sorted(first["bounds"]):
-        position = np.searchsorted(ends, bound)  # target_end < bound
-        if position == 0:
-            continue
-        sums = running[position - 1]
-        seen = sums[:, 0] > 0
-        fit = _normal_equations(
-            sums[seen], labels["channel"].to_numpy()[seen], labels["campaign_type"].to_numpy()[seen]
-        )
-        solved.append(
-            {**{c: first[c] for c in ("horizon_days", "mode", "origin")}, "role": OUT_OF_FOLD, "bound": bound, **fit}
-        )
-    return pd.DataFrame(solved, columns=[*FIT, *_SOLVED])
 
+    def penalty(same: Column) -> Column:
+        return F.when(same, float(RIDGE_ALPHA)).otherwise(0.0)
 
-_SOLVED = [
-    "sample_count", "intercept", "means", "scales", "coefficients",
-    "channel_names", "channel_values", "type_names", "type_values",
-]
+    def squares(i: Column) -> Column:
+        def entry(j: Column) -> Column:
+            product = F.get(F.get("q", i), j) - F.col("total") * F.get("mean", i) * F.get("mean", j)
+            return product / (F.get("scale", i) * F.get("scale", j)) + penalty(i == j)
 
+        return F.transform(_places(), entry)
 
-def _packed(solved: DataFrame) -> DataFrame:
+    def together(a: Column, b: Column) -> Column:
+        shared = F.filter(a["own"], lambda c: F.when(b["kind"] == "channel", c["channel"]).otherwise(c["campaign_type"]) == b["name"])
+        return F.when(a["kind"] != b["kind"], _added(shared, lambda c: c["n"])).when(a["name"] == b["name"], a["n"] + RIDGE_ALPHA).otherwise(0.0)
+
+    first = F.concat(F.array("total"), F.col("u"), F.transform("labels", lambda x: x["n"]), F.array("label"))
+    features = F.transform(
+        _places(), lambda i: F.concat(F.array(F.get("u", i)), squares(i), F.transform("labels", lambda x: F.get(x["u"], i)), F.array(F.get("uy", i)))
+    )
+    named = F.transform("labels", lambda a: F.concat(F.array(a["n"]), a["u"], F.transform("labels", lambda b: together(a, b)), F.array(a["y"])))
+    return blocks.withColumn("matrix", F.concat(F.array(first), features, named)).select(
+        *FIT, F.round("total").cast("bigint").alias("sample_count"), "mean", "scale",
+        F.transform("labels", lambda x: x["kind"]).alias("kinds"), F.transform("labels", lambda x: x["name"]).alias("names"), "matrix",
+    )
+
+
+def solve_fits(statistics: DataFrame) -> DataFrame:
+    """One row of coefficients per fit, solved in column expressions."""
+    count = len(FEATURES)
+    solved = normal_equations(statistics).withColumn("matrix", eliminated(F.col("matrix"), F.size("matrix")))
+    solved = solved.withColumn("solution", F.transform("matrix", lambda row: F.element_at(row, -1)))
+
+    def named(kind: str) -> Column:
+        values = F.slice("solution", F.lit(count + 2), F.size("names"))
+        own = F.filter(F.arrays_zip("kinds", "names", values.alias("value")), lambda p: p["kinds"] == kind)
+        return F.map_from_arrays(F.transform(own, lambda p: p["names"]), F.transform(own, lambda p: p["value"]))
+
+    centres = F.array(*[F.lit(CENTRES[f]) for f in FEATURES])
     return solved.select(
         *FIT,
         "sample_count",
         F.struct(
-            "intercept",
-            "means",
-            "scales",
-            "coefficients",
-            F.map_from_arrays("channel_names", "channel_values").alias("channels"),
-            F.map_from_arrays("type_names", "type_values").alias("types"),
+            F.get("solution", F.lit(0)).alias("intercept"),
+            F.zip_with("mean", centres, lambda m, c: m + c).alias("means"),
+            F.col("scale").alias("scales"),
+            F.slice("solution", 2, count).alias("coefficients"),
+            named("channel").alias("channels"),
+            named("campaign_type").alias("types"),
         ).alias("fit"),
     )
 
 
-def solve_fits(statistics: DataFrame) -> DataFrame:
-    """One row of coefficients per fit; a group is one row per (channel, campaign type) seen."""
-    return _packed(statistics.groupBy(*FIT).applyInPandas(_solve_one, COEFFICIENT_SCHEMA))
-
+def expanding_statistics(cells: DataFrame, fits: DataFrame) -> DataFrame:
+    """Sufficient statistics of fits that differ in their bound only: running sums over target ends, read at every bound.
 
-def solve_out_of_fold(cells: DataFrame, fits: DataFrame) -> DataFrame:
-    """All expanding fits of the shared cut-offs; a group is calendar cut-offs times labels of one slice."""
+    A running sum belongs to one slice, channel and campaign type and has at most one row per day and bound. Bounds are rows
+    without statistics that come before the target end of the same day.
+    """
     keys = ["horizon_days", "mode", "origin"]
-    bounds = fits.groupBy(*keys).agg(F.collect_list("bound").alias("bounds"))
+    # slices times shared cut-offs, a calendar-sized table
+    slices = fits.select(*keys).distinct()
     inside = (
-        cells.join(F.broadcast(bounds), ["horizon_days", "mode"])
+        cells.join(F.broadcast(slices), ["horizon_days", "mode"])
         .where(F.col("known_on") <= F.col("origin"))
-        .groupBy(*keys, "bounds", "target_end", "channel", "campaign_type")
+        .groupBy(*keys, "channel", "campaign_type", F.col("target_end").alias("day"))
         .agg(*[F.sum(c).alias(c) for c in _sum_names()])
     )
-    return _packed(inside.groupBy(*keys).applyInPandas(_solve_path, COEFFICIENT_SCHEMA))
+    labels = inside.select(*keys, "channel", "campaign_type").distinct()
+    marks = labels.join(fits.select(*keys, "role", "bound"), keys).withColumn("day", F.col("bound"))
+    rows = marks.unionByName(inside, allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "channel", "campaign_type").orderBy("day", F.col("bound").isNull())
+    sums = [F.sum(c).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in _sum_names()]
+    return rows.select(*FIT, "channel", "campaign_type", *sums).where(F.col("bound").isNotNull() & (F.col("n") > 0))
+
+
+def solve_out_of_fold(cells: DataFrame, fits: DataFrame) -> DataFrame:
+    """All expanding fits of the shared cut-offs."""
+    return solve_fits(expanding_statistics(cells, fits))
 
 
 def _score(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Joint draws, hierarchy roll-up, portfolio calibration and summary rows.
 
-Draws stay arrays inside a leaf row. They are exploded once, straight into a partial aggregation on
-(channel, type, draw), so what is shuffled does not grow with the number of campaigns. Everything
-above works on that small table. Campaign rows are summarised inside their own row.
+Draws stay arrays inside a leaf row and are added up place by place into one row per channel and type, so what is shuffled
+grows neither with the number of campaigns nor with that of draws. Everything above works on that small table. Campaign rows
+are summarised inside their own row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mediacast.contracts import ALL, STATISTICAL
 from mediacast.functions.columns import joined_flags
 from mediacast.functions.draws import (
+    DRAWS,
     centred_residual,
     factor_path,
     grid_quantile,
@@ -68,53 +69,42 @@ def leaf_draws(leaves: DataFrame) -> DataFrame:
 
 
 def draw_totals(draws: DataFrame) -> DataFrame:
-    """Sums per draw at campaign-type, channel and overall level."""
-    exploded = draws.select(
-        *SLICE, "channel", "campaign_type", "planned_budget", "predicted_revenue_p50",
-        F.posexplode(F.arrays_zip("revenue_draws", "spend_draws")).alias("draw", "pair"),
-    )
-    first = F.col("draw") == 0
-    by_type = exploded.groupBy(*SLICE, "channel", "campaign_type", "draw").agg(
-        F.sum("pair.revenue_draws").alias("revenue"),
-        F.sum("pair.spend_draws").alias("spend"),
-        F.sum(F.when(first, F.col("planned_budget")).otherwise(0.0)).alias("planned_budget"),
-        F.sum(F.when(first, F.col("predicted_revenue_p50")).otherwise(0.0)).alias("p50"),
-        F.sum(F.when(first, 1).otherwise(0)).alias("leaves"),
+    """Sums per draw at campaign-type, channel and overall level, as arrays.
+
+    A group is one row with a partial sum per draw and metric, so neither the rows that are combined nor those that are
+    shuffled follow the number of draws.
+    """
+    sums = [(f"{name}_{i}", F.get(f"{name}_draws", F.lit(i))) for name in ("revenue", "spend") for i in range(DRAWS)]
+    by_type = draws.groupBy(*SLICE, "channel", "campaign_type").agg(
+        *[F.sum(value).alias(name) for name, value in sums],
+        F.sum("planned_budget").alias("planned_budget"),
+        F.sum("predicted_revenue_p50").alias("predicted_revenue_p50"),
+        F.count("*").alias("leaves"),
     )
-    keys = [*SLICE, "channel", "campaign_type", "draw"]
-    sets = [[*SLICE, "channel", "campaign_type", "draw"], [*SLICE, "channel", "draw"], [*SLICE, "draw"]]
-    return by_type.groupingSets(sets, *keys).agg(
+    sets = [[*SLICE, "channel", "campaign_type"], [*SLICE, "channel"], [*SLICE]]
+    rolled = by_type.groupingSets(sets, *SLICE, "channel", "campaign_type").agg(
         (F.grouping("channel") * 2 + F.grouping("campaign_type")).alias("rolled"),
-        *[F.sum(c).alias(c) for c in ("revenue", "spend", "planned_budget", "p50", "leaves")],
+        *[F.sum(c).alias(c) for c in (*(name for name, _ in sums), "planned_budget", "predicted_revenue_p50", "leaves")],
+    )
+    return rolled.select(
+        *SLICE, "rolled", "channel", "campaign_type", "planned_budget", "predicted_revenue_p50", "leaves",
+        *[F.array(*[F.col(f"{name}_{i}") for i in range(DRAWS)]).alias(f"{name}_draws") for name in ("revenue", "spend")],
     )
 
 
 def level_draws(draws: DataFrame) -> DataFrame:
-    """Upper-level rows with their draw sums back in array form."""
-    cells = F.sort_array(F.collect_list(F.struct("draw", "revenue", "spend")))
+    """Upper-level rows with their draw sums."""
     # one row per scenario, horizon and origin; kept out of the roll-up, whose buffers are numbers only
     models = draws.select(*SLICE, *_MODEL).distinct()
     return (
         draw_totals(draws)
-        .groupBy(*SLICE, "rolled", "channel", "campaign_type")
-        .agg(
-            cells.alias("cells"),
-            F.sum("planned_budget").alias("planned_budget"),
-            F.sum("p50").alias("predicted_revenue_p50"),
-            F.sum("leaves").alias("leaves"),
-        )
         .join(F.broadcast(models), SLICE)
         .select(
             *SLICE,
             F.when(F.col("rolled") == 3, "overall").when(F.col("rolled") == 1, "channel").otherwise("campaign_type").alias("level"),
             F.when(F.col("rolled") == 3, ALL).otherwise(F.col("channel")).alias("channel"),
             F.when(F.col("rolled") >= 1, ALL).otherwise(F.col("campaign_type")).alias("campaign_type"),
-            *_MODEL,
-            F.transform("cells", lambda x: x["revenue"]).alias("revenue_draws"),
-            F.transform("cells", lambda x: x["spend"]).alias("spend_draws"),
-            "planned_budget",
-            "predicted_revenue_p50",
-            "leaves",
+            *_MODEL, "revenue_draws", "spend_draws", "planned_budget", "predicted_revenue_p50", "leaves",
         )
     )
 

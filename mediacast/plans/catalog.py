@@ -16,7 +16,7 @@ from mediacast.functions.columns import campaign_key
 from mediacast.functions.draws import hash_ranks
 from mediacast.operators import calendar as cal
 from mediacast.operators import canonical, evidence, quality
-from mediacast.operators.allocate import AllocationRequest, allocate, allocation_plan, allocation_summary, candidates, full_steps
+from mediacast.operators.allocate import Allocation, AllocationRequest, allocate, allocation_plan, allocation_summary, candidates, full_steps
 from mediacast.operators.calibrate import interval_samples, portfolio_profiles, width_profiles
 from mediacast.operators.dependence import block_portfolio_profile, factor_weights
 from mediacast.operators.evaluate import (
@@ -31,7 +31,20 @@ from mediacast.operators.fingerprint import canonical_fingerprint, provenance
 from mediacast.operators.history import campaigns
 from mediacast.operators.leaves import BASELINE, plan_problems, predicted_log, resolve_plan, serving_history
 from mediacast.operators.quantiles import conformal_rank, deciles, order_statistics
-from mediacast.operators.ridge import FINAL, expert_fits, fit_statistics, gram_cells, solve_fits
+from mediacast.operators.ridge import (
+    FINAL,
+    FIT,
+    blend_weights,
+    expert_fits,
+    fit_statistics,
+    gram_cells,
+    held_out_residuals,
+    out_of_fold_fits,
+    out_of_fold_residuals,
+    residual_profiles,
+    solve_fits,
+    solve_out_of_fold,
+)
 from mediacast.operators.requests import request_violations
 from mediacast.operators.rollup import hierarchy_forecast, upper_forecast
 from mediacast.operators.training import FEATURES, SHARED, cutoff_counts, purged_splits, training_rows
@@ -465,6 +478,68 @@ def ridge_normal_equations(spark: SparkSession, folder: str) -> DataFrame:
     return every.groupBy(*keys).agg(F.abs(F.round(F.max("gradient"), 5)).alias("largest_gradient"))
 
 
+def _expert_coefficients(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows, their splits, and the coefficients of all expert fits."""
+    _, calendar, rows = _training(spark, folder)
+    rows = stage(rows, "training_rows")
+    found = stage(purged_splits(cutoff_counts(rows), latest_slices(calendar)), "splits")
+    return rows, found, stage(solve_fits(fit_statistics(gram_cells(rows), expert_fits(found))), "coefficients")
+
+
+def _expanding_coefficients(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows and the coefficients of the shared cut-offs, each from rows that ended before it."""
+    _, calendar, rows = _training(spark, folder)
+    rows = stage(rows, "training_rows")
+    fits = stage(out_of_fold_fits(cutoff_counts(rows), latest_slices(calendar)), "out_of_fold_fits")
+    return rows, stage(solve_out_of_fold(gram_cells(rows), fits), "coefficients")
+
+
+def _terms(coefficients: DataFrame) -> DataFrame:
+    """One row per fit and unknown."""
+    values = F.col("fit.coefficients")
+
+    def named(kind: str) -> Column:
+        return F.transform(F.map_entries(f"fit.{kind}"), lambda e: F.struct(F.concat(F.lit(f"{kind}:"), e["key"]).alias("term"), e["value"].alias("value")))
+
+    entries = F.flatten(
+        F.array(
+            F.array(F.struct(F.lit("intercept").alias("term"), F.col("fit.intercept").alias("value"))),
+            F.array(*[F.struct(F.lit(f).alias("term"), F.get(values, F.lit(i)).alias("value")) for i, f in enumerate(FEATURES)]),
+            named("channels"),
+            named("types"),
+        )
+    )
+    return coefficients.select(*[c for c in FIT if c != "origin"], "sample_count", F.inline(entries)).withColumn("value", F.round("value", 6))
+
+
+def ridge_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(_expert_coefficients(spark, folder)[2])
+
+
+def expanding_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(_expanding_coefficients(spark, folder)[1])
+
+
+def expert_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Residual quantiles and widenings of both experts on their held-out window."""
+    rows, found, coefficients = _expert_coefficients(spark, folder)
+    profiles = residual_profiles(held_out_residuals(rows, found, coefficients)).drop("origin")
+    return rounded(profiles, {c: 6 for c in ("residual_p10", "residual_p50", "residual_p90", "sparse_multiplier", "extrapolation_multiplier")})
+
+
+def expert_blend(spark: SparkSession, folder: str) -> DataFrame:
+    return blend_weights(*_expert_coefficients(spark, folder)).drop("origin")
+
+
+def out_of_fold_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every shared row with what a fit on earlier targets says about it."""
+    rows, coefficients = _expanding_coefficients(spark, folder)
+    found = out_of_fold_residuals(rows, coefficients)
+    return found.select(
+        "horizon_days", "cutoff", "campaign_key", F.round("predicted_log_revenue", 6).alias("predicted"), F.round("residual_log_revenue", 6).alias("residual")
+    )
+
+
 def _residual_proxy(spark: SparkSession, folder: str) -> DataFrame:
     """Label minus what the plan would earn at a return of four: a residual without a model."""
     rows = _training(spark, folder)[2].where(F.col("mode") == SHARED)
@@ -580,21 +655,36 @@ def allocation_steps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _allocated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, object, float]:
+def _allocated(spark: SparkSession, folder: str, limited: bool = False) -> tuple[DataFrame, DataFrame, object, float]:
+    """Nine tenths of the planned budgets given anew; ``limited`` adds minimums and maximums as shares of a channel's plan."""
     facts = facts_of(spark, folder)
     calendar = cal.staged_calendar(facts)
     models = stage(statistical_models(calendar, latest_slices(calendar)), "models")
     base = scenario_leaves(facts, calendar, models).where(F.col("horizon_days") == 30)
-    total = base.agg(F.sum("planned_budget")).first()[0]
-    request = AllocationRequest(30, round(0.9 * total, 2), 3.5)
+    planned = {r.channel: r.planned for r in base.groupBy("channel").agg(F.sum("planned_budget").alias("planned")).collect()}
+
+    def bounds(shares: dict[str, float]) -> tuple[tuple[str, float], ...]:
+        return tuple((c, round(share * planned[c], 2)) for c, share in shares.items() if limited and c in planned)
+
+    request = AllocationRequest(
+        30, round(0.9 * sum(planned.values()), 2), 3.5,
+        bounds({"META_ADS": 0.7, "MICROSOFT_ADS": 0.4}), bounds({"SEARCH": 0.5, "MICROSOFT_ADS": 0.9}),
+    )
     return facts, models, allocate(base, request), calendar
 
 
-def allocation(spark: SparkSession, folder: str) -> DataFrame:
-    found = _allocated(spark, folder)[2]
+def _given(found: Allocation) -> DataFrame:
     return found.plan.select("campaign_key", "channel", "guarded", cents("cap").alias("cap"), cents("allocated").alias("allocated"))
 
 
+def allocation(spark: SparkSession, folder: str) -> DataFrame:
+    return _given(_allocated(spark, folder)[2])
+
+
+def allocation_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return _given(_allocated(spark, folder, limited=True)[2])
+
+
 def allocation_result(spark: SparkSession, folder: str) -> DataFrame:
     facts, models, found, calendar = _allocated(spark, folder)
     plan = stage(allocation_plan(found, 30), "allocation_plan")
@@ -674,6 +764,11 @@ def queries() -> dict[str, Query]:
         "gram_cells": gram,
         "purged_splits": splits,
         "ridge_normal_equations": ridge_normal_equations,
+        "ridge_coefficients": ridge_coefficients,
+        "expanding_coefficients": expanding_coefficients,
+        "expert_profiles": expert_profiles,
+        "expert_blend": expert_blend,
+        "out_of_fold_errors": out_of_fold_errors,
         "residual_dependence_weights": residual_dependence_weights,
         "block_portfolio_residuals": block_portfolio_residuals,
         "label_quantiles": label_quantiles,
@@ -687,6 +782,7 @@ def queries() -> dict[str, Query]:
         "decision_rows": decision_rows,
         "allocation_steps": allocation_steps,
         "allocation": allocation,
+        "allocation_limits": allocation_limits,
         "allocation_result": allocation_result,
         "evidence_briefs": evidence_briefs,
         "predictions": predictions,

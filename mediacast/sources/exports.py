@@ -28,7 +28,8 @@ from mediacast.contracts import (
     TAXONOMY_SOURCES,
     ContractError,
 )
-from mediacast.functions.columns import number, present_text, strip
+from mediacast.functions.columns import day, number, present_text, strip
+from mediacast.sources.files import current_version, new_version, put_in_place
 
 
 @dataclass
@@ -45,9 +46,9 @@ class Upload:
 def csv_files(spark: SparkSession, folder: str) -> dict[str, str]:
     """Names and paths of the CSV files directly under ``folder``; contents are not read."""
     folder = folder.rstrip("/")
-    found = spark.read.format("binaryFile").load(f"{folder}/*.csv").select("path")
     name = F.substring_index(F.substring_index("path", f"{folder}/", -1), "/", 1)
     try:
+        found = spark.read.format("binaryFile").load(f"{folder}/*.csv").select("path")
         rows = found.select(name.alias("name")).distinct().collect()
     except Exception as problem:  # Spark reports an empty or missing folder as a path error
         raise ContractError(f"no CSV files in {folder}") from problem
@@ -281,14 +282,28 @@ def read_upload(spark: SparkSession, folder: str) -> Upload:
     return upload
 
 
+def write_recent_windows(spark: SparkSession, folder: str, target: str, days: int = 90) -> str:
+    """Publish the last ``days`` days of every export in ``folder``, each in date order, and return the folder to read them from.
+
+    An export becomes a folder of sorted part files with its old name and header; all of them appear in one step.
+    """
+    version = new_version(target)
+    for source, (path, columns) in discover_exports(spark, folder).items():
+        window = recent_window(read_export(spark, path, columns, source), EXPORTS[source].date_column, days)
+        window.write.csv(f"{version}/{path.rsplit('/', 1)[1]}", header=True, escape='"', lineSep="\n", emptyValue="", nullValue="")
+    put_in_place(spark, target, version)
+    return current_version(spark, target)
+
+
 def recent_window(export: DataFrame, date_column: str, days: int = 90) -> DataFrame:
     """The last ``days`` days of an export in date order."""
-    day = F.to_date(date_column)
-    last = export.agg(F.max(day).alias("last_day"))
+    kind = dict(export.dtypes)[date_column]
+    dated = day(F.col(date_column)) if kind == "string" else F.col(date_column).cast("date")
+    last = export.agg(F.max(dated).alias("last_day"))
     # one row by construction
     return (
         export.join(F.broadcast(last))
-        .where(day >= F.date_sub("last_day", days - 1))
+        .where(dated >= F.date_sub("last_day", days - 1))
         .drop("last_day")
-        .orderBy(date_column)
+        .orderBy(dated)
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacast.contracts import ContractError
 from mediacast.operators.fingerprint import canonical_fingerprint, table_fingerprint
 from mediacast.operators.training import FEATURES
-from mediacast.sources.files import exists, replace_folder
+from mediacast.sources.files import current_version, new_version, put_in_place, replace_folder
 
 MANIFEST_COLUMNS = [
     "artifact_sha256", "model_version", "training_data_fingerprint", "feature_schema_fingerprint",
@@ -59,25 +59,9 @@ def manifest(models: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.select(*MANIFEST_COLUMNS)
 
 
-def save_model(models: DataFrame, facts: DataFrame, folder: str) -> None:
-    """Write a candidate, read it back, check it, then put it in place."""
-    spark = models.sparkSession
-    replace_folder(models, f"{folder}/candidate")
-    candidate = spark.read.parquet(f"{folder}/candidate")
-    card = manifest(candidate, facts)
-    if candidate.isEmpty():
-        raise ContractError("a model table needs at least one row")
-    replace_folder(card, f"{folder}/manifest")
-    replace_folder(candidate, f"{folder}/models")
-    load_model(spark, folder)
-
-
-def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
-    """The parameter table, after its content still matches the manifest."""
-    if not exists(spark, f"{folder}/models"):
-        raise FileNotFoundError(f"no model table in {folder}")
-    models = spark.read.parquet(f"{folder}/models")
-    declared = spark.read.parquet(f"{folder}/manifest").first().asDict()
+def _checked_model(spark: SparkSession, version: str) -> tuple[DataFrame, dict[str, str]]:
+    models = spark.read.parquet(f"{version}/models")
+    declared = spark.read.parquet(f"{version}/manifest").first().asDict()
     actual = {
         "artifact_sha256": model_fingerprint(models).first()[0],
         "model_version": models.agg(F.max("model_version")).first()[0],
@@ -89,6 +73,62 @@ def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, s
     return models, declared
 
 
+def save_model(models: DataFrame, facts: DataFrame, folder: str) -> None:
+    """Write a candidate with its manifest, read it back, check it, then put both in place in one step."""
+    spark, version = models.sparkSession, new_version(folder)
+    models.write.parquet(f"{version}/models")
+    candidate = spark.read.parquet(f"{version}/models")
+    if candidate.isEmpty():
+        raise ContractError("a model table needs at least one row")
+    manifest(candidate, facts).write.parquet(f"{version}/manifest")
+    _checked_model(spark, version)
+    put_in_place(spark, folder, version)
+
+
+def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
+    """The parameter table, after its content still matches the manifest."""
+    return _checked_model(spark, current_version(spark, folder))
+
+
+def _document_mark(document: DataFrame) -> Column:
+    return F.sha2(F.to_json(F.struct(*[c for c in document.columns if c != "document_fingerprint"]), {"ignoreNullFields": "false"}), 256)
+
+
+def report_document(tables: dict[str, DataFrame], card: DataFrame, report_id: str, model_id: str) -> DataFrame:
+    """One row: result tables as sorted arrays of rows, with the provenance of :func:`manifest` and a mark of the whole.
+
+    The tables have a row per forecast set, slice and level at most, so they are small whatever the data is.
+    """
+    document = card.select(
+        F.lit(report_id).alias("report_id"), F.lit(model_id).alias("model_id"), F.col("training_data_fingerprint").alias("data_fingerprint"), *MANIFEST_COLUMNS
+    )
+    for name, table in tables.items():
+        # one row each
+        document = document.join(F.broadcast(table.agg(F.sort_array(F.collect_list(F.struct(*table.columns))).alias(name))))
+    return document.withColumn("document_fingerprint", _document_mark(document))
+
+
+def save_report(document: DataFrame, folder: str) -> None:
+    """Publish a report document."""
+    replace_folder(document, folder)
+
+
+def load_report(spark: SparkSession, folder: str, data_fingerprint: str | None = None) -> DataFrame:
+    """The document published last; refused when its content, or the data it is asked for, has another mark."""
+    document = spark.read.parquet(current_version(spark, folder))
+    found = document.select("document_fingerprint", "data_fingerprint", _document_mark(document).alias("actual")).first()
+    if found.document_fingerprint != found.actual:
+        raise ContractError("the report differs from its fingerprint")
+    if data_fingerprint is not None and found.data_fingerprint != data_fingerprint:
+        raise ContractError("the report is about other data")
+    return document
+
+
+def report_table(document: DataFrame, name: str) -> DataFrame:
+    """A result table of a document as rows again."""
+    return document.select(F.inline(name))
+
+
 def record_decisions(decisions: DataFrame, folder: str) -> None:
     """Append decisions: ``action, forecast_id, scenario, summary`` with the last two as structs."""
     wrong = decisions.where(~F.col("action").isin("draft", "approved", "revised")).select("action").limit(1).collect()

@@ -175,6 +175,10 @@ leaf AS (
 
 
 LEAF = _leaf()
+# the same under other names, next to leaves of a plan
+_BASE_LEAF = LEAF
+for _name in ("planned", "curve", "point", "leaf"):
+    _BASE_LEAF = _BASE_LEAF.replace(f"{_name} AS", f"{_name}0 AS").replace(f"FROM {_name}", f"FROM {_name}0").replace(f"{_name}.*", f"{_name}0.*")
 
 
 def _interp(p10: str, p50: str, p90: str) -> str:
@@ -292,6 +296,46 @@ def _with(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in (CANON, *parts)) + "\n" + select.strip()
 
 
+def _recursive(*parts: str, select: str) -> str:
+    return _with(*parts, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _greedy(limits: str = "SELECT '' AS channel, 0.0::DOUBLE AS low, 1e300::DOUBLE AS high", leaf: str = "leaf") -> str:
+    """Allocation of nine tenths of the planned budgets, one pick per recursion: minimums of the channels by name, then the rest."""
+    return f"""
+cand AS (
+  SELECT k, channel, greatest(pb, 1.0) AS bb1, greatest(r50 / greatest(pb, 1.0), 0.0) AS br,
+    regexp_matches(flags, 'sparse_recent_history|budget_extrapolation') AS guarded,
+    pb * CASE WHEN regexp_matches(flags, 'sparse_recent_history|budget_extrapolation') THEN 1.0 ELSE 2.0 END AS cap
+  FROM {leaf} WHERE h = 30 AND pb > 0
+),
+req AS (SELECT total, greatest(100.0, round(total / 160 / 100.0) * 100.0) AS step FROM (SELECT round(0.9 * sum(pb), 2) AS total FROM {leaf} WHERE h = 30)),
+limits AS ({limits}),
+al AS (
+  SELECT 0 AS i, cand.*, greatest(bb1 * 1.5, 1.0) AS sc, 0.0::DOUBLE AS given, total AS rest, step, coalesce(low, 0.0) AS need, coalesce(high, 1e300) AS free, 0 AS relaxed
+  FROM cand LEFT JOIN limits ON limits.channel = cand.channel, req
+  UNION ALL
+  SELECT i + 1, k, channel, bb1, br, guarded, cap, sc, given + CASE WHEN k = best.k THEN best.a ELSE 0.0 END, rest - best.a, step,
+    need - CASE WHEN channel = best.c THEN best.a ELSE 0.0 END, free - CASE WHEN channel = best.c THEN best.a ELSE 0.0 END, greatest(relaxed, -best.p)
+  FROM (
+    SELECT *, max(CASE WHEN a > 1e-6 AND given + 1e-6 < cap THEN {{'p': -phase, 's': CASE WHEN phase = 1 THEN 0.55 * m ELSE m END, 'k': k, 'c': channel, 'a': a}} END) OVER () AS best
+    FROM (
+      SELECT *, CASE WHEN first IS NULL AND after / (given + a) < 3.5 THEN 1 ELSE 0 END AS phase,
+        least(greatest(0.0, (after - before) / greatest(a, 1e-9)), greatest(0.0, br * nm / (1 + given / sc))) AS m
+      FROM (
+        SELECT *, greatest(0.0, br * sc * ln(1 + given / sc) * nm) AS before, greatest(0.0, br * sc * ln(1 + (given + a) / sc) * nm) AS after
+        FROM (
+          SELECT *, bb1 / (sc * ln(1 + bb1 / sc)) AS nm,
+            CASE WHEN first IS NULL THEN least(step, rest, cap - given, free) WHEN channel = first THEN least(step, need, cap - given) ELSE 0.0 END AS a
+          FROM (SELECT *, min(CASE WHEN need > 1e-6 THEN channel END) OVER () AS first FROM al WHERE rest > 1e-6)
+        )
+      )
+    )
+  ) WHERE best IS NOT NULL
+),
+given AS (SELECT * FROM al WHERE i = (SELECT max(i) FROM al))"""
+
+
 def _exports() -> dict[str, str]:
     numbers = "spend, revenue, clicks, impressions"
     named = "CASE WHEN b % 4 <> 3 THEN campaign_name ELSE source_campaign_id END AS campaign_name"
@@ -544,7 +588,7 @@ SELECT o_orderkey, o_custkey, CAST(d AS VARCHAR) AS order_day, o_totalprice FROM
         HISTORY,
         SPEND,
         plan,
-        LEAF.replace("planned AS", "planned0 AS").replace("FROM planned", "FROM planned0").replace("curve AS", "curve0 AS").replace("FROM curve", "FROM curve0").replace("point AS", "point0 AS").replace("point.*", "point0.*").replace("FROM point", "FROM point0").replace("leaf AS", "leaf0 AS"),
+        _BASE_LEAF,
         _leaf("plan", "3.5"),
         "base0 AS (SELECT h, channel, sum(r50) AS b FROM leaf0 GROUP BY h, channel)",
         "scen AS (SELECT h, channel, sum(r50) AS s FROM leaf GROUP BY h, channel)",
@@ -631,6 +675,125 @@ sel AS (SELECT h, mode, cutoff AS ss FROM pool WHERE rn = greatest(1, CAST(ceil(
   CAST(sum(n) FILTER (target_end < cs) AS BIGINT) AS fit_rows, CAST(sum(n) FILTER (cutoff >= cs) AS BIGINT) AS calibration_rows,
   CAST(sum(n) FILTER (target_end < ss) AS BIGINT) AS selection_fit_rows, CAST(sum(n) FILTER (target_end < cs AND cutoff >= ss) AS BIGINT) AS selection_validation_rows
   FROM inside JOIN cal USING (h, mode) JOIN sel USING (h, mode) GROUP BY h, mode, cs, ss""",
+    )
+    # fits from the rows themselves: design rows, their products, and Gauss-Jordan elimination by recursion
+    ready = """
+sizes AS (SELECT h, mode, cs, ss, sum(n) AS every, sum(n) FILTER (target_end < cs) AS fitted, sum(n) FILTER (cutoff >= cs) AS held,
+  coalesce(sum(n) FILTER (target_end < ss), 0) AS early, coalesce(sum(n) FILTER (target_end < cs AND cutoff >= ss), 0) AS shown
+  FROM inside JOIN cal USING (h, mode) LEFT JOIN sel USING (h, mode) GROUP BY h, mode, cs, ss),
+fits AS (
+  SELECT h, mode, role, bound FROM (
+    SELECT h, mode, 'final' AS role, CAST(NULL AS DATE) AS bound, true AS chosen, * EXCLUDE (h, mode) FROM sizes
+    UNION ALL SELECT h, mode, 'calibration', cs, true, * EXCLUDE (h, mode) FROM sizes
+    UNION ALL SELECT h, mode, 'selection', ss, early >= 40 AND shown >= 24, * EXCLUDE (h, mode) FROM sizes
+  ) WHERE chosen AND every >= 80 AND fitted >= 40 AND held >= 20
+)"""
+    expanding = """
+ends AS (SELECT max(date) AS o FROM facts),
+bounds AS (SELECT DISTINCT h, mode, cutoff AS bound FROM train, ends WHERE mode = 'shared_cutoffs' AND known_on <= ends.o),
+fits AS (
+  SELECT b.h, b.mode, 'out_of_fold' AS role, bound FROM bounds b JOIN train t ON t.h = b.h AND t.mode = b.mode AND t.target_end < bound, ends
+  WHERE t.known_on <= ends.o GROUP BY ALL HAVING count(*) >= 80
+)"""
+    x = [f"x{i}" for i in range(9)]
+    solved = f"""
+fr AS (
+  SELECT f.role, f.bound, t.* FROM fits f JOIN train t ON t.h = f.h AND t.mode = f.mode, ends
+  WHERE known_on <= ends.o AND (bound IS NULL OR target_end < bound)
+),
+mu AS (
+  SELECT h, mode, role, bound, count(*) AS n, list_sort(list(DISTINCT channel)) AS cn, list_sort(list(DISTINCT campaign_type)) AS tn,
+    [{", ".join(f"avg({c})" for c in x)}] AS m, [{", ".join(f"CASE WHEN stddev_pop({c}) < 1e-8 THEN 1.0 ELSE stddev_pop({c}) END" for c in x)}] AS s
+  FROM fr GROUP BY h, mode, role, bound
+),
+z AS (
+  SELECT fr.h, fr.mode, fr.role, fr.bound, y,
+    [1.0::DOUBLE, {", ".join(f"({c} - m[{i}]) / s[{i}]" for i, c in enumerate(x, 1))}]
+    || [CASE WHEN c = channel THEN 1.0::DOUBLE ELSE 0.0 END for c in cn] || [CASE WHEN c = campaign_type THEN 1.0::DOUBLE ELSE 0.0 END for c in tn] AS z
+  FROM fr JOIN mu ON mu.h = fr.h AND mu.mode = fr.mode AND mu.role = fr.role AND mu.bound IS NOT DISTINCT FROM fr.bound
+),
+zi AS (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM z),
+zj AS (SELECT h, mode, role, bound, i, z[i] AS a, unnest(range(1, len(z) + 2)) AS j, z, y FROM zi),
+products AS (
+  SELECT h, mode, role, bound, i, j, sum(a * CASE WHEN j > len(z) THEN y ELSE z[j] END) + CASE WHEN i = j AND i > 1 THEN 4.0 ELSE 0.0 END AS v
+  FROM zj GROUP BY h, mode, role, bound, i, j
+),
+matrix_rows AS (SELECT h, mode, role, bound, i, list(v ORDER BY j) AS v FROM products GROUP BY h, mode, role, bound, i),
+el AS (
+  SELECT h, mode, role, bound, 0 AS k, count(*)::INT AS size, list(v ORDER BY i) AS a FROM matrix_rows GROUP BY h, mode, role, bound
+  UNION ALL
+  SELECT h, mode, role, bound, k + 1, size,
+    [CASE WHEN i = k + 1 THEN [v / a[k + 1][k + 1] for v in a[i]] ELSE [a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j] for j in range(1, size + 2)] END
+     for i in range(1, size + 1)]
+  FROM el WHERE k < size
+),
+sol AS (
+  SELECT el.h, el.mode, el.role, el.bound, n, m, s, cn, tn, [v[size + 1] for v in a] AS b FROM el JOIN mu
+  ON mu.h = el.h AND mu.mode = el.mode AND mu.role = el.role AND mu.bound IS NOT DISTINCT FROM el.bound WHERE k = size
+)"""
+    names = ["log_planned_budget", "recent_roas", "long_roas", "log_recent_spend", "log_recent_revenue", "recent_active_days", "trend_ratio", "month_sin", "month_cos"]
+    terms = f"""SELECT h AS horizon_days, mode, role, bound, CAST(n AS BIGINT) AS sample_count,
+  unnest(['intercept', {", ".join(f"'{f}'" for f in names)}] || ['channels:' || c for c in cn] || ['types:' || c for c in tn]) AS term, round(unnest(b), 6) AS value FROM sol"""
+
+    def predicted(fit: str, row: str) -> str:
+        numbers = " + ".join(f"{fit}.b[{i + 1}] * ({row}.{c} - {fit}.m[{i}]) / {fit}.s[{i}]" for i, c in enumerate(x, 1))
+        return (
+            f"{fit}.b[1] + {numbers} + coalesce({fit}.b[10 + list_position({fit}.cn, {row}.channel)], 0.0) "
+            f"+ coalesce({fit}.b[10 + len({fit}.cn) + list_position({fit}.tn, {row}.campaign_type)], 0.0)"
+        )
+
+    sql["ridge_coefficients"] = _recursive(TRAINING, splits, ready, solved, select=terms)
+    sql["expanding_coefficients"] = _recursive(TRAINING, expanding, solved, select=terms)
+    sql["out_of_fold_errors"] = _recursive(
+        TRAINING,
+        expanding,
+        solved,
+        select=f"""SELECT t.h AS horizon_days, cutoff, k AS campaign_key, round({predicted("sol", "t")}, 6) AS predicted, round(y - ({predicted("sol", "t")}), 6) AS residual
+  FROM train t JOIN sol ON sol.h = t.h AND sol.mode = t.mode AND sol.bound = t.cutoff, ends WHERE known_on <= ends.o""",
+    )
+    held = f"""
+held AS (
+  SELECT t.h, t.mode, t.x5, t.support, y - ({predicted("sol", "t")}) AS e FROM train t JOIN cal ON cal.h = t.h AND cal.mode = t.mode
+  JOIN sol ON sol.h = t.h AND sol.mode = t.mode AND sol.role = 'calibration', ends WHERE known_on <= ends.o AND cutoff >= cs
+),
+spans AS (
+  SELECT h, mode, count(*) AS n, quantile_cont(e, 0.1) AS p10, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.9) AS p90,
+    CASE WHEN count(*) FILTER (x5 < 28) >= 12 THEN quantile_cont(e, 0.9) FILTER (x5 < 28) - quantile_cont(e, 0.1) FILTER (x5 < 28) END AS sparse,
+    CASE WHEN count(*) FILTER (support > 1.5) >= 12 THEN quantile_cont(e, 0.9) FILTER (support > 1.5) - quantile_cont(e, 0.1) FILTER (support > 1.5) END AS wide
+  FROM held GROUP BY h, mode
+)"""
+    wider = "CASE WHEN n >= 20 AND p90 - p10 > 1e-8 AND {0} IS NOT NULL THEN round(least(2.5, greatest(1.15, {0} / (p90 - p10))), 6) ELSE 1.0 END"
+    sql["expert_profiles"] = _recursive(
+        TRAINING,
+        splits,
+        ready,
+        solved,
+        held,
+        select=f"""SELECT h AS horizon_days, mode, n AS calibration_sample_count, round(p10, 6) AS residual_p10, round(p50, 6) AS residual_p50, round(p90, 6) AS residual_p90,
+  {wider.format("sparse")} AS sparse_multiplier, {wider.format("wide")} AS extrapolation_multiplier FROM spans""",
+    )
+    blend = f"""
+shown AS (
+  SELECT t.h, t.mode, t.k, t.cutoff, greatest(0.0, exp({predicted("sol", "t")}) - 1) AS r, greatest(0.0, exp(y) - 1) AS actual
+  FROM train t JOIN cal ON cal.h = t.h AND cal.mode = t.mode JOIN sel ON sel.h = t.h AND sel.mode = t.mode
+  JOIN sol ON sol.h = t.h AND sol.mode = t.mode AND sol.role = 'selection', ends WHERE known_on <= ends.o AND target_end < cs AND cutoff >= ss
+),
+pairs AS (
+  SELECT a.h, a.r AS scenario, b.r AS aligned, a.actual FROM shown a JOIN shown b ON a.h = b.h AND a.k = b.k AND a.cutoff = b.cutoff
+  WHERE a.mode = 'realized_future' AND b.mode = 'inference_aligned'
+),
+scores AS (
+  SELECT h, w, count(*) AS n, sum(abs(actual)) AS total, sum(abs(actual - (w * scenario + (1 - w) * aligned))) / sum(abs(actual)) AS wape
+  FROM pairs, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) g(w) GROUP BY h, w
+)"""
+    sql["expert_blend"] = _recursive(
+        TRAINING,
+        splits,
+        ready,
+        solved,
+        blend,
+        select="""SELECT h AS horizon_days, CAST(max(n) AS BIGINT) AS selection_sample_count,
+  CASE WHEN max(n) < 24 OR max(total) <= 1e-9 THEN 1.0 ELSE arg_min(w, {'e': wape, 'w': w}) END AS scenario_weight FROM scores GROUP BY h""",
     )
     # dependence of a simple residual: label minus what the plan times four would earn
     residual = """
@@ -782,6 +945,28 @@ res AS (SELECT f.h, f.o, f.fold, a.ar, a.asp, a.ar / a.asp AS aq, p.r10, p.r50,
         "bins AS (SELECT h, bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum((p - y) * (p - y)) AS se FROM ev GROUP BY h, bin)",
         select="""SELECT h AS horizon_days, CASE WHEN sum(n) >= 20 THEN 'evaluated' ELSE 'insufficient_evidence' END AS status, CAST(sum(n) AS BIGINT) AS observations,
   round(sum(se) / sum(n) + 1e-9, 4) AS brier_score, round(sum(n * abs(mp - my)) / sum(n) + 1e-9, 4) AS expected_calibration_error FROM bins GROUP BY h""",
+    )
+    given = """SELECT k AS campaign_key, channel, guarded, round(cap + 3e-6, 2) AS cap, round(given + 3e-6, 2) AS allocated FROM given"""
+    sql["allocation"] = _recursive(LATEST, ORIGINS, HISTORY, SPEND, LEAF, _greedy(), select=given)
+    limits = """SELECT channel, CASE channel WHEN 'META_ADS' THEN round(0.7 * sum(pb), 2) WHEN 'MICROSOFT_ADS' THEN round(0.4 * sum(pb), 2) END AS low,
+  CASE channel WHEN 'SEARCH' THEN round(0.5 * sum(pb), 2) WHEN 'MICROSOFT_ADS' THEN round(0.9 * sum(pb), 2) END AS high FROM leaf WHERE h = 30 GROUP BY channel"""
+    sql["allocation_limits"] = _recursive(LATEST, ORIGINS, HISTORY, SPEND, LEAF, _greedy(limits), select=given)
+    sql["allocation_result"] = _recursive(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        SPEND,
+        _BASE_LEAF,
+        _greedy(leaf="leaf0"),
+        "plan AS (SELECT 30 AS h, k, given AS ov FROM given)",
+        _leaf("plan", "3.5"),
+        RANKS,
+        DRAWS,
+        select="""SELECT 'allocation' AS scenario_id, h AS horizon_days, 'feasible' AS status,
+  CASE WHEN (SELECT max(relaxed) FROM given) = 1 THEN 'marginal_target_relaxed' ELSE 'marginal_target_met' END AS target_constraint_status,
+  round(q50, 4) AS achieved_roas_p50, 3.5::DOUBLE AS target_roas, round(q50 - 3.5, 4) AS target_gap_p50,
+  (SELECT count(*) FROM given WHERE NOT guarded) AS eligible_campaign_count, (SELECT count(*) FROM given WHERE guarded) AS guardrailed_campaign_count,
+  'observational_association' AS causal_status FROM fc WHERE level = 'overall' AND h = 30""",
     )
     # sorted fill of equal steps, the part of the allocation that SQL can say
     sql["allocation_steps"] = _with(

@@ -151,6 +151,62 @@ def test_allocation_equals_stepwise_greedy(spark, seed):
     assert found.guarded_campaigns == sum(c["guarded"] for c in campaigns)
 
 
+def many_campaigns(seed, count, small):
+    """Campaigns of three channels, most of them with room for a fraction of a step."""
+    rng, campaigns = random.Random(seed), []
+    for i in range(count):
+        base = rng.uniform(1, 40) if rng.random() < small else rng.uniform(500, 4000)
+        guarded = rng.random() < 0.3
+        roas = rng.uniform(1, 6)  # equal ones would tie but for rounding: the rest of a campaign has the same return at any size
+        campaigns.append(dict(key=f"s:{i:04}", channel="ABC"[i] if i < 3 else rng.choice("AAABC"), base=base, roas=roas, guarded=guarded, cap=base * (1 if guarded else 2)))
+    return campaigns
+
+
+def leaves_of(spark, campaigns):
+    leaves = spark.createDataFrame(
+        [(c["key"], c["channel"], c["base"], c["base"] * c["roas"], "sparse_recent_history" if c["guarded"] else "") for c in campaigns],
+        "campaign_key string, channel string, planned_budget double, predicted_revenue_p50 double, quality_flags string",
+    )
+    for c in campaigns:
+        c["roas"] = max(c["base"] * c["roas"] / max(c["base"], 1.0), 0.0)
+        c["base"] = max(c["base"], 1.0)
+    return leaves
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_allocation_with_many_small_caps_and_limits(spark, seed):
+    campaigns = many_campaigns(seed, 80, [0.95, 0.8, 1.0][seed])
+    leaves = leaves_of(spark, campaigns)
+    room = {ch: sum(c["cap"] for c in campaigns if c["channel"] == ch) for ch in "ABC"}
+    total = round([0.5, 0.8, 0.6][seed] * sum(room.values()), 2)
+    request = AllocationRequest(
+        30, total, [2.5, None, 3.2][seed],
+        (("A", round(0.15 * room["A"], 2)), ("C", round(0.3 * room["C"], 2))),
+        (("B", round(0.55 * room["B"], 2)), ("C", round(0.8 * room["C"], 2))),
+        increments=[10, 40, 3][seed],
+    )
+    expected, relaxed = stepwise(campaigns, request)
+    found = allocate(leaves, request)
+    got = {r.campaign_key: r.allocated for r in found.plan.collect()}
+    assert got == pytest.approx(expected, abs=1e-5)
+    if request.target_roas is not None:
+        assert found.target_status == ("marginal_target_relaxed" if relaxed else "marginal_target_met")
+
+
+def test_jobs_of_an_allocation_do_not_follow_campaigns(spark):
+    jobs = []
+    for count in (60, 600):
+        campaigns = many_campaigns(9, count, 1.0)
+        leaves = leaves_of(spark, campaigns)
+        group = f"allocation-{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        allocate(leaves, AllocationRequest(30, round(0.6 * sum(c["cap"] for c in campaigns), 2), 2.5, increments=1))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # one pass of probes more for a count that is ten times larger, where picks one by one would be hundreds
+    assert jobs[1] <= jobs[0] + 20
+
+
 def test_infeasible_requests(spark):
     leaves = spark.createDataFrame([("s:1", "A", 1000.0, 3000.0, "")], "campaign_key string, channel string, planned_budget double, predicted_revenue_p50 double, quality_flags string")
     for request in (

@@ -14,7 +14,7 @@ from mediacast.functions import columns
 from mediacast.operators import canonical, quality
 from mediacast.operators.fingerprint import canonical_fingerprint
 from mediacast.plans.predict import predict_folder
-from mediacast.sources import exports, predictions, store
+from mediacast.sources import exports, files, predictions, store
 
 GOOGLE = "campaign_id,segments_date,campaign_advertising_channel_type,campaign_name,metrics_cost_micros,metrics_conversions_value,metrics_clicks,metrics_impressions,metrics_conversions,campaign_budget_amount"
 MICROSOFT = "CampaignId,TimePeriod,CampaignType,CampaignName,Revenue,Spend,Clicks,Impressions,Conversions,DailyBudget"
@@ -162,7 +162,7 @@ def test_store_refuses_changed_tables(spark, tmp_path, make_facts):
     loaded, card = store.load_model(spark, folder)
     assert loaded.count() == 3 and card["training_rows"] == 40
     loaded.withColumn("global_roas", F.col("global_roas") + 1e-9).write.mode("overwrite").parquet(str(tmp_path / "other"))
-    spark.read.parquet(str(tmp_path / "other")).write.mode("overwrite").parquet(f"{folder}/models")
+    spark.read.parquet(str(tmp_path / "other")).write.mode("overwrite").parquet(f"{files.current_version(spark, folder)}/models")
     with pytest.raises(ContractError, match="artifact_sha256"):
         store.load_model(spark, folder)
 
@@ -194,6 +194,82 @@ def test_recent_window(spark):
     assert kept == list(range(30, 120))
 
 
+def test_published_folders_change_in_one_step(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        files.current_version(spark, target)
+
+    def table(n):
+        return spark.range(n).toDF("n")
+
+    def read():
+        return spark.read.parquet(files.current_version(spark, target)).count()
+
+    files.replace_folder(table(1), target)
+    assert read() == 1
+    # stopped while the version is written, and after it but before it is put in place
+    table(2).write.parquet(files.new_version(target))
+    assert read() == 1
+    whole = files.publish
+    for stop in ("before", "after"):
+
+        def stopped(spark, staged, final, stop=stop):
+            if stop == "after":
+                whole(spark, staged, final)
+            raise KeyboardInterrupt
+
+        monkeypatch.setattr(files, "publish", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            files.replace_folder(table(3), target)
+        monkeypatch.setattr(files, "publish", whole)
+        assert read() == (1 if stop == "before" else 3)
+    files.replace_folder(table(4), target)
+    versions = [p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("version-")]
+    assert read() == 4 and len(versions) == 2  # and the one that a reader may still hold
+    files.replace_csv_folder(table(5), target)
+    assert spark.read.csv(files.current_version(spark, target), header=True).count() == 5
+
+
+def test_recent_windows_of_all_sources(spark, tmp_path):
+    source = upload(tmp_path / "u", count=40)
+    found = exports.write_recent_windows(spark, str(source), str(tmp_path / "sample"), days=7)
+    again = read(spark, found)
+    assert set(again.exports) == set(read(spark, source).exports) and len(again.exports) == 3
+    for name, export in again.exports.items():
+        kept = [str(r[0]) for r in export.select(exports.EXPORTS[name].date_column).collect()]
+        assert kept == sorted(kept) == [str(d) for d in days("2025-01-01", 40)][-7:]
+    with pytest.raises(ContractError):
+        exports.write_recent_windows(spark, str(tmp_path / "none"), str(tmp_path / "sample"))
+    assert exports.current_version(spark, str(tmp_path / "sample")) == found
+
+
+def test_report_document(spark, tmp_path, make_facts):
+    from mediacast.operators.evidence import trust
+    from mediacast.operators.calendar import portfolio_calendar
+    from mediacast.plans.forecast import latest_slices, statistical_models
+    from mediacast.session import stage
+
+    facts = stage(make_facts([("google_ads", "1", d, 10, 40) for d in days("2025-01-01", 40)]), "facts")
+    calendar = portfolio_calendar(facts)
+    models = stage(statistical_models(calendar, latest_slices(calendar)), "models")
+    card = stage(store.manifest(models, facts), "card")
+    report = spark.createDataFrame([(60, 0.5, None), (30, 0.1, "x")], "horizon_days int, wape double, note string")
+    folder = str(tmp_path / "report")
+    store.save_report(store.report_document({"horizons": report, "none": report.limit(0)}, card, "r1", "m1"), folder)
+    mark = card.first().training_data_fingerprint
+    document = store.load_report(spark, folder, mark)
+    assert sorted(store.report_table(document, "horizons").collect()) == sorted(report.collect()) and store.report_table(document, "none").count() == 0
+    in_use = card.withColumnRenamed("training_data_fingerprint", "data_fingerprint").selectExpr("'m1' AS model_id", "*", "data_fingerprint AS training_data_fingerprint")
+    assert trust(document, in_use).first().status == "available"
+    assert trust(document, in_use.withColumn("artifact_sha256", F.lit("other"))).first().reason == "differs:artifact_sha256"
+    with pytest.raises(ContractError, match="other data"):
+        store.load_report(spark, folder, "other")
+    changed = document.withColumn("horizons", F.transform("horizons", lambda r: r.withField("wape", r["wape"] + 1e-9)))
+    files.replace_folder(stage(changed, "changed"), folder)
+    with pytest.raises(ContractError, match="fingerprint"):
+        store.load_report(spark, folder)
+
+
 def test_date_spellings(spark):
     same = ["2024-01-05", "2024/01/05", "1/5/2024", "01/05/2024 10:11", "2024-01-05T10:11:12.345", "2024-01-05 10:11:12Z", "Jan 5, 2024", " January 5, 2024 ", "2024-1-5"]
     none = ["", "2024-13-05", "2024-01-05 25:00", "5.1.2024 x", "2024/01-05", None, "yesterday"]
