@@ -14,8 +14,10 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections.abc import Iterator, Mapping
+from collections import ChainMap
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 LENGTH = 1024
 #: Pieces of one length that are ranked in one bucket, on average.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 11
 
-_KEPT_BYTES = 128 << 20
+_KEPT_BYTES = 192 << 20
 _KEPT_CUT = 64
 _ENCODE = 20_000
 _JOINED = 200
@@ -50,71 +52,94 @@ class TextIds:
 
     def __init__(self, vocabulary: str) -> None:
         self.encoder = encoder(vocabulary)
-        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # what follows a space, which counts to it
+        self.bare: dict[str, bytes] = {}
         self.held = 0
-        spaced = [i for token, i in self.encoder.get_vocab().items() if token.startswith("Ġ")]
+        starts = [i for token, i in self.encoder.get_vocab().items() if token.startswith("Ġ")]
         self.starts_word = np.zeros(self.encoder.get_vocab_size(with_added_tokens=True) + 1, bool)
-        self.starts_word[spaced] = True
+        self.starts_word[starts] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cuts(text) for text in texts]
         if self.held > _KEPT_BYTES:
-            self.known, self.held = {}, 0
-        known, passing = self.known, {}
-        new = set()
-        for cuts in cut:
-            new.update(cuts)
-        new.difference_update(known)
-        atoms = {c: _atoms(c) for c in new}
-        for atom, own in self._encoded({a for parts in atoms.values() for a in parts if a not in known}):
-            self._keep(atom, own, passing)
-        look = (lambda c: known[c] if c in known else passing[c]) if passing else known.__getitem__
-        for c, parts in atoms.items():
-            if len(parts) > 1:
-                self._keep(c, b"".join(map(look, parts)), passing)
-        look = (lambda c: known[c] if c in known else passing[c]) if passing else known.__getitem__
-        return [b"".join(map(look, cuts)) for cuts in cut]
-
-    def _keep(self, piece: str, own: bytes, passing: dict[str, bytes]) -> None:
-        if len(piece) <= _KEPT_CUT:
-            self.known[piece] = own
-            self.held += len(own) + len(piece) + 160
-        else:
-            passing[piece] = own
-
-    def _encoded(self, atoms: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Every atom with its ids. Words behind a space are encoded many to a text and told apart by their first tokens."""
-        words = [a for a in atoms if a[0] == " " and a[1:].isalpha()]
-        alone = [a for a in atoms if a[0] != " " or not a[1:].isalpha()]
-        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+            self.spaced, self.bare, self.held = {}, {}, 0
+        cut = [_cuts(text) for text in texts]
+        found = [list(map(self.spaced.get, rest)) for _, rest in cut]
+        missing = [() if all(own) else [i for i, x in enumerate(own) if not x] for own in found]
+        new = {rest[i] for (_, rest), at in zip(cut, missing) for i in at}
+        passing = self._learned(new, {first for first, _ in cut if first and first not in self.bare})
+        spaced, bare = (ChainMap(x, self.spaced if i == 0 else self.bare) if x else (self.spaced, self.bare)[i] for i, x in enumerate(passing))
+        for (_, rest), own, at in zip(cut, found, missing):
+            for i in at:
+                own[i] = spaced[rest[i]]
+        return [(bare[first] if first else b"") + b"".join(own) for (first, _), own in zip(cut, found)]
+
+    def _learned(self, spaced: set[str], bare: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Keep the ids of these cuts; those too long to keep are returned."""
+        passing: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        words = {c for c in spaced if c.isalpha()}
+        cuts, heads = {c: _atoms(c) for c in spaced - words}, {c: _atoms(c) for c in bare}
+        words.update(parts[0] for parts in cuts.values())
+        words.difference_update(self.spaced)
+        others = {a for parts in cuts.values() for a in parts[1:]} | {a for parts in heads.values() for a in parts}
+        others.difference_update(self.bare)
+        self._keep(self.spaced, passing[0], self._encoded_words(words))
+        self._keep(self.bare, passing[1], self._encoded(list(others)))
+        first, rest = (ChainMap(x, y) if x else y for x, y in zip(passing, (self.spaced, self.bare)))
+        composed = {c: b"".join([first[parts[0]], *[rest[a] for a in parts[1:]]]) for c, parts in cuts.items() if len(parts) > 1}
+        self._keep(self.spaced, passing[0], [(list(composed), list(composed.values()))])
+        composed = {c: b"".join([rest[a] for a in parts]) for c, parts in heads.items() if len(parts) > 1}
+        self._keep(self.bare, passing[1], [(list(composed), list(composed.values()))])
+        return passing
+
+    def _keep(self, kept: dict[str, bytes], passing: dict[str, bytes], found: Iterable[tuple[list[str], list[bytes]]]) -> None:
+        for pieces, ids in found:
+            if pieces and max(map(len, pieces)) > _KEPT_CUT:
+                passing.update((p, own) for p, own in zip(pieces, ids) if len(p) > _KEPT_CUT)
+                pieces, ids = zip(*[(p, own) for p, own in zip(pieces, ids) if len(p) <= _KEPT_CUT] or [("", b"")])
+            kept.update(zip(pieces, ids))
+            self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 160 * len(pieces)
+
+    def _encoded_words(self, words: set[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Words with their ids behind a space. Words of letters are encoded many to a text and told apart by their first tokens."""
+        plain, alone = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
         for some in (groups[i : i + 64] for i in range(0, len(groups), 64)):
-            for group, result in zip(some, self.encoder.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)):
+            for group, result in zip(some, self.encoder.encode_batch_fast([" " + " ".join(g) for g in some], add_special_tokens=False)):
                 ids = np.array(result.ids, "<u4")
                 starts = np.flatnonzero(self.starts_word[ids])
                 if len(starts) == len(group) and starts[0] == 0:  # every word has such a token, so each has exactly one
-                    data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    for i, word in enumerate(group):
-                        yield word, data[ends[i] : ends[i + 1]]
+                    data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                    yield group, [data[i:j] for i, j in pairwise(bounds)]
                 else:
                     alone.extend(group)
-        for start in range(0, len(alone), _ENCODE):
-            some = alone[start : start + _ENCODE]
-            for piece, result in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False)):
-                yield piece, np.array(result.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _cuts(text: str) -> list[str]:
-        if not text:
-            return []
-        first, *rest = _SPACE.split(text) if text[-1] == " " or _DOUBTFUL.search(text) else text.split(" ")
-        cuts = [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
-        if len(text) > _LONG and max(map(len, cuts)) > _LONG:
-            cuts = [part for c in cuts for part in (_INSIDE.split(c) if len(c) > _LONG else [c]) if part]
-        return cuts
+        for pieces, ids in self._encoded([" " + w for w in alone]):
+            yield [p[1:] for p in pieces], ids
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        for start in range(0, len(pieces), _ENCODE):
+            some = pieces[start : start + _ENCODE]
+            yield some, [np.array(r.ids, "<u4").tobytes() for r in self.encoder.encode_batch_fast(some, add_special_tokens=False)]
+
+
+#: One per vocabulary and worker, so that the tasks of a worker share what it knows.
+_known: dict[str, TextIds] = {}
+
+
+def _cuts(text: str) -> tuple[str, list[str]]:
+    """What stands before the first cut, and what follows the space of every cut."""
+    if not text:
+        return "", []
+    first, *rest = _SPACE.split(text) if text[-1] == " " or _DOUBTFUL.search(text) else text.split(" ")
+    return first, rest
 
 
 def _atoms(cut: str) -> tuple[str, ...]:
-    """The cut at a single line break, and before closing marks behind a letter; tokens never reach over these places."""
+    """The cut at a single line break, and before closing marks behind a letter; tokens never reach over these places.
+
+    Long cuts are taken apart at white space and between letters and digits as well.
+    """
+    if len(cut) > _LONG:
+        return tuple(part for part in _INSIDE.split(cut) if part)
     before, line, after = cut.partition("\n")
     if line:
         whole = before and after and not before[-1].isspace() and not after[0].isspace()
@@ -140,7 +165,9 @@ def token_pieces(
     fields = f"id {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, closing = TextIds(vocabulary), np.array([end], "<u4").tobytes()
+        if vocabulary not in _known:
+            _known[vocabulary] = TextIds(vocabulary)
+        texts, closing = _known[vocabulary], np.array([end], "<u4").tobytes()
         for batch in batches:
             places, rows = [], []
             for first, some in _by_length(batch.column(1)):
@@ -239,8 +266,9 @@ def packed_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = pieces.sparkSession
     rows = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    # one row per length
+    buckets = spark.createDataFrame([(size, max(1, count // BUCKET_ROWS)) for size, count in histogram.items()], "length long, buckets long")
+    dealt = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("row")
