@@ -1,9 +1,10 @@
 """Benchmark decontamination: a BM25 index of test items asked with every passage of the corpus.
 
-Passages are two neighbouring segments of a text, each as long as the longest item of the index, so that every item lies whole
-in one passage. The index has blocks of ``BLOCK`` items with the highest impact of each term in each block. A passage skips all
-blocks whose summed highest impacts stay below the least threshold in the block (block-max pruning) and is scored exactly
-against the items of the others. Whatever reaches the threshold, a share of an item's own score, is verified: shingles of
+An index has items of similar length. Passages are two neighbouring segments of a text, each as long as an item of the index can be, so that every item lies whole
+in one passage. The index is posting lists of (block, highest impact) per term over blocks of ``BLOCK`` items, next to the postings of
+the items themselves. Terms whose highest impacts in a block stay together below a share of the least threshold there are left out of the lists,
+as WAND leaves lists that cannot decide alone; a passage skips all blocks in which its listed terms and those left out cannot reach
+the threshold, and is scored exactly against the items of the others. Whatever reaches the threshold, a share of an item's own score, is verified: shingles of
 the item's question and of its answer must both stand in the passage. For a part of few words, in which one edit breaks most
 shingles, shingles of the whole item count instead. Quotes, brackets and sentence marks do not belong to words.
 """
@@ -31,28 +32,43 @@ WORDS = 5
 #: A part of fewer words is verified by the whole item.
 FEW = 10
 BLOCK = 8
-#: Items of one dense index, and bytes of item texts in one broadcast; more items are more indexes and more passes.
-SHARD = 256
-PASS_BYTES = 16 << 20
+#: Share of a block's least threshold that the terms left out of the lists may reach together.
+LEFT_OUT = 0.1
+#: Bytes of the indexes of one broadcast, by an estimate of ``POSTING_BYTES`` for every word of an item; more items are more passes.
+INDEX_BYTES = 16 << 20
+#: List entries that are added up at a time.
+ENTRIES = 1 << 20
+POSTING_BYTES = 40
 
 Part = tuple[int, int, np.ndarray]  # words, words of a shingle, shingles
 
 
 @dataclass(frozen=True)
 class Index:
-    """Items of similar length."""
+    """Items of similar length, in blocks; ragged arrays have their offsets beside them."""
 
     items: np.ndarray
-    length: int  # words of the longest item
+    length: int  # most words that an item of this index can have, so passages do not depend on the items of a pass
     terms: np.ndarray  # sorted word hashes
-    impacts: np.ndarray  # [term, item]
-    highest: np.ndarray  # [term, block]
-    needed: np.ndarray  # score that an item asks for
+    lists: np.ndarray  # offsets of the posting lists by term
+    blocks: np.ndarray  # block of a list entry
+    highest: np.ndarray  # highest impact of the term in that block
+    left_out: np.ndarray  # by block, what its terms outside the lists can add up to
     least: np.ndarray  # least needed score of each block
+    held: np.ndarray  # offsets of the postings by block
+    posted: np.ndarray  # term of a posting
+    places: np.ndarray  # item of a posting, by its place in the block
+    impacts: np.ndarray
+    needed: np.ndarray  # score that an item asks for
     questions: list[Part]
     answers: list[Part]
     wholes: list[Part]
 
+    def size(self) -> int:
+        """Bytes of all arrays."""
+        parts = [p[2] for parts in (self.questions, self.answers, self.wholes) for p in parts]
+        return sum(x.nbytes for x in [*(v for v in vars(self).values() if isinstance(v, np.ndarray)), *parts])
+
 
 @dataclass(frozen=True)
 class Statistics:
@@ -115,7 +131,7 @@ def _part_of(text: str) -> Part:
 
 
 def build_indexes(items: list[tuple[int, str]], statistics: Statistics | None = None) -> list[Index]:
-    """Indexes of ``SHARD`` items each, sorted by length, with the statistics given or else those of the items. Items without words are left out."""
+    """One index per doubling of the length in words, with the statistics given or else those of the items. Items without words are left out."""
     found = []
     for item, text in items:
         hashes = _hashes_of(text)
@@ -126,29 +142,47 @@ def build_indexes(items: list[tuple[int, str]], statistics: Statistics | None =
         return []
     if statistics is None:
         statistics = Statistics(len(found), float(np.mean([f[0] for f in found])), *np.unique(np.concatenate([f[3] for f in found]), return_counts=True))
-    mean, vocabulary = statistics.mean, statistics.terms
     idf = np.log(1 + (statistics.items - statistics.counts + 0.5) / (statistics.counts + 0.5))
-    indexes = []
-    for start in range(0, len(found), SHARD):
-        some = found[start : start + SHARD]
-        terms = np.unique(np.concatenate([f[3] for f in some]))
-        weight = idf[np.searchsorted(vocabulary, terms)]
-        impacts = np.zeros((len(terms), len(some)), np.float32)
-        for i, (length, _, _, own, counts) in enumerate(some):
-            at = np.searchsorted(terms, own)
-            impacts[at, i] = weight[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
-        blocks = range(0, len(some), BLOCK)
-        needed = SHARE * impacts.sum(axis=0, dtype=np.float64)
-        parts = [question_and_answer(f[2]) for f in some]
-        indexes.append(
-            Index(
-                np.array([f[1] for f in some], np.int64), max(f[0] for f in some), terms, impacts,
-                np.stack([impacts[:, b : b + BLOCK].max(axis=1) for b in blocks], axis=1), needed,
-                np.array([needed[b : b + BLOCK].min() for b in blocks]),
-                [_part_of(q) for q, _ in parts], [_part_of(a) for _, a in parts], [_part_of(f[2]) for f in some],
-            )
-        )
-    return indexes
+    by_class: dict[int, list] = {}
+    for f in found:
+        by_class.setdefault(f[0].bit_length(), []).append(f)
+    return [_index(some, statistics, idf) for some in by_class.values()]
+
+
+def _index(some: list, statistics: Statistics, idf: np.ndarray) -> Index:
+    terms, posted = np.unique(np.concatenate([f[3] for f in some]), return_inverse=True)
+    counts = np.concatenate([f[4] for f in some])
+    item = np.repeat(np.arange(len(some)), [len(f[3]) for f in some])
+    length = np.array([f[0] for f in some], np.float64)
+    weight = idf[np.searchsorted(statistics.terms, terms)]
+    impacts = (weight[posted] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[item] / statistics.mean))).astype(np.float32)
+    needed = SHARE * np.bincount(item, impacts.astype(np.float64), len(some))
+    block = item // BLOCK
+    blocks = -(-len(some) // BLOCK)
+    least = np.array([needed[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
+    # the highest impact of every term in every block that has it
+    order = np.lexsort((posted, block))
+    held = np.searchsorted(block[order], np.arange(blocks + 1))
+    key = block[order] * len(terms) + posted[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    highest, of_block, of_term = np.maximum.reduceat(impacts[order], starts), key[starts] // len(terms), key[starts] % len(terms)
+    # of every block its weakest terms, as long as they stay below the share
+    weak = np.lexsort((highest, of_block))
+    sums = np.cumsum(highest[weak], dtype=np.float64)
+    first = np.searchsorted(of_block[weak], np.arange(blocks))
+    before = np.where(first > 0, sums[first - 1], 0.0)
+    out = np.zeros(len(highest), bool)
+    out[weak] = sums - before[of_block[weak]] <= LEFT_OUT * least[of_block[weak]]
+    left_out = np.bincount(of_block[out], highest[out].astype(np.float64), blocks)
+    by_term = np.lexsort((of_block[~out], of_term[~out]))
+    parts = [question_and_answer(f[2]) for f in some]
+    return Index(
+        np.array([f[1] for f in some], np.int64), (1 << some[0][0].bit_length()) - 1, terms,
+        np.searchsorted(of_term[~out][by_term], np.arange(len(terms) + 1)).astype(np.int32),
+        of_block[~out][by_term].astype(np.int32), highest[~out][by_term], left_out, least,
+        held.astype(np.int32), posted[order].astype(np.int32), (item[order] % BLOCK).astype(np.int8), impacts[order], needed,
+        [_part_of(q) for q, _ in parts], [_part_of(a) for _, a in parts], [_part_of(f[2]) for f in some],
+    )
 
 
 def _contained(part: Part, hashes: np.ndarray) -> float:
@@ -162,6 +196,36 @@ def _holds(part: Part, share: float) -> bool:
     return share >= (OVERLAP if part[1] > 1 else WORD_OVERLAP)
 
 
+def _reached(index: Index, passage_of: np.ndarray, terms: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``(number of the passage, block)`` where the listed terms of the passage and those left out may reach the least threshold."""
+    lengths = index.lists[terms + 1] - index.lists[terms]
+    ends = np.cumsum(lengths)
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+    blocks = len(index.least)
+    done = 0
+    while done < len(terms):
+        # whole passages of a bounded number of list entries, or one passage
+        base = ends[done] - lengths[done]
+        stop = int(np.searchsorted(ends, base + ENTRIES, "right"))
+        stop = int(starts[np.searchsorted(starts, stop, "right") - 1]) if stop < len(terms) else stop
+        if stop <= done:
+            following = np.searchsorted(starts, done, "right")
+            stop = int(starts[following]) if following < len(starts) else len(terms)
+        some = slice(done, stop)
+        count = lengths[some]
+        entry = np.arange(count.sum()) + np.repeat(index.lists[terms[some]] - (np.cumsum(count) - count), count)
+        key = np.repeat(number[some].astype(np.int64), count) * blocks + index.blocks[entry]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        if len(key):
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            bound = np.add.reduceat(index.highest[entry[order]], first, dtype=np.float64)
+            block = key[first] % blocks
+            hit = np.flatnonzero(bound + index.left_out[block] >= index.least[block] * (1 - 1e-4))
+            yield from zip((key[first[hit]] // blocks).tolist(), block[hit].tolist())
+        done = stop
+
+
 def matches(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """``(row, item, share of the item's score, question overlap, answer overlap)`` of the verified passages of a chunk."""
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
@@ -181,13 +245,15 @@ def matches(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tupl
     passage_of, terms = pairs // width, pairs % width
     starts = np.flatnonzero(np.concatenate([[True], passage_of[1:] != passage_of[:-1]]))
     ends = np.append(starts[1:], len(pairs))
-    bounds = np.add.reduceat(index.highest[terms], starts, axis=0)
-    places, blocks = np.nonzero(bounds >= index.least * (1 - 1e-4))
-    for place, block in zip(places.tolist(), blocks.tolist()):
+    for place, block in _reached(index, passage_of, terms, starts):
         own = terms[starts[place] : ends[place]]
+        postings = slice(index.held[block], index.held[block + 1])
+        posted = index.posted[postings]
+        found = np.minimum(np.searchsorted(own, posted), len(own) - 1)
+        present = own[found] == posted
+        scores = np.bincount(index.places[postings][present], index.impacts[postings][present].astype(np.float64), BLOCK)
         items = slice(block * BLOCK, (block + 1) * BLOCK)
-        scores = index.impacts[own, items].sum(axis=0, dtype=np.float64)
-        for i in np.flatnonzero(scores >= index.needed[items] * (1 - 1e-6)):
+        for i in np.flatnonzero(scores[: len(index.needed[items])] >= index.needed[items] * (1 - 1e-6)):
             item, passage = block * BLOCK + i, passage_of[starts[place]]
             row = int(np.searchsorted(first_segment, passage, "right")) - 1
             start = rows[row] + (passage - first_segment[row]) * index.length
@@ -244,11 +310,12 @@ def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for row in items.orderBy("id", "text").toLocalIterator():
         if row["id"] is None and row["text"] != last:
             surrogate, last = surrogate - 1, row["text"]
-        if held and size + len(row["text"]) > PASS_BYTES:
+        own = POSTING_BYTES * (1 + len(row["text"].split()))
+        if held and size + own > INDEX_BYTES:
             yield held
             held, size = [], 0
         held.append((surrogate if row["id"] is None else row["id"], row["text"]))
-        size += len(row["text"])
+        size += own
     if held:
         yield held
 
