@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ UNKNOWN = "und"
 #: Bounds of the training sample per language, by the smallest hashes of the keys; texts are taken whole.
 TEXTS_PER_LANGUAGE = 400
 BYTES_PER_LANGUAGE = 4 << 20
+#: Texts are foreign to a language beyond this many times its typical code length and so many bits more.
+FOREIGN_TIMES = 2.5
+FOREIGN_BITS = 96.0
 
 _SYMBOLS = 64
 _OTHER, _START = 62, 63
@@ -44,6 +48,7 @@ class ContextTrees:
     seen: np.ndarray  # [gram, language] code length of the last symbol
     escapes: np.ndarray  # [context of three, language] code length of its escape
     shorter: np.ndarray  # [gram of three, language] code length at order 2 and below
+    typical: np.ndarray  # [language] mean bits a byte of the training texts
 
 
 def sample_texts(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -122,7 +127,8 @@ def train(texts: dict[str, list[bytes]]) -> ContextTrees:
         escapes[:, i] = escape
         seen[:, i] = escape[grams >> np.uint32(6)] + dense[grams & np.uint32(_SYMBOLS**3 - 1)]
         seen[np.searchsorted(grams, found), i] = bits
-    return ContextTrees(languages, symbols, grams, seen, escapes, shorter)
+    typical = np.array([seen[np.searchsorted(grams, codes[x]), i].mean(dtype=np.float64) if len(codes[x]) else 0.0 for i, x in enumerate(languages)])
+    return ContextTrees(languages, symbols, grams, seen, escapes, shorter, typical)
 
 
 def gram_places(trees: ContextTrees) -> np.ndarray:
@@ -151,7 +157,8 @@ def code_lengths(trees: ContextTrees, texts: pa.Array, place: np.ndarray) -> np.
 
 
 def predicted(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, lang_pred, score)``: the language of the shortest code and the share ``2^-bits`` it has among all.
+    """``(key, lang_pred, score, bits, typical_bits)``: the language of the shortest code, the share ``2^-bits`` it has among all,
+    the length of that code and what training texts of that language would have taken at the text's length.
 
     Null texts, texts without a letter and, if nothing was learned, all texts are ``und`` with score 0. Ties go to the first
     language by name.
@@ -168,16 +175,29 @@ def predicted(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: s
             share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             names = np.array(trees.languages, dtype=object)[best]
             names[~letters] = UNKNOWN
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0))], names=["key", "lang_pred", "score"]
-            )
+            expected = trees.typical[best] * pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(bits.min(axis=1)), pa.array(expected)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang_pred", "score", "bits", "typical_bits"])
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), letter.alias("letter"))
     if not trees.languages:
-        return rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), *[F.lit(0.0).alias(c) for c in ("score", "bits", "typical_bits")])
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(scores, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(scores, f"key {kind}, lang_pred string, score double, bits double, typical_bits double").withColumnRenamed("key", key)
+
+
+def foreign(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", times: float = FOREIGN_TIMES, bits: float = FOREIGN_BITS) -> DataFrame:
+    """``(key)`` of the rows that no learned language explains: null texts, texts without a letter, and texts whose code is longer
+    than ``times`` what is typical of the predicted language and ``bits`` more, which is room for short texts.
+
+    If nothing was learned, texts with a letter are not foreign.
+    """
+    trees = learned(docs, key, text, lang)
+    if not trees.languages:
+        return docs.where(~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(key)
+    rows = predicted(docs, trees, key, text)
+    return rows.where((F.col("lang_pred") == UNKNOWN) | (F.col("bits") > times * F.col("typical_bits") + bits)).select(key)
 
 
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
@@ -189,9 +209,9 @@ def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(key, held_out, lang_pred, score)`` for every row, learned from the rows that are not held out.
+    """``(key, held_out, lang_pred, score, bits)`` for every row, learned from the rows that are not held out.
 
     Repeated rows are predicted alike; other columns are not read. An empty table gives an empty table.
     """
     rows = predicted(docs, learned(docs, key, text, lang), key, text)
-    return rows.select(key, held_out(key).alias("held_out"), "lang_pred", "score")
+    return rows.select(key, held_out(key).alias("held_out"), "lang_pred", "score", "bits")
