@@ -1,7 +1,7 @@
 """A training corpus from ``documents`` in five stages; every stage works on all that its predecessor kept.
 
-Rows that repeat a doc_id are one document: the stages that drop documents drop all its rows, and the second one keeps the
-row of the least text. Rows without a doc_id cannot be named by an operator: they stay, unless their text is null.
+A stage that drops rows first writes them with a key of its own, which no other row has, and asks the operator about that one.
+So rows that share a doc_id, or have none, are kept or dropped each for its own text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacast.llm.decontaminate import contaminated
-from mediacast.llm.language import UNKNOWN, languages
+from mediacast.llm.language import foreign
 from mediacast.llm.mixing import mixed
 from mediacast.llm.ngram_join import near_duplicates
 from mediacast.llm.secrets import masked
@@ -21,24 +21,34 @@ from mediacast.session import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written once with a key each, and the name of that column."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts whose language cannot be told: null texts and texts without a letter."""
-    unknown = languages(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
-    return docs.join(unknown, "doc_id", "left_anti").where("text is not null")
+    """Drop texts that no learned language explains, by the length of their code, and texts without a letter."""
+    rows, row = _keyed(docs)
+    return rows.join(foreign(rows, key=row), row, "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest key of each group of near duplicates, and rows without a key."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    least = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("least"))
-    return least.select("doc_id", "least.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keep one row of each group of near duplicates: that of the smallest doc_id, rows without one last."""
+    rows, row = _keyed(docs)
+    groups = near_duplicates(rows, key=row).select(row, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row)))
+    kept = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(first[row].alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item."""
+    """Drop rows that hold a test item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    rows, row = _keyed(docs)
+    return rows.join(contaminated(rows, benchmark, key=row).select(row).distinct(), row, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
