@@ -312,6 +312,13 @@ def allocate(leaves: DataFrame, request: AllocationRequest) -> Allocation:
     return Allocation(state, status, counts.n - counts.guarded, counts.guarded)
 
 
+def top_allocations(allocation: Allocation, k: int = 8) -> DataFrame:
+    """The ``k`` largest budgets with their ``position``, ties by key; every task keeps ``k`` rows."""
+    largest = allocation.plan.orderBy(F.desc("allocated"), "campaign_key").limit(k)
+    order = Window.orderBy(F.desc("allocated"), "campaign_key")
+    return largest.select(F.row_number().over(order).alias("position"), "campaign_key", "channel", "allocated")
+
+
 def allocation_plan(allocation: Allocation, horizon_days: int, scenario_id: str = "allocation") -> DataFrame:
     """The chosen budgets as scenario overrides, to be forecast like any other plan."""
     return allocation.plan.select(

@@ -131,6 +131,21 @@ def raise_if_blocking(rules: DataFrame) -> list[str]:
     return sorted(f"{r.rule} in {r.column_name}: {r.violations}" for r in broken)
 
 
+def health_lists(rules: DataFrame) -> DataFrame:
+    """One row from the rule table: the status, and as sorted lists what warns, what blocks and where planning falls back on defaults."""
+    entry = F.concat(F.col("rule"), F.lit(" in "), F.col("column_name"), F.lit(": "), F.col("violations").cast("string"))
+
+    def listed(condition: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when((F.col("violations") > 0) & condition, entry)))
+
+    blocks, warns = F.col("severity") == BLOCKER, F.col("severity") == WARNING
+    lists = rules.agg(
+        listed(warns).alias("warnings"), listed(blocks).alias("blockers"), listed(warns & (F.col("rule") == "missing_budget")).alias("planning_defaults")
+    )
+    status = F.when(F.size("blockers") > 0, "blocked").when(F.size("warnings") > 0, "warning").otherwise("healthy")
+    return lists.withColumn("status", status)
+
+
 def health_summary(facts: DataFrame) -> DataFrame:
     """One row: size, dates, unclassified Meta rows, revenue semantics, planning defaults."""
     meta = F.col("source_system") == "meta_ads"

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacast.contracts import HORIZONS
+from mediacast.contracts import DIRECT, HORIZONS
 from mediacast.functions.columns import campaign_key
 from mediacast.functions.draws import hash_ranks
 from mediacast.operators import calendar as cal
 from mediacast.operators import canonical, evidence, quality
-from mediacast.operators.allocate import Allocation, AllocationRequest, allocate, allocation_plan, allocation_summary, candidates, full_steps
+from mediacast.operators.allocate import Allocation, AllocationRequest, allocate, allocation_plan, allocation_summary, candidates, full_steps, top_allocations
 from mediacast.operators.calibrate import interval_samples, portfolio_profiles, width_profiles
 from mediacast.operators.dependence import block_portfolio_profile, factor_weights
 from mediacast.operators.evaluate import (
@@ -30,12 +30,14 @@ from mediacast.operators.evaluate import (
 from mediacast.operators.fingerprint import canonical_fingerprint, provenance
 from mediacast.operators.history import campaigns
 from mediacast.operators.leaves import BASELINE, plan_problems, predicted_log, resolve_plan, serving_history
+from mediacast.operators.model_table import complete
 from mediacast.operators.quantiles import conformal_rank, deciles, order_statistics
 from mediacast.operators.ridge import (
     FINAL,
     FIT,
     blend_weights,
     expert_fits,
+    experts,
     fit_statistics,
     gram_cells,
     held_out_residuals,
@@ -136,8 +138,8 @@ def delivery_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(facts).where("violations > 0")
 
 
-def damaged_line_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """All rules of the gate on single deliveries that are damaged by place, so that every rule on rows is broken."""
+def _damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Single deliveries that are damaged by place, so that every rule on rows is broken."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     k = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 40
     text = F.lit(None).cast("string")
@@ -167,7 +169,21 @@ def damaged_line_quality(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("")
         .alias("quality_flags"),
     )
-    return quality.quality_rules(facts)
+    return facts
+
+
+def damaged_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules of the gate on damaged deliveries."""
+    return quality.quality_rules(_damaged_lines(spark, folder))
+
+
+def health_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """What warns, blocks and is planned by default, one row per entry, with the status of the whole."""
+    lists = quality.health_lists(quality.quality_rules(_damaged_lines(spark, folder)))
+    entries = F.flatten(
+        F.array(*[F.arrays_zip(F.array_repeat(F.lit(c), F.size(c)).alias("list"), F.col(c).alias("entry")) for c in ("warnings", "blockers", "planning_defaults")])
+    )
+    return lists.select("status", F.inline(entries))
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -531,6 +547,24 @@ def expert_blend(spark: SparkSession, folder: str) -> DataFrame:
     return blend_weights(*_expert_coefficients(spark, folder)).drop("origin")
 
 
+def direct_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """The trained experts served on a plan: campaigns switched off, scaled up and left alone."""
+    rows, found, coefficients = _expert_coefficients(spark, folder)
+    profiles = stage(residual_profiles(held_out_residuals(rows, found, coefficients)), "profiles")
+    fitted = stage(experts(coefficients, profiles, blend_weights(rows, found, coefficients)), "experts")
+    facts = facts_of(spark, folder)
+    calendar = cal.staged_calendar(facts)
+    slices = latest_slices(calendar)
+    base = scenario_leaves(facts, calendar, stage(statistical_models(calendar, slices), "models"))
+    bare = cal.statistical_parameters(calendar, slices.drop("as_of")).withColumn("family", F.lit(DIRECT))
+    models = stage(complete(bare.join(fitted, ["horizon_days", "origin"])), "models")
+    leaves = scenario_leaves(facts, calendar, models, plan=stage(_scenario_plan(base), "plan"), scenarios=[("plan", 3.5)])
+    quantiles = [f"predicted_revenue_{q}" for q in ("p10", "p50", "p90")]
+    return leaves.select(
+        "horizon_days", "campaign_key", cents("planned_budget").alias("planned_budget"), *[F.round(c, 1).alias(c) for c in quantiles], "quality_flags"
+    )
+
+
 def out_of_fold_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Every shared row with what a fit on earlier targets says about it."""
     rows, coefficients = _expanding_coefficients(spark, folder)
@@ -640,6 +674,11 @@ def reliability(spark: SparkSession, folder: str) -> DataFrame:
 # decisions and allocation --------------------------------------------------------------------
 
 
+def ordered_levels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = evidence.ordered_levels(hierarchy_forecast(stage(_latest_leaves(spark, folder), "leaves")))
+    return rows.select("horizon_days", "level", "position", "channel", "campaign_type", "campaign_id", cents("predicted_revenue_p50").alias("expected_revenue"))
+
+
 def decision_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = hierarchy_forecast(stage(_latest_leaves(spark, folder), "leaves"))
     found = evidence.decisions(rows, evidence.unavailable_posture("no matching evaluation report", spark))
@@ -668,7 +707,7 @@ def _allocated(spark: SparkSession, folder: str, limited: bool = False) -> tuple
 
     request = AllocationRequest(
         30, round(0.9 * sum(planned.values()), 2), 3.5,
-        bounds({"META_ADS": 0.7, "MICROSOFT_ADS": 0.4}), bounds({"SEARCH": 0.5, "MICROSOFT_ADS": 0.9}),
+        bounds({"META_ADS": 0.7, "MICROSOFT_ADS": 0.4}), bounds({"SEARCH": 0.8, "MICROSOFT_ADS": 1.1}),
     )
     return facts, models, allocate(base, request), calendar
 
@@ -685,6 +724,11 @@ def allocation_limits(spark: SparkSession, folder: str) -> DataFrame:
     return _given(_allocated(spark, folder, limited=True)[2])
 
 
+def largest_allocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = top_allocations(_allocated(spark, folder, limited=True)[2])
+    return found.withColumn("allocated", cents("allocated"))
+
+
 def allocation_result(spark: SparkSession, folder: str) -> DataFrame:
     facts, models, found, calendar = _allocated(spark, folder)
     plan = stage(allocation_plan(found, 30), "allocation_plan")
@@ -741,6 +785,7 @@ def queries() -> dict[str, Query]:
         "forecast_request_violations": forecast_request_violations,
         "allocation_request_violations": allocation_request_violations,
         "health_summary": health_summary,
+        "health_lists": health_lists,
         "data_provenance": data_provenance,
         "data_fingerprint": data_fingerprint,
         "recent_window": recent_window_orders,
@@ -769,6 +814,7 @@ def queries() -> dict[str, Query]:
         "expert_profiles": expert_profiles,
         "expert_blend": expert_blend,
         "out_of_fold_errors": out_of_fold_errors,
+        "direct_leaves": direct_leaves,
         "residual_dependence_weights": residual_dependence_weights,
         "block_portfolio_residuals": block_portfolio_residuals,
         "label_quantiles": label_quantiles,
@@ -779,10 +825,12 @@ def queries() -> dict[str, Query]:
         "fold_results": results_per_fold,
         "horizon_report": report_per_horizon,
         "target_reliability": reliability,
+        "ordered_levels": ordered_levels,
         "decision_rows": decision_rows,
         "allocation_steps": allocation_steps,
         "allocation": allocation,
         "allocation_limits": allocation_limits,
+        "largest_allocations": largest_allocations,
         "allocation_result": allocation_result,
         "evidence_briefs": evidence_briefs,
         "predictions": predictions,

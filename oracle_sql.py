@@ -481,6 +481,14 @@ def _requests(fields: list[str], maps: list[str], total: bool) -> str:
 def statements() -> dict[str, str]:
     sql = _exports()
     sql["damaged_line_quality"] = _damaged()
+    sql["health_lists"] = f"""
+WITH r AS ({_damaged()}),
+e AS (
+  SELECT CASE severity WHEN 'blocker' THEN 'blockers' ELSE 'warnings' END AS list, rule, column_name, violations FROM r WHERE violations > 0
+  UNION ALL SELECT 'planning_defaults', rule, column_name, violations FROM r WHERE violations > 0 AND rule = 'missing_budget'
+)
+SELECT CASE WHEN (SELECT count(*) FROM e WHERE list = 'blockers') > 0 THEN 'blocked' WHEN (SELECT count(*) FROM e) > 0 THEN 'warning' ELSE 'healthy' END AS status,
+  list, concat(rule, ' in ', column_name, ': ', violations) AS entry FROM e"""
     sql["forecast_request_violations"] = _requests(
         ["horizon_days", "target_roas", "channel_budgets", "campaign_budgets"], ["channel_budgets", "campaign_budgets"], False
     )
@@ -945,12 +953,89 @@ res AS (SELECT f.h, f.o, f.fold, a.ar, a.asp, a.ar / a.asp AS aq, p.r10, p.r50,
         "bins AS (SELECT h, bin, count(*) AS n, avg(p) AS mp, avg(y) AS my, sum((p - y) * (p - y)) AS se FROM ev GROUP BY h, bin)",
         select="""SELECT h AS horizon_days, CASE WHEN sum(n) >= 20 THEN 'evaluated' ELSE 'insufficient_evidence' END AS status, CAST(sum(n) AS BIGINT) AS observations,
   round(sum(se) / sum(n) + 1e-9, 4) AS brier_score, round(sum(n * abs(mp - my)) / sum(n) + 1e-9, 4) AS expected_calibration_error FROM bins GROUP BY h""",
+    )
+    # direct model served on a plan; the training tables have names of their own inside one expression
+    training = ",\n".join(x.strip() for x in (TRAINING, splits, ready, solved, held, blend))
+    wide_of = wider.format("wide")
+    experts = f"""
+ex AS (
+  WITH RECURSIVE {training},
+  w AS (SELECT h, CASE WHEN max(n) < 24 OR max(total) <= 1e-9 THEN 1.0 ELSE arg_min(w, {{'e': wape, 'w': w}}) END AS weight FROM scores GROUP BY h),
+  p AS (SELECT h, mode, p10, p50, p90, {wider.format("sparse")} AS sparse_by, {wide_of} AS wide_by FROM spans)
+  SELECT sol.h, sol.mode, m, s, cn, tn, b, p10, p50, p90, sparse_by, wide_by, coalesce(weight, 1.0) AS weight
+  FROM sol JOIN p ON p.h = sol.h AND p.mode = sol.mode LEFT JOIN w ON w.h = sol.h WHERE sol.role = 'final'
+),
+before AS (SELECT k, sum(spend) AS pv FROM facts, (SELECT max(date) AS o FROM facts) e WHERE date <= o - 28 AND date > o - 56 GROUP BY k),
+serve AS (
+  SELECT leaf.*, ln(1 + pb) AS x0, rr / greatest(rs, 1e-9) AS x1, hr / greatest(hs, 1e-9) AS x2, ln(1 + rs) AS x3, ln(1 + rr) AS x4, CAST(rd AS DOUBLE) AS x5,
+    rs / greatest(coalesce(pv, 0), 1.0) AS x6, sin(2 * pi() * (month(o) + h / 60.0) / 12.0) AS x7, cos(2 * pi() * (month(o) + h / 60.0) / 12.0) AS x8,
+    pb / greatest(hs / hd * h, 1.0) AS support
+  FROM leaf LEFT JOIN before USING (k)
+),
+one AS (
+  SELECT t.*, ex.mode, ex.weight, ex.p10 AS e10, ex.p50 AS e50, ex.p90 AS e90, {predicted("ex", "t")} AS score,
+    least(4.0, greatest(1.0, CASE WHEN rd < 28 AND sparse_by > 1 THEN least(sparse_by, 3.0) ELSE 1.0 END * CASE WHEN support > 1.5 AND wide_by > 1 THEN least(wide_by, 3.0) ELSE 1.0 END)) AS width
+  FROM serve t JOIN ex ON ex.h = t.h
+),
+quant AS (
+  SELECT *, greatest(0.0, exp(score + e50 + (e10 - e50) * width) - 1) AS d10, greatest(0.0, exp(score + e50) - 1) AS d50, greatest(0.0, exp(score + e50 + (e90 - e50) * width) - 1) AS d90 FROM one
+),
+both_of AS (
+  SELECT h, k, any_value(channel) AS channel, any_value(pb) AS pb, any_value(p50) AS curve, any_value(g) AS g, any_value(flags) AS flags, any_value(weight) AS w,
+    max(d10) FILTER (mode = 'realized_future') AS s10, max(d50) FILTER (mode = 'realized_future') AS s50, max(d90) FILTER (mode = 'realized_future') AS s90,
+    max(d10) FILTER (mode = 'inference_aligned') AS a10, max(d50) FILTER (mode = 'inference_aligned') AS a50, max(d90) FILTER (mode = 'inference_aligned') AS a90
+  FROM quant GROUP BY h, k
+),
+blended AS (
+  SELECT *, w * s50 + (1 - w) * a50 AS mid, least(abs(s50 - a50), greatest(3 * (w * s50 + (1 - w) * a50), 1.0)) AS spread FROM both_of
+),
+direct AS (
+  SELECT *, CASE WHEN w >= 1 THEN s10 WHEN w <= 0 THEN a10 ELSE least(greatest(0.0, w * s10 + (1 - w) * a10 - 0.25 * spread), mid) END AS r10,
+    CASE WHEN w >= 1 THEN s50 WHEN w <= 0 THEN a50 ELSE mid END AS r50,
+    CASE WHEN w >= 1 THEN s90 WHEN w <= 0 THEN a90 ELSE greatest(mid, w * s90 + (1 - w) * a90 + 0.25 * spread) END AS r90,
+    greatest(curve * 2.0, pb * g * 2.0, 1.0) AS cap
+  FROM blended
+),
+shown_direct AS (
+  SELECT *, CASE WHEN pb <= 0 THEN 0.0 WHEN r50 > cap THEN cap / greatest(r50, 1e-9) ELSE 1.0 END AS shrink, pb > 0 AND r50 > cap AS capped FROM direct
+)"""
+    sql["direct_leaves"] = _recursive(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        SPEND,
+        plan,
+        _leaf("plan", "3.5"),
+        experts,
+        select="""SELECT h AS horizon_days, k AS campaign_key, round(pb + 3e-6, 2) AS planned_budget, round(r10 * shrink, 1) AS predicted_revenue_p10, round(r50 * shrink, 1) AS predicted_revenue_p50,
+  round(r90 * shrink, 1) AS predicted_revenue_p90, concat_ws(';', nullif(flags, ''), CASE WHEN capped THEN 'direct_model_response_capped' END) AS quality_flags FROM shown_direct""",
     )
     given = """SELECT k AS campaign_key, channel, guarded, round(cap + 3e-6, 2) AS cap, round(given + 3e-6, 2) AS allocated FROM given"""
     sql["allocation"] = _recursive(LATEST, ORIGINS, HISTORY, SPEND, LEAF, _greedy(), select=given)
     limits = """SELECT channel, CASE channel WHEN 'META_ADS' THEN round(0.7 * sum(pb), 2) WHEN 'MICROSOFT_ADS' THEN round(0.4 * sum(pb), 2) END AS low,
-  CASE channel WHEN 'SEARCH' THEN round(0.5 * sum(pb), 2) WHEN 'MICROSOFT_ADS' THEN round(0.9 * sum(pb), 2) END AS high FROM leaf WHERE h = 30 GROUP BY channel"""
+  CASE channel WHEN 'SEARCH' THEN round(0.8 * sum(pb), 2) WHEN 'MICROSOFT_ADS' THEN round(1.1 * sum(pb), 2) END AS high FROM leaf WHERE h = 30 GROUP BY channel"""
     sql["allocation_limits"] = _recursive(LATEST, ORIGINS, HISTORY, SPEND, LEAF, _greedy(limits), select=given)
+    sql["largest_allocations"] = _recursive(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        SPEND,
+        LEAF,
+        _greedy(limits),
+        "n AS (SELECT *, row_number() OVER (ORDER BY given DESC, k) AS position FROM given)",
+        select="SELECT CAST(position AS INTEGER) AS position, k AS campaign_key, channel, round(given + 3e-6, 2) AS allocated FROM n WHERE position <= 8",
+    )
+    sql["ordered_levels"] = _with(
+        LATEST,
+        ORIGINS,
+        HISTORY,
+        SPEND,
+        LEAF,
+        RANKS,
+        DRAWS,
+        "n AS (SELECT *, row_number() OVER (PARTITION BY h, level ORDER BY r50 DESC, channel, campaign_type, coalesce(k, '')) AS position FROM fc)",
+        select="""SELECT h AS horizon_days, level, CAST(position AS INTEGER) AS position, channel, campaign_type, id AS campaign_id, round(r50 + 3e-6, 2) AS expected_revenue FROM n""",
+    )
     sql["allocation_result"] = _recursive(
         LATEST,
         ORIGINS,
