@@ -29,10 +29,15 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
+def _without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """The rows whose key is not in ``dropped``, which is written first: while it is small, Spark sees that and moves no text."""
+    return rows.join(stage(dropped, "dropped"), row, "left_anti")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that no learned language explains, by the length of their code, and texts without a letter."""
     rows, row = _keyed(docs)
-    return rows.join(foreign(rows, key=row), row, "left_anti").select(docs.columns)
+    return _without(rows, foreign(rows, key=row), row).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop rows that hold a test item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, row = _keyed(docs)
-    return rows.join(contaminated(rows, benchmark, key=row).select(row).distinct(), row, "left_anti").select(docs.columns)
+    return _without(rows, contaminated(rows, benchmark, key=row).select(row).distinct(), row).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
