@@ -207,6 +207,36 @@ def test_jobs_of_an_allocation_do_not_follow_campaigns(spark):
     assert jobs[1] <= jobs[0] + 20
 
 
+def test_orders_and_largest_budgets(spark):
+    from mediacast.operators.allocate import Allocation, top_allocations
+
+    rng = random.Random(3)
+    rows = [("s", h, level, rng.choice("AB"), rng.choice("XY"), f"k{i:03}", float(rng.randint(0, 9))) for h in (30, 60) for level in ("campaign", "channel") for i in range(60)]
+    df = spark.createDataFrame(
+        rows, "scenario_id string, horizon_days int, level string, channel string, campaign_type string, campaign_key string, predicted_revenue_p50 double"
+    ).repartition(7)
+    for h, level in [(30, "campaign"), (60, "channel")]:
+        found = evidence.ordered_levels(df).where(f"horizon_days = {h} AND level = '{level}'").orderBy("position").collect()
+        own = sorted((-r[6], r[3], r[4], r[5]) for r in rows if r[1] == h and r[2] == level)
+        assert [(-r.predicted_revenue_p50, r.channel, r.campaign_type, r.campaign_key) for r in found] == own and [r.position for r in found] == list(range(1, 61))
+    assert evidence.ordered_levels(df.limit(0)).count() == 0
+    plan = spark.createDataFrame([(f"k{i}", "A", float(i % 5)) for i in range(20)], "campaign_key string, channel string, allocated double")
+    top = [(r.position, r.campaign_key) for r in top_allocations(Allocation(plan, "x", 0, 0), 6).orderBy("position").collect()]
+    assert top == [(1, "k14"), (2, "k19"), (3, "k4"), (4, "k9"), (5, "k13"), (6, "k18")]
+
+
+def test_health_lists(spark):
+    from mediacast.operators.quality import BLOCKER, WARNING, health_lists
+
+    def lists(rows):
+        return health_lists(spark.createDataFrame(rows, "rule string, severity string, column_name string, violations long")).first().asDict()
+
+    rules = [("missing_budget", WARNING, "configured_budget", 3), ("null", BLOCKER, "date", 0), ("semantics_unreviewed", WARNING, "quality_flags", 2)]
+    expected = {"warnings": ["missing_budget in configured_budget: 3", "semantics_unreviewed in quality_flags: 2"], "blockers": [], "planning_defaults": ["missing_budget in configured_budget: 3"]}
+    assert lists(rules) == {**expected, "status": "warning"}
+    assert lists([*rules, ("no_rows", BLOCKER, "*", 1)])["status"] == "blocked" and lists(rules[1:2]) == {"warnings": [], "blockers": [], "planning_defaults": [], "status": "healthy"}
+
+
 def test_infeasible_requests(spark):
     leaves = spark.createDataFrame([("s:1", "A", 1000.0, 3000.0, "")], "campaign_key string, channel string, planned_budget double, predicted_revenue_p50 double, quality_flags string")
     for request in (

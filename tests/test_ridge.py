@@ -17,6 +17,7 @@ from mediacast.operators.ridge import (
     CALIBRATION,
     FINAL,
     blend_weights,
+    eliminated,
     expert_fits,
     fit_statistics,
     gram_cells,
@@ -134,6 +135,18 @@ def test_out_of_fold_path_never_sees_the_future(trained):
             np.testing.assert_allclose(got, expected, rtol=1e-6, atol=1e-7)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 30])
+def test_elimination(spark, size):
+    rng = np.random.default_rng(size)
+    root = rng.normal(size=(size + 3, size)) * np.exp(rng.normal(size=size))
+    left, right = root.T @ root + np.eye(size) * 0.1, rng.normal(size=size)
+    rows = np.column_stack([left, right]).tolist()
+    df = spark.createDataFrame([(rows,)], "a array<array<double>>")
+    solved = df.select(eliminated(F.col("a"), F.size("a")).alias("a")).first().a
+    np.testing.assert_allclose([row[-1] for row in solved], np.linalg.solve(left, right), rtol=1e-8, atol=1e-10)
+    np.testing.assert_allclose([row[:-1] for row in solved], np.eye(size), atol=1e-9)
+
+
 def test_factor_weights(spark):
     rng = np.random.default_rng(3)
     rows = []
