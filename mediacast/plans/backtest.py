@@ -20,6 +20,7 @@ from mediacast.operators.evaluate import (
 from mediacast.operators.rollup import hierarchy_forecast
 from mediacast.plans.fit import Fit, fit, plain_leaves
 from mediacast.session import stage
+from mediacast.sources.store import manifest, report_document
 
 DEFAULT_FOLDS = 6
 
@@ -49,6 +50,12 @@ def calibration_samples(models: DataFrame) -> DataFrame:
     )
 
 
+def backtest_document(result: Backtest, facts: DataFrame, report_id: str, model_id: str) -> DataFrame:
+    """The back-test as one document with the provenance of its data and models, to be saved with ``store.save_report``."""
+    tables = {"horizons": result.report, "coverage": result.coverage, "reliability": result.reliability}
+    return report_document(tables, stage(manifest(result.fit.models, facts), "manifest"), report_id, model_id)
+
+
 def backtest(
     facts: DataFrame,
     *,

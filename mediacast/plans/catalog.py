@@ -6,6 +6,7 @@ cents or finer and ratios to six or more digits, so that sums added up in anothe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +54,8 @@ from mediacast.operators.training import FEATURES, SHARED, cutoff_counts, purged
 from mediacast.plans.backtest import backtest
 from mediacast.plans.fit import fit, plain_leaves
 from mediacast.plans.forecast import channel_plan, forecast, latest_slices, scenario_leaves, statistical_models
-from mediacast.session import stage
+from mediacast.session import stage, staging_folder
+from mediacast.sources import store
 from mediacast.sources.exports import recent_window
 from mediacast.sources.lineitem import campaign_days, raw_exports
 from mediacast.sources.predictions import FORECAST_V1, as_text, ordered, validated
@@ -660,11 +662,29 @@ def results_per_fold(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("horizon_days", "origin", "fold", *columns, "modeled_target_probability", "actual_target_hit"), columns)
 
 
+_REPORT_COLUMNS = [
+    "horizon_days", "folds", "revenue_interval_coverage", "revenue_coverage_low", "revenue_coverage_high", "roas_interval_coverage", "revenue_wape",
+]
+
+
 def report_per_horizon(spark: SparkSession, folder: str) -> DataFrame:
-    return horizon_report(_fold_results(spark, folder), 6).select(
-        "horizon_days", "folds", "revenue_interval_coverage", "revenue_coverage_low", "revenue_coverage_high",
-        "roas_interval_coverage", "revenue_wape",
-    )
+    return horizon_report(_fold_results(spark, folder), 6).select(*_REPORT_COLUMNS)
+
+
+def evaluation_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The report per horizon from a document that was published, read back and found to be about this data and model."""
+    facts, folds, rows = _fold_forecast(spark, folder)
+    results = stage(fold_results(rows, folds, target_actuals(facts, folds)), "fold_results")
+    calendar = cal.staged_calendar(facts)
+    card = stage(store.manifest(stage(statistical_models(calendar, latest_slices(calendar)), "models"), facts), "manifest")
+    document = store.report_document({"horizons": horizon_report(results, 6), "reliability": target_reliability(results)}, card, "report", "served")
+    target = f"{staging_folder(spark)}/report-{uuid.uuid4().hex}"
+    store.save_report(document, target)
+    loaded = store.load_report(spark, target, card.first().training_data_fingerprint)
+    in_use = card.select(F.lit("served").alias("model_id"), F.col("training_data_fingerprint").alias("data_fingerprint"), *evidence.PROVENANCE)
+    # one row
+    status = evidence.trust(loaded, in_use).select("status")
+    return store.report_table(loaded, "horizons").select(*_REPORT_COLUMNS).join(F.broadcast(status))
 
 
 def reliability(spark: SparkSession, folder: str) -> DataFrame:
@@ -824,6 +844,7 @@ def queries() -> dict[str, Query]:
         "backtest_coverage": backtest_coverage,
         "fold_results": results_per_fold,
         "horizon_report": report_per_horizon,
+        "evaluation_document": evaluation_document,
         "target_reliability": reliability,
         "ordered_levels": ordered_levels,
         "decision_rows": decision_rows,

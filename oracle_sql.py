@@ -939,6 +939,7 @@ res AS (SELECT f.h, f.o, f.fold, a.ar, a.asp, a.ar / a.asp AS aq, p.r10, p.r50,
         select=f"""SELECT h AS horizon_days, n AS folds, round(CAST(rh AS DOUBLE) / n, 4) AS revenue_interval_coverage, {wilson('rh', 'n', '-')} AS revenue_coverage_low,
   {wilson('rh', 'n', '+')} AS revenue_coverage_high, round(CAST(qh AS DOUBLE) / n, 4) AS roas_interval_coverage, wape AS revenue_wape FROM c""",
     )
+    sql["evaluation_document"] = f"SELECT *, 'available' AS status FROM ({sql['horizon_report']})"
     sql["target_reliability"] = _with(
         FOLDS,
         ORIGINS,

@@ -244,8 +244,10 @@ def test_recent_windows_of_all_sources(spark, tmp_path):
 
 
 def test_report_document(spark, tmp_path, make_facts):
-    from mediacast.operators.evidence import trust
     from mediacast.operators.calendar import portfolio_calendar
+    from mediacast.operators.evidence import trust
+    from mediacast.plans.backtest import Backtest, backtest_document
+    from mediacast.plans.fit import Fit
     from mediacast.plans.forecast import latest_slices, statistical_models
     from mediacast.session import stage
 
@@ -264,6 +266,10 @@ def test_report_document(spark, tmp_path, make_facts):
     assert trust(document, in_use.withColumn("artifact_sha256", F.lit("other"))).first().reason == "differs:artifact_sha256"
     with pytest.raises(ContractError, match="other data"):
         store.load_report(spark, folder, "other")
+    whole = Backtest(None, Fit(calendar, None, models, None, None, None), None, None, None, report, report.limit(1), report)
+    written = backtest_document(whole, facts, "r2", "m1")
+    assert written.first().data_fingerprint == mark and written.first().report_id == "r2"
+    assert sorted(store.report_table(written, "reliability").collect()) == sorted(report.collect()) and store.report_table(written, "coverage").count() == 1
     changed = document.withColumn("horizons", F.transform("horizons", lambda r: r.withField("wape", r["wape"] + 1e-9)))
     files.replace_folder(stage(changed, "changed"), folder)
     with pytest.raises(ContractError, match="fingerprint"):
