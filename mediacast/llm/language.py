@@ -187,17 +187,29 @@ def predicted(docs: DataFrame, trees: ContextTrees, key: str = "doc_id", text: s
     return rows.mapInArrow(scores, f"key {kind}, lang_pred string, score double, bits double, typical_bits double").withColumnRenamed("key", key)
 
 
-def foreign(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", times: float = FOREIGN_TIMES, bits: float = FOREIGN_BITS) -> DataFrame:
-    """``(key)`` of the rows that no learned language explains: null texts, texts without a letter, and texts whose code is longer
-    than ``times`` what is typical of the predicted language and ``bits`` more, which is room for short texts.
+def familiar(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", times: float = FOREIGN_TIMES, bits: float = FOREIGN_BITS) -> DataFrame:
+    """The rows of ``docs`` that a learned language explains, as they are.
 
-    If nothing was learned, texts with a letter are not foreign.
+    Null texts, texts without a letter, and texts whose code is longer than ``times`` what is typical of the predicted language and
+    ``bits`` more, which is room for short texts, are left out. If nothing was learned, all texts with a letter stay. A row is
+    decided where it is read: nothing is joined or shuffled, whatever its key is.
     """
     trees = learned(docs, key, text, lang)
+    rows = docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     if not trees.languages:
-        return docs.where(~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).select(key)
-    rows = predicted(docs, trees, key, text)
-    return rows.where((F.col("lang_pred") == UNKNOWN) | (F.col("bits") > times * F.col("typical_bits") + bits)).select(key)
+        return rows
+    shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text)
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
+        place = gram_places(trees)
+        for batch in batches:
+            if batch.num_rows:
+                lengths = code_lengths(trees, batch.column(at), place)
+                typical = trees.typical[lengths.argmin(axis=1)] * pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(lengths.min(axis=1) <= times * typical + bits))
+
+    return rows.mapInArrow(explained, docs.schema)
 
 
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees:
