@@ -1,7 +1,7 @@
 """A training corpus from ``documents`` in five stages; every stage works on all that its predecessor kept.
 
-A stage that drops rows first writes them with a key of its own, which no other row has, and asks the operator about that one.
-So rows that share a doc_id, or have none, are kept or dropped each for its own text.
+The language stage decides every row where it is read. The two stages after it first write the rows with a key that no other row
+has, and ask the operator about that one. So rows that share a doc_id, or have none, are kept or dropped each for its own text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacast.llm.decontaminate import contaminated
-from mediacast.llm.language import foreign
+from mediacast.llm.language import familiar
 from mediacast.llm.mixing import mixed
 from mediacast.llm.ngram_join import near_duplicates
 from mediacast.llm.secrets import masked
@@ -36,8 +36,7 @@ def _without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that no learned language explains, by the length of their code, and texts without a letter."""
-    rows, row = _keyed(docs)
-    return _without(rows, foreign(rows, key=row), row).select(docs.columns)
+    return familiar(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
