@@ -11,7 +11,6 @@ shingles, shingles of the whole item count instead. Quotes, brackets and sentenc
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
