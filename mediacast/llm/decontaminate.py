@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediacast.llm.word_hashes import shingles, text_chunks, words
-from mediacast.session import stage
+from mediacast.session import bounded_batches, stage
 
 K1, B = 1.2, 0.75
 SHARE = 0.6
@@ -328,6 +328,7 @@ def contaminated(
     told apart by their text and reported once under that id; items
     without one are reported under -1, -2 and so on, by text, below all ids. Other columns are not read. Without items the result is empty.
     """
+    docs = bounded_batches(docs)
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item long, score double, question_overlap double, answer_overlap double"

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediacast.llm.word_hashes import text_chunks
+from mediacast.session import bounded_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample per language, by the smallest hashes of the keys; texts are taken whole.
@@ -194,6 +195,7 @@ def familiar(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     ``bits`` more, which is room for short texts, are left out. If nothing was learned, all texts with a letter stay. A row is
     decided where it is read: nothing is joined or shuffled, whatever its key is.
     """
+    docs = bounded_batches(docs)
     trees = learned(docs, key, text, lang)
     rows = docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     if not trees.languages:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from mediacast.llm.components import components
 from mediacast.llm.word_hashes import mixed, shingle_sets
-from mediacast.session import stage
+from mediacast.session import bounded_batches, stage
 
 WORDS = 5
 PERCENT = 80
@@ -70,7 +70,11 @@ def frequent_shingles(docs: DataFrame, text: str, words: int = WORDS, least: int
     bits = fragment_bits(docs)
 
     def flushed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        whole = np.concatenate(held)
+        held.clear()
+        whole.sort()
+        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        keys, counts = whole[first], np.diff(first, append=len(whole))
         bounds = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
         rows = [i for i in range(1 << bits) if bounds[i] < bounds[i + 1]]
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -309,6 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     one document: they share a component. A null key keeps its row and gets its component from its links, null without
     any. Other columns are not read. An empty table gives an empty table.
     """
+    docs = bounded_batches(docs)
     frequent = stage(frequent_shingles(docs, text, words), "frequent")
     sets = stage(text_sets(docs, key, text, bounded_order(frequent), words), "sets")
     owners = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("id").alias("id"))

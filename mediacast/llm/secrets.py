@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediacast.session import bounded_batches
+
 # Fixed values of the three base kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -221,4 +223,4 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             columns[place] = pa.array(out, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return bounded_batches(docs).mapInArrow(mask, docs.schema)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to Python at once. A batch is held several times over, in the JVM and in the worker, by every running task.
+BATCH_BYTES = 4 << 20
 
 
 def build_session(app_name: str = "mediacast", master: str | None = None, **settings: str) -> SparkSession:
@@ -38,6 +41,17 @@ def staging_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Python functions get their rows about ``BATCH_BYTES`` at a time; a longer row stands alone.
+
+    Spark's own bound is 10,000 rows or 64 MB, which for texts is tens of megabytes. The setting holds for the session from here on,
+    as plans are made when they run; a value that the session already has stays.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mediacast.llm import decontaminate, embedding_forest, language, mixing, ngram_join, quality_rules, secrets, token_counts, url_filter, warc
 from mediacast.llm.components import components
+from mediacast.session import BATCH_SETTING
 
 FOLDER = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,6 +120,34 @@ def test_ngram_join_against_all_pairs(spark):
         ngram_join.HOT_LEVEL = level
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    rows = documents(spark, [(i, "some words of text %d " % i * 25_000) for i in range(16)]).withColumn("lang", F.lit("en")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    operators = {
+        "near duplicates": lambda: ngram_join.near_duplicates(rows),
+        "language": lambda: language.familiar(rows),
+        "benchmark": lambda: decontaminate.contaminated(rows, spark.createDataFrame([], "item_id long, text string")),
+        "secrets": lambda: secrets.masked(rows.select("doc_id", "text")),
+    }
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for name, operator in operators.items():
+            spark.conf.unset(BATCH_SETTING)
+            operator()
+            assert max(r["size"] for r in rows.select("text").mapInArrow(sizes, "size long").collect()) < 6 << 20, name
+        spark.conf.set(BATCH_SETTING, "1000000")  # a value of the session stays
+        secrets.masked(rows)
+        assert spark.conf.get(BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
