@@ -5,8 +5,8 @@ the fullest sequence it fits in. Sequences with the same content are one group w
 groups: the plan's size follows the number of lengths, not of documents. The pieces then take the planned slots: pieces of one length
 are ranked, in buckets of bounded size, and joined with the rank ranges of the plan.
 
-Texts are cut before single spaces and at other places where the byte-level pre-tokeniser always cuts as well, and every distinct cut
-is encoded once for a while; the ids of a text are those of its cuts in a row.
+Texts are cut before single spaces and line breaks and at other places where the byte-level pre-tokeniser always cuts as well, and every
+distinct cut is encoded once for a while; the ids of a text are those of its cuts in a row.
 """
 
 from __future__ import annotations
@@ -48,20 +48,24 @@ _LONG = 1 << 12
 
 
 class TextIds:
-    """Ids of whole texts as little-endian 32-bit numbers, from the ids of their cuts. Memory is bounded by what is kept."""
+    """Ids of whole texts as little-endian 32-bit numbers, from the ids of their cuts.
+
+    Memory is bounded by what is kept: at half the bound all cuts grow old, and old ones that are not met again by the next time are forgotten.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         self.encoder = encoder(vocabulary)
-        self.spaced: dict[str, bytes] = {}  # what follows a space, which counts to it
+        self.spaced: dict[str, bytes] = {}  # what follows a space, which counts to it, and cuts that begin with a line break
         self.bare: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.held = 0
         starts = [i for token, i in self.encoder.get_vocab().items() if token.startswith("Ġ")]
         self.starts_word = np.zeros(self.encoder.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.starts_word[starts] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.held > _KEPT_BYTES:
-            self.spaced, self.bare, self.held = {}, {}, 0
+        if self.held > _KEPT_BYTES // 2:
+            self.old, self.spaced, self.bare, self.held = (self.spaced, self.bare), {}, {}, 0
         cut = [_cuts(text) for text in texts]
         found = [list(map(self.spaced.get, rest)) for _, rest in cut]
         missing = [() if all(own) else [i for i, x in enumerate(own) if not x] for own in found]
@@ -76,21 +80,32 @@ class TextIds:
     def _learned(self, spaced: set[str], bare: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """Keep the ids of these cuts; those too long to keep are returned."""
         passing: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        spaced, bare = self._remembered(self.spaced, self.old[0], spaced), self._remembered(self.bare, self.old[1], bare)
         words = {c for c in spaced if c.isalpha()}
-        cuts, heads = {c: _atoms(c) for c in spaced - words}, {c: _atoms(c) for c in bare}
+        lines = {c: (c[0], *_atoms(c[1:])) for c in spaced if c[0] == "\n"}
+        cuts, heads = {c: _atoms(c) for c in spaced.difference(words, lines)}, {c: _atoms(c) for c in bare}
         words.update(parts[0] for parts in cuts.values())
-        words.difference_update(self.spaced)
-        others = {a for parts in cuts.values() for a in parts[1:]} | {a for parts in heads.values() for a in parts}
-        others.difference_update(self.bare)
+        words = self._remembered(self.spaced, self.old[0], words)
+        others = {a for parts in cuts.values() for a in parts[1:]}
+        others.update(a for some in (heads, lines) for parts in some.values() for a in parts)
+        others = self._remembered(self.bare, self.old[1], others)
         self._keep(self.spaced, passing[0], self._encoded_words(words))
         self._keep(self.bare, passing[1], self._encoded(list(others)))
         first, rest = (ChainMap(x, y) if x else y for x, y in zip(passing, (self.spaced, self.bare)))
         composed = {c: b"".join([first[parts[0]], *[rest[a] for a in parts[1:]]]) for c, parts in cuts.items() if len(parts) > 1}
+        composed.update((c, b"".join([rest[a] for a in parts])) for c, parts in lines.items())
         self._keep(self.spaced, passing[0], [(list(composed), list(composed.values()))])
         composed = {c: b"".join([rest[a] for a in parts]) for c, parts in heads.items() if len(parts) > 1}
         self._keep(self.bare, passing[1], [(list(composed), list(composed.values()))])
         return passing
 
+    def _remembered(self, kept: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> set[str]:
+        """Those of the wanted cuts that are neither kept nor old; the old ones are kept from now on."""
+        wanted = wanted.difference(kept)  # this looks up the smaller side, an update would go over all that is kept
+        again = [c for c in wanted if c in old] if old else []
+        self._keep(kept, kept, [(again, [old[c] for c in again])])
+        return wanted.difference(again)
+
     def _keep(self, kept: dict[str, bytes], passing: dict[str, bytes], found: Iterable[tuple[list[str], list[bytes]]]) -> None:
         for pieces, ids in found:
             if pieces and max(map(len, pieces)) > _KEPT_CUT:
@@ -126,13 +141,24 @@ _known: dict[str, TextIds] = {}
 
 
 def _cuts(text: str) -> tuple[str, list[str]]:
-    """What stands before the first cut, and what follows the space of every cut."""
+    """What stands before the first cut, and what follows the space of every cut, or begins with its line break."""
     if not text:
         return "", []
-    first, *rest = _SPACE.split(text) if text[-1] == " " or _DOUBTFUL.search(text) else text.split(" ")
+    first, *rest = _SPACE.split(text) if text[-1] == " " or _DOUBTFUL.search(text) else _broken(text).split(" ")
     return first, rest
 
 
+def _broken(text: str) -> str:
+    """The text with a space before its line breaks, if all of them are between two characters that are no white space.
+
+    No other cut begins with a line break, as what follows a space that is cut is no white space.
+    """
+    lines = text.split("\n")
+    if len(lines) == 1 or any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return text
+    return " \n".join(lines)
+
+
 def _atoms(cut: str) -> tuple[str, ...]:
     """The cut at a single line break, and before closing marks behind a letter; tokens never reach over these places.
 

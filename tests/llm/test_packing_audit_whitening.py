@@ -94,6 +94,38 @@ def test_ids_of_cuts_are_ids_of_texts(monkeypatch):
     assert ids.ids(texts) == ids.ids(texts) == expected
 
 
+def test_line_breaks_begin_cuts():
+    assert packing._cuts("one two.\nThree four") == ("one", ["two.", "\nThree", "four"])
+    assert packing._cuts("one\n two") == ("one\n", ["two"])
+    rng = random.Random(4)
+    parts = [" ", "\n", "a", "Bc", "1", "'s", "é", "中文", "<|endoftext|>", ".", "!!", "\x1c", "\x85", "\u2028", "-", ",", "x" * 50]
+    texts = ["".join(rng.choice(parts) + rng.choice(("a", ".", "'t", "9", "Ü")) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    assert sum(t != packing._broken(t) for t in texts) > 500
+    ids = packing.TextIds(packing.VOCABULARY)
+    assert ids.ids(texts) == [np.array(own, "<u4").tobytes() for own in library_ids(texts)]
+
+
+def test_cuts_that_are_met_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT_BYTES", 40_000)
+    ids, rng, seen = packing.TextIds(packing.VOCABULARY), random.Random(6), Counter()
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            seen.update(word for text in texts for word in text.split())
+            return self.own.encode_batch_fast(texts, **options)
+
+    ids.encoder, most = Counting(ids.encoder), 0
+    for _ in range(40):
+        texts = ["often " + " ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(30)) + " usual words"]
+        assert ids.ids(texts) == [np.array(own, "<u4").tobytes() for own in library_ids(texts)]
+        most = max(most, len(ids.spaced) + len(ids.old[0]))
+    assert sum(seen.values()) > 1000 and most < 400
+    assert seen["usual"] == seen["words"] == 1
+
+
 def test_packing_of_edge_cases(spark):
     texts = [None, "", " ", "one two", "one two", "a" * 3000, "word " * 1023, "word " * 1022 + "word", "1a" * 40_000, "x y " * 2048, "\n\n", "<|endoftext|>"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (None, "no key"), (None, "no key")]
