@@ -132,23 +132,27 @@ def train(texts: dict[str, list[bytes]]) -> ContextTrees:
     return ContextTrees(languages, symbols, grams, seen, escapes, shorter, typical)
 
 
-def gram_places(trees: ContextTrees) -> np.ndarray:
-    """Row of every possible gram in ``seen``, -1 if none: 64 MB, built in milliseconds and held by a task while it scores."""
-    place = np.full(_SYMBOLS**4, -1, np.int32)
-    place[trees.grams] = np.arange(len(trees.grams), dtype=np.int32)
-    return place
+def gram_places(trees: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
+    """By context of three: the row in ``seen`` of its first gram, and the symbols seen behind it as bits. That is 3 MB, where a row
+    number for every possible gram would be 64 MB in every running task."""
+    contexts = trees.grams >> np.uint32(6)
+    behind = np.zeros(_SYMBOLS**3, np.uint64)
+    np.bitwise_or.at(behind, contexts, np.uint64(1) << (trees.grams & np.uint32(_SYMBOLS - 1)).astype(np.uint64))
+    return np.searchsorted(contexts, np.arange(_SYMBOLS**3)).astype(np.int32), behind
 
 
-def code_lengths(trees: ContextTrees, texts: pa.Array, place: np.ndarray) -> np.ndarray:
+def code_lengths(trees: ContextTrees, texts: pa.Array, place: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """``[row, language]`` bits of the whole texts."""
-    out = np.zeros((len(texts), len(trees.languages)))
+    out, (start, behind) = np.zeros((len(texts), len(trees.languages))), place
     for first, data, offsets in text_chunks(texts):
         if not len(data):
             continue
         code = _grams(data, offsets, trees.symbols)
-        at = place[code]
-        bits = trees.seen[np.maximum(at, 0)] if len(trees.seen) else np.zeros((len(code), len(trees.languages)), np.float32)
-        missing = np.flatnonzero(at < 0)
+        contexts = code >> np.uint32(6)
+        symbols, own = behind[contexts], np.uint64(1) << (code & np.uint32(_SYMBOLS - 1)).astype(np.uint64)
+        at = start[contexts] + np.bitwise_count(symbols & (own - np.uint64(1)))
+        bits = trees.seen[np.minimum(at, len(trees.seen) - 1)] if len(trees.seen) else np.zeros((len(code), len(trees.languages)), np.float32)
+        missing = np.flatnonzero((symbols & own) == 0)
         if len(missing):
             new = code[missing]
             bits[missing] = trees.escapes[new >> np.uint32(6)] + trees.shorter[new & np.uint32(_SYMBOLS**3 - 1)]

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: NumPy holds about a hundred bytes for each of these in every running task.
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(first row, bytes, row offsets)`` of about a megabyte each; a longer text is a chunk of its own. Null is empty."""
+    """``(first row, bytes, row offsets)`` of about ``CHUNK_BYTES`` each; a longer text is a chunk of its own. Null is empty."""
     binary = texts.cast(pa.large_binary()) if texts.null_count == 0 else texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
     data = np.frombuffer(binary.buffers()[2], np.uint8) if binary.buffers()[2] is not None else np.zeros(0, np.uint8)
