@@ -39,12 +39,16 @@ _ENCODE = 20_000
 _JOINED = 200
 # no apostrophe, which may start a token of letters, and no mark of a special token
 _CLOSING = ".,;:!?$%&#*)]}\""
+# closing marks at the end of a cut, behind a letter or digit
+_ENDS = re.compile(r"[.,;:!?$%&#*)\]}\"](?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ].)[.,;:!?$%&#*)\]}\"]*(?![^ ])")
 # a space before something that is no white space starts a token of its own, whatever stands before it
 _SPACE = re.compile(r" (?=\S)")
 _DOUBTFUL = re.compile(r" (?!\S)")
 # inside long cuts: before white space, and between an ASCII letter and a digit
 _INSIDE = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _LONG = 1 << 12
+# what follows a space that is cut is no white space, so this tells the cuts without a space before them
+_BARE = "\t"
 
 
 class TextIds:
@@ -55,96 +59,97 @@ class TextIds:
 
     def __init__(self, vocabulary: str) -> None:
         self.encoder = encoder(vocabulary)
-        self.spaced: dict[str, bytes] = {}  # what follows a space, which counts to it, and cuts that begin with a line break
-        self.bare: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.spaced: dict[str, bytes] = {}  # what follows a space, which counts to it; other cuts behind ``_BARE``
+        self.old: list[dict[str, bytes]] = [{}]  # one generation
         self.held = 0
-        starts = [i for token, i in self.encoder.get_vocab().items() if token.startswith("Ġ")]
-        self.starts_word = np.zeros(self.encoder.get_vocab_size(with_added_tokens=True) + 1, bool)
-        self.starts_word[starts] = True
+        size = self.encoder.get_vocab_size(with_added_tokens=True) + 1
+        self.starts_word, self.breaks_line = np.zeros(size, bool), np.zeros(size, bool)
+        self.starts_word[[i for token, i in self.encoder.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.breaks_line[self.encoder.encode("\n", add_special_tokens=False).ids] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.held > _KEPT_BYTES // 2:
-            self.old, self.spaced, self.bare, self.held = (self.spaced, self.bare), {}, {}, 0
-        cut = [_cuts(text) for text in texts]
-        found = [list(map(self.spaced.get, rest)) for _, rest in cut]
-        missing = [() if all(own) else [i for i, x in enumerate(own) if not x] for own in found]
-        new = {rest[i] for (_, rest), at in zip(cut, missing) for i in at}
-        passing = self._learned(new, {first for first, _ in cut if first and first not in self.bare})
-        spaced, bare = (ChainMap(x, self.spaced if i == 0 else self.bare) if x else (self.spaced, self.bare)[i] for i, x in enumerate(passing))
-        for (_, rest), own, at in zip(cut, found, missing):
+            self.old, self.spaced, self.held = [self.spaced], {}, 0
+        cut = [[_BARE + first, *rest] if first else rest for first, rest in (_cuts(text, ends=True) for text in texts)]
+        found = [list(map(self.spaced.get, own)) for own in cut]
+        missing = [[i for i, x in enumerate(own) if x is None] if None in own else () for own in found]
+        ids = self._learned({own[i] for own, at in zip(cut, missing) for i in at})
+        for own, ready, at in zip(cut, found, missing):
             for i in at:
-                own[i] = spaced[rest[i]]
-        return [(bare[first] if first else b"") + b"".join(own) for (first, _), own in zip(cut, found)]
-
-    def _learned(self, spaced: set[str], bare: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Keep the ids of these cuts; those too long to keep are returned."""
-        passing: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        spaced, bare = self._remembered(self.spaced, self.old[0], spaced), self._remembered(self.bare, self.old[1], bare)
-        words = {c for c in spaced if c.isalpha()}
-        lines = {c: (c[0], *_atoms(c[1:])) for c in spaced if c[0] == "\n"}
-        cuts, heads = {c: _atoms(c) for c in spaced.difference(words, lines)}, {c: _atoms(c) for c in bare}
-        words.update(parts[0] for parts in cuts.values())
-        words = self._remembered(self.spaced, self.old[0], words)
-        others = {a for parts in cuts.values() for a in parts[1:]}
-        others.update(a for some in (heads, lines) for parts in some.values() for a in parts)
-        others = self._remembered(self.bare, self.old[1], others)
-        self._keep(self.spaced, passing[0], self._encoded_words(words))
-        self._keep(self.bare, passing[1], self._encoded(list(others)))
-        first, rest = (ChainMap(x, y) if x else y for x, y in zip(passing, (self.spaced, self.bare)))
-        composed = {c: b"".join([first[parts[0]], *[rest[a] for a in parts[1:]]]) for c, parts in cuts.items() if len(parts) > 1}
-        composed.update((c, b"".join([rest[a] for a in parts])) for c, parts in lines.items())
-        self._keep(self.spaced, passing[0], [(list(composed), list(composed.values()))])
-        composed = {c: b"".join([rest[a] for a in parts]) for c, parts in heads.items() if len(parts) > 1}
-        self._keep(self.bare, passing[1], [(list(composed), list(composed.values()))])
-        return passing
-
-    def _remembered(self, kept: dict[str, bytes], old: dict[str, bytes], wanted: set[str]) -> set[str]:
+                ready[i] = ids[own[i]]
+        return [b"".join(ready) for ready in found]
+
+    def _learned(self, new: set[str]) -> Mapping[str, bytes]:
+        """Keep the ids of these cuts but of those too long to keep, and return all that is known now."""
+        passing: dict[str, bytes] = {}
+        new = self._remembered(new)
+        words = {c for c in new if c.isalpha()}
+        parts = {c: _parts(c) for c in new.difference(words)}
+        words.update(self._remembered({x for own in parts.values() for x in own}))
+        self._keep(passing, self._encoded(words))
+        ids = ChainMap(passing, self.spaced) if passing else self.spaced
+        composed = {c: b"".join([ids[x] for x in own]) for c, own in parts.items() if len(own) > 1}
+        self._keep(passing, [(list(composed), list(composed.values()))])
+        return ChainMap(passing, self.spaced) if passing else self.spaced
+
+    def _remembered(self, wanted: set[str]) -> set[str]:
         """Those of the wanted cuts that are neither kept nor old; the old ones are kept from now on."""
-        wanted = wanted.difference(kept)  # this looks up the smaller side, an update would go over all that is kept
+        wanted = wanted.difference(self.spaced)  # this looks up the smaller side, an update would go over all that is kept
+        old = self.old[0]
         again = [c for c in wanted if c in old] if old else []
-        self._keep(kept, kept, [(again, [old[c] for c in again])])
+        self._keep({}, [(again, [old[c] for c in again])])
         return wanted.difference(again)
 
-    def _keep(self, kept: dict[str, bytes], passing: dict[str, bytes], found: Iterable[tuple[list[str], list[bytes]]]) -> None:
+    def _keep(self, passing: dict[str, bytes], found: Iterable[tuple[list[str], list[bytes]]]) -> None:
         for pieces, ids in found:
             if pieces and max(map(len, pieces)) > _KEPT_CUT:
                 passing.update((p, own) for p, own in zip(pieces, ids) if len(p) > _KEPT_CUT)
                 pieces, ids = zip(*[(p, own) for p, own in zip(pieces, ids) if len(p) <= _KEPT_CUT] or [("", b"")])
-            kept.update(zip(pieces, ids))
+            self.spaced.update(zip(pieces, ids))
             self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 160 * len(pieces)
 
-    def _encoded_words(self, words: set[str]) -> Iterator[tuple[list[str], list[bytes]]]:
-        """Words with their ids behind a space. Words of letters are encoded many to a text and told apart by their first tokens."""
-        plain, alone = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for some in (groups[i : i + 64] for i in range(0, len(groups), 64)):
-            for group, result in zip(some, self.encoder.encode_batch_fast([" " + " ".join(g) for g in some], add_special_tokens=False)):
-                ids = np.array(result.ids, "<u4")
-                starts = np.flatnonzero(self.starts_word[ids])
-                if len(starts) == len(group) and starts[0] == 0:  # every word has such a token, so each has exactly one
-                    data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    yield group, [data[i:j] for i, j in pairwise(bounds)]
-                else:
-                    alone.extend(group)
-        for pieces, ids in self._encoded([" " + w for w in alone]):
-            yield [p[1:] for p in pieces], ids
-
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
-        for start in range(0, len(pieces), _ENCODE):
-            some = pieces[start : start + _ENCODE]
-            yield some, [np.array(r.ids, "<u4").tobytes() for r in self.encoder.encode_batch_fast(some, add_special_tokens=False)]
+    def _encoded(self, cuts: set[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Cuts with their ids. Words of letters are encoded many to a text and told apart by the tokens that begin with the space or
+        line break before each of them."""
+        spaced, bare = [c for c in cuts if c.isalpha()], [c for c in cuts if c[0] == _BARE and c[1:].isalpha()]
+        alone = list(cuts.difference(spaced, bare))
+        for words, before, firsts in ((spaced, " ", self.starts_word), ([c[1:] for c in bare], "\n", self.breaks_line)):
+            mark, own = ("", 0) if before == " " else (_BARE, 1)  # a space belongs to the first token of its word
+            groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+            for some in (groups[i : i + 64] for i in range(0, len(groups), 64)):
+                for group, result in zip(some, self.encoder.encode_batch_fast([before + before.join(g) for g in some], add_special_tokens=False)):
+                    ids = np.array(result.ids, "<u4")
+                    starts = np.flatnonzero(firsts[ids])
+                    keys = [mark + w for w in group] if mark else group
+                    if len(starts) == len(group) and starts[0] == 0:  # every word has such a token, so each has exactly one
+                        data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                        yield keys, [data[i + 4 * own : j] for i, j in pairwise(bounds)]
+                    else:
+                        alone.extend(keys)
+        for start in range(0, len(alone), _ENCODE):
+            some = alone[start : start + _ENCODE]
+            texts = [c[1:] if c[0] == _BARE else " " + c for c in some]
+            yield some, [np.array(r.ids, "<u4").tobytes() for r in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 #: One per vocabulary and worker, so that the tasks of a worker share what it knows.
 _known: dict[str, TextIds] = {}
 
 
-def _cuts(text: str) -> tuple[str, list[str]]:
-    """What stands before the first cut, and what follows the space of every cut, or begins with its line break."""
+def _cuts(text: str, ends: bool = False) -> tuple[str, list[str]]:
+    """What stands before the first cut, and what follows the space of every cut, or begins with its line break.
+
+    With ``ends``, closing marks at the end of a cut and these line breaks are cuts of their own, behind ``_BARE``.
+    """
     if not text:
         return "", []
-    first, *rest = _SPACE.split(text) if text[-1] == " " or _DOUBTFUL.search(text) else _broken(text).split(" ")
+    if text[-1] == " " or _DOUBTFUL.search(text):
+        first, *rest = _SPACE.split(text)
+    else:
+        text = _broken(text)
+        if ends:
+            text = _ENDS.sub(rf" {_BARE}\g<0>", text).replace(" \n", f" {_BARE}\n {_BARE}")
+        first, *rest = text.split(" ")
     return first, rest
 
 
@@ -159,6 +164,13 @@ def _broken(text: str) -> str:
     return " \n".join(lines)
 
 
+def _parts(cut: str) -> tuple[str, ...]:
+    """The cuts that a cut is made of, only the first of which may count a space."""
+    bare = cut[0] == _BARE
+    first, *rest = _atoms(cut[bare:])
+    return (_BARE + first if bare else first, *[_BARE + x for x in rest])
+
+
 def _atoms(cut: str) -> tuple[str, ...]:
     """The cut at a single line break, and before closing marks behind a letter; tokens never reach over these places.
 
@@ -211,7 +223,7 @@ def token_pieces(
     return docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pieces, fields)
 
 
-def _by_length(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def _by_length(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts, about ``limit`` characters at a time; a longer one stands alone."""
     first, batch, held = 0, [], 0
     for i, value in enumerate(texts):
