@@ -91,6 +91,8 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFr
     """The mix in order: ``(slot, number, rank, first, last)``, and the words of a block.
 
     ``first`` and ``last`` bound the words of the source's stream, counted on over its repetitions, that a slot takes.
+    There are as many slots as blocks of words in the mix, so the points are dealt out over tasks, and slots and schedule are
+    written: Spark cannot tell the size of rows that come from a few ranges, and would send them all by way of the driver.
     """
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
     bits = max(0, math.ceil(math.log2(max(budget / block_words, 1))))
@@ -106,17 +108,20 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFr
     )
     step = 1 << 16
     pieces = cut.select("number", "lo", "hi", "goal", F.explode(F.expr(f"sequence(lo div {step}, (hi - 1) div {step})")).alias("piece"))
+    tasks = min(math.ceil(points / step), int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = pieces.repartition(tasks) if tasks > 1 else pieces
     grid = pieces.select(
         "number", F.col("hi") - F.col("lo"), "goal",
         F.explode(F.expr(f"sequence(greatest(lo, piece * {step}), least(hi, (piece + 1) * {step}) - 1)")).alias("point"),
     ).toDF("number", "slots", "goal", "point")
     reverse = F.conv(F.reverse(F.lpad(F.bin("point"), max(bits, 1), "0")), 2, 10).cast("long")
-    slots = grid.withColumn("slot", reverse).drop("point")
+    slots = stage(grid.withColumn("slot", reverse).drop("point"), "slots")
     bucket = F.shiftright("slot", max(bits - 12, 0)).cast("int")
     ranked = _running(slots, "number", ["slot"], bucket, F.lit(1), "rank")
     first = F.col("rank") * block
     last = F.when(F.col("rank") == F.col("slots") - 1, F.col("goal")).otherwise(F.least(first + block, "goal"))
-    return ranked.select("slot", "number", "rank", first.alias("first"), last.alias("last")).where("first < last"), block
+    rows = ranked.select("slot", "number", "rank", first.alias("first"), last.alias("last")).where("first < last")
+    return stage(rows, "schedule"), block
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
