@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of rows that go to Python at once. A batch is held several times over, in the JVM and in the worker, by every running task.
 BATCH_BYTES = 4 << 20
 
@@ -52,13 +55,43 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs in here go when it ends, not when the driver collects its garbage.
+
+    A value that the session already has stays.
+    """
+    if spark.conf.get(CLEANUP_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP_SETTING)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage behind it, survives lost executors, prunes columns and pushes
     filters down, and has a real size, so that Spark broadcasts it only when it is small.
+    Nothing reads the shuffle files of the write again, so they are dropped with it.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the tables that ``stage`` wrote for ``df``, once nothing reads them any longer."""
+    spark = df.sparkSession
+    jvm, top = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in sorted({f.rpartition("/")[0] for f in df.inputFiles()}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        if not fs.makeQualified(path).getParent().equals(fs.makeQualified(top)):
+            raise ValueError(f"{folder} is not a staged table")
+        fs.delete(path, True)
