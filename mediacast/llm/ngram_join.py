@@ -3,21 +3,24 @@
 The global order puts rare shingles first: by the logarithm of the number of documents that hold them, then by
 hash. It is found by cutting the hash range into fragments and counting each on its own. A pair at or above the
 threshold shares a shingle among the first ``n - ceil(t n) + 1`` of both texts, so only these prefixes are shuffled.
-Candidates are then counted exactly: every set is cut into the fragments of the order, each fragment counts the
-overlap of a pair on its own, and the partial counts are added up per pair.
+Most candidates share a common phrase and little else, and their number grows faster than the texts; the parities of their
+shingles, about two bits for each, bound the overlap from above and decide them. What is left is counted exactly: every set
+is cut into the fragments of the order, each fragment counts the overlap of a pair on its own, and the partial counts are
+added up per pair.
 
 Texts with the same set are one node. In a group of nodes that share a prefix shingle every node is compared with the
 most ordinary one, which has the smallest share of rare shingles: of the versions of a text, that is the least edited.
 Groups that are then still of several components compare the nodes outside that leader's component with all others,
 except for pairs that bounds exclude: sizes, the shorter prefix that is enough for the smaller text of a pair, and the
 distances of both to the leader (one minus Jaccard obeys the triangle inequality). Whatever else is left out lies inside
-one component already, so components are exact and the pairs stay about linear in the prefixes.
+one component already, so components are exact and the counted pairs stay about linear in the links.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from mediacast.llm.components import components
 from mediacast.llm.word_hashes import mixed, shingle_sets
-from mediacast.session import bounded_batches, stage
+from mediacast.session import bounded_batches, stage, unstage
 
 WORDS = 5
 PERCENT = 80
@@ -38,6 +41,8 @@ FLUSH = 2_000_000
 SEGMENTS = 8
 #: Shingles of at least 2^HOT_LEVEL documents find their leader by aggregation.
 HOT_LEVEL = 12
+#: The prefix shingles are shuffled in so many parts of the hash range, one after the other; a power of two.
+ROUNDS = 4
 BROADCAST_IDS = 500_000
 
 
@@ -144,11 +149,21 @@ def _set_keys(own: np.ndarray) -> tuple[int, int]:
     return int(total.view(np.int64)), int(other.view(np.int64))
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Bits, at least as many as shingles and a power of two, each the parity of the number of shingles that fall on it.
+
+    What two sets share falls out of the difference of theirs. The first half XOR the second is the table of half the size.
+    """
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def text_sets(docs: DataFrame, key: str, text: str, order: tuple[np.ndarray, np.ndarray], words: int = WORDS) -> DataFrame:
-    """``(id, n, rare, k1, k2, hot, prefix)`` per row.
+    """``(id, n, rare, k1, k2, hot, prefix, parities)`` per row.
 
-    Size of the shingle set, the share of it in per mille that is not frequent, two hashes of it, and its prefix, whose
-    shingles are hot from place ``hot`` on.
+    Size of the shingle set, the share of it in per mille that is not frequent, two hashes of it, its prefix, whose
+    shingles are hot from place ``hot`` on, and its parities.
     """
     bits = fragment_bits(docs)
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -163,10 +178,15 @@ def text_sets(docs: DataFrame, key: str, text: str, order: tuple[np.ndarray, np.
         front = np.argsort(level, kind="stable")[:count]
         return own[front], int(1000 * np.count_nonzero(level == 0) // len(own)), int(np.searchsorted(level[front], HOT_LEVEL))
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            sizes, rare, one, two, hot, prefixes = [], [], [], [], [], []
+            sizes, rare, one, two, hot, prefixes, bits_of = [], [], [], [], [], [], []
             for _, own in shingle_sets(batch.column(1), words):
                 a, b = _set_keys(own)
                 sizes.append(len(own))
@@ -175,19 +195,18 @@ def text_sets(docs: DataFrame, key: str, text: str, order: tuple[np.ndarray, np.
                 front, share, cool = prefix(own, keys, ranks) if len(own) else (None, 1000, 0)
                 rare.append(share)
                 hot.append(cool)
-                prefixes.append(front if front is None else front.view(np.int64))
-            ends = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)])
-            flat = np.concatenate([np.zeros(0, np.int64), *(p for p in prefixes if p is not None)])
+                prefixes.append(none if front is None else front.view(np.int64))
+                bits_of.append(_parities(own) if len(own) else none)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(rare, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                    pa.array(hot, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    pa.array(hot, pa.int32()), lists(prefixes), lists(bits_of),
                 ],
-                names=["id", "n", "rare", "k1", "k2", "hot", "prefix"],
+                names=["id", "n", "rare", "k1", "k2", "hot", "prefix", "parities"],
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        sets, "id long, n long, rare int, k1 long, k2 long, hot int, prefix array<long>"
+        sets, "id long, n long, rare int, k1 long, k2 long, hot int, prefix array<long>, parities array<long>"
     )
 
 
@@ -234,14 +253,18 @@ def _meets(an: Column, a_place: Column, bn: Column, b_place: Column) -> Column:
     return _size_fits(an, bn) & F.when(an <= bn, enough(an, a_place)).otherwise(enough(bn, b_place))
 
 
-def shared_prefixes(nodes: DataFrame) -> DataFrame:
+def shared_prefixes(nodes: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     """``(shingle, leader, leader_n, leader_place, node, n, place)``: the nodes of every prefix shingle behind its leader.
 
+    Of ``parts`` parts of all shingles, only one. Most prefix shingles stand in one node; while they are sought out, their
+    shuffle is larger than the input.
+
     The leader is the node of the smallest ``rare``, then id. Groups below the hot level are windows, read in order. Of a hot
     shingle, which may stand in a third of all nodes, every task sends its own least node, and a join that may be split
     deals the leader out.
     """
     postings = nodes.select("node", "n", "rare", "hot", F.posexplode("prefix").alias("place", "shingle"))
+    postings = postings.where(F.col("shingle").bitwiseAND(F.lit(parts - 1)) == part)
     running = Window.partitionBy("shingle").orderBy("rare", "node").rowsBetween(Window.unboundedPreceding, 0)
     member = ["shingle", "node", "n", "place"]
     led = postings.where("place < hot").select(*member, F.first(F.struct("node", "n", "place")).over(running).alias("first"))
@@ -254,6 +277,32 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
     ).where("leader <> node")
 
 
+def _similar(overlap: Column) -> Column:
+    return overlap * 100 >= (F.col("an") + F.col("bn") - overlap) * PERCENT
+
+
+def _distance(overlap: Column) -> Column:
+    return 1 - overlap / (F.col("an") + F.col("bn") - overlap)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b, an, bn)`` with ``most``, which their overlap does not exceed, from the parities of both.
+
+    Every differing bit needs a shingle that only one of them has. The sizes of a pair fit, so one table is at most twice as long.
+    """
+    xor = lambda x, y: x.bitwiseXOR(y)
+    left, right = nodes.select(F.col("node").alias("a"), F.col("parities").alias("left")), nodes.select(F.col("node").alias("b"), F.col("parities").alias("right"))
+
+    def folded(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(x)
+
+    x, y = F.col("left"), F.col("right")
+    bits = F.transform(F.zip_with(folded(x, y), folded(y, x), xor), F.bit_count)
+    differing = F.aggregate(bits, F.lit(0).cast("long"), lambda total, more: total + more)
+    most = F.floor((F.col("an") + F.col("bn") - differing) / 2)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", most.alias("most"))
+
+
 def overlaps(docs: DataFrame, key: str, text: str, pairs: DataFrame, owners: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs ``(a, b, an, bn)`` with a shared shingle and their ``overlap``, added up over the segments."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -275,35 +324,41 @@ def overlaps(docs: DataFrame, key: str, text: str, pairs: DataFrame, owners: Dat
 
 
 def links_of(counted: DataFrame) -> DataFrame:
-    enough = F.col("overlap") * 100 >= (F.col("an") + F.col("bn") - F.col("overlap")) * PERCENT
-    return counted.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return counted.where(_similar(F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
 
+def _unsettled(apart: DataFrame, judged: DataFrame, counted: DataFrame) -> DataFrame:
+    """The pairs of different components that share a prefix shingle, were not judged and no bound excludes.
 
-def _unsettled(apart: DataFrame, counted: DataFrame) -> DataFrame:
-    """The pairs of different components that share a prefix shingle, were not counted and no bound excludes."""
-    distance = counted.select(
-        F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("overlap") / (F.col("an") + F.col("bn") - F.col("overlap"))).alias("far")
+    A node is at least ``near`` and at most ``far`` from its leader, both its distance if the pair was counted.
+    """
+    exact = judged.join(counted.select("a", "b", "overlap"), ["a", "b"], "left")
+    distance = exact.select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), _distance(F.coalesce("overlap", "most")).alias("near"),
+        F.coalesce(_distance(F.col("overlap")), F.lit(1.0)).alias("far"),
     )
     odd = stage(apart.where("c <> leader_c").join(distance, ["leader", "node"], "left"), "unsettled")
     within = apart.join(odd.select("shingle").distinct(), "shingle", "left_semi").join(distance, ["leader", "node"], "left")
     leaders = within.select(
         "shingle", F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader_place").alias("place"), F.col("leader_c").alias("c")
     ).distinct()
-    others = within.select("shingle", "node", "n", "place", "c", "far").unionByName(leaders.withColumn("far", F.lit(0.0)))
-    x, y = odd.select("shingle", "node", "n", "place", "c", "far").alias("x"), others.alias("y")
+    member = ["shingle", "node", "n", "place", "c", "near", "far"]
+    others = within.select(member).unionByName(leaders.withColumns({"near": F.lit(0.0), "far": F.lit(0.0)}))
+    x, y = odd.select(member).alias("x"), others.alias("y")
+    gap = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
     pairs = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.c") != F.col("y.c"))
         & _meets(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
-        & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True)),
+        & F.coalesce(gap <= 1 - PERCENT / 100 + 1e-9, F.lit(True)),
     )
     swap = F.col("x.node") < F.col("y.node")
     both = pairs.select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
         F.when(swap, F.col("x.n")).otherwise(F.col("y.n")).alias("an"), F.when(swap, F.col("y.n")).otherwise(F.col("x.n")).alias("bn"),
     ).distinct()
-    return both.join(counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return both.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -315,17 +370,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     docs = bounded_batches(docs)
     frequent = stage(frequent_shingles(docs, text, words), "frequent")
-    sets = stage(text_sets(docs, key, text, bounded_order(frequent), words), "sets")
+    whole = stage(text_sets(docs, key, text, bounded_order(frequent), words), "sets")
+    unstage(frequent)
+    sets = stage(whole.select("id", "n", "k1", "k2"), "sizes")
     owners = sets.where("n > 0").groupBy(F.col("k1").alias("node"), "k2", "n").agg(F.min("id").alias("id"))
-    same_set = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.first("rare").alias("rare"), F.first("hot").alias("hot"), F.first("prefix").alias("prefix"))
-    groups = stage(shared_prefixes(same_set.select(F.col("k1").alias("node"), "n", "rare", "hot", "prefix")), "shared-prefixes")
-    first = stage(
+    same_set = whole.where("n > 0").groupBy("k1", "k2", "n").agg(*[F.first(c).alias(c) for c in ("rare", "hot", "prefix", "parities")])
+    nodes = stage(same_set.drop("k2").withColumnRenamed("k1", "node"), "nodes")
+    parities = stage(nodes.select("node", "parities"), "parities")
+    unstage(whole)
+    groups = reduce(DataFrame.unionByName, [stage(shared_prefixes(nodes, part, ROUNDS), "shared-prefixes") for part in range(ROUNDS)])
+    unstage(nodes)
+    first = (
         groups.where(_meets(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place")))
         .select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_n").alias("an"), F.col("n").alias("bn"))
-        .distinct(),
-        "pairs",
+        .distinct()
     )
-    counted = stage(overlaps(docs, key, text, first, owners, words), "overlaps")
+    judged = stage(bounded(first, parities), "pairs")
+    counted = stage(overlaps(docs, key, text, judged.where(_similar(F.col("most"))), owners, words), "overlaps")
     same_key = Window.partitionBy("id")
     repeated = (
         sets.where("n > 0 and id is not null")
@@ -342,7 +403,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         label = joined.select(F.col("node").alias(node), F.col("component").alias(name))
         return df.join(label, node, "left").withColumn(name, F.coalesce(name, node))
 
-    second = stage(_unsettled(labelled(labelled(groups, "node", "c"), "leader", "leader_c"), counted), "pairs")
+    apart = labelled(labelled(groups, "node", "c"), "leader", "leader_c")
+    second = stage(bounded(_unsettled(apart, judged, counted), parities).where(_similar(F.col("most"))), "pairs")
     if second.limit(1).count():
         links = stage(links.unionByName(links_of(overlaps(docs, key, text, second, owners, words))), "links")
         joined = stage(components(links), "components")
